@@ -88,18 +88,32 @@ CHILD_LISTS = (
 )
 
 
+def _joined(elements: Column, cat: str, field: str, delim: str) -> Column:
+    """One delimited list out of a member's sorted element array: elements
+    of ``cat``, nulls skipped; NULL when nothing is left (as listagg)."""
+    vals = F.filter(F.transform(F.filter(elements, lambda e: e["cat"] == F.lit(cat)), lambda e: e[field]),
+                    lambda v: v.isNotNull())
+    return F.when(F.size(vals) > 0, F.array_join(vals, delim))
+
+
 def aggregate_lists(long_form: DataFrame, categories=CATEGORIES, children=CHILD_LISTS) -> DataFrame:
     """G1-G5 in one shuffle: one row per member with every list column.
 
-    Nulls are skipped; a member whose elements are all null gets NULL (the
-    caller turns it into 'Unknown').  No DISTINCT: duplicates stay."""
-    aggs = []
+    All elements of a member are gathered once (``collect_list`` with
+    map-side partial aggregation), sorted once by (cat, k, v1, v2), and then
+    split per category by column expressions - one aggregate buffer per
+    member instead of one per list.  Nulls are skipped; a member whose
+    elements are all null gets NULL (the caller turns it into 'Unknown').
+    No DISTINCT: duplicates stay."""
+    g = long_form.groupBy("MemberId").agg(
+        F.array_sort(F.collect_list(F.struct("cat", "k", "v1", "v2"))).alias("_e"))
+    cols = []
     for cat, *_rest, out_names, out_descs in categories:
-        aggs.append(_listagg("v1", LIST_DELIMITER, cat).alias(out_names))
-        aggs.append(_listagg("v2", LIST_DELIMITER, cat).alias(out_descs))
+        cols.append(_joined(F.col("_e"), cat, "v1", LIST_DELIMITER).alias(out_names))
+        cols.append(_joined(F.col("_e"), cat, "v2", LIST_DELIMITER).alias(out_descs))
     for cat, delim, out in children:
-        aggs.append(_listagg("v1", delim, cat).alias(out))
-    return long_form.groupBy("MemberId").agg(*aggs)
+        cols.append(_joined(F.col("_e"), cat, "v1", delim).alias(out))
+    return g.select("MemberId", *cols)
 
 
 def aggregate_lists_separately(parts: dict[str, DataFrame], categories=CATEGORIES) -> DataFrame | None:

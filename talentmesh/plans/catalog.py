@@ -14,7 +14,7 @@ from ..functions.vectors import cosine
 from ..operators import profiles as P
 from ..operators.embed import CharProfileEmbedder, ModelEmbedder, hashed_bag_of_words
 from ..operators.rank import global_rank, rank_members_for_job, score_jobs_for_member, score_pairs, top_matches
-from ..operators.score import prepare_jobs, prepare_members
+from ..operators.score import attach_job_vectors, attach_member_vectors, prepare_jobs, prepare_members
 from ..operators.sinks import match_list, nested_ranking, score_map
 from ..sources.payload import parse_payloads, payload_schema, split_valid
 from . import oracle as O
@@ -123,8 +123,9 @@ def _pairs(spark, d) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey")
     pairs = li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("MemberId"), F.col("l_suppkey").alias("JobId")).distinct()
-    m = prepare_members(S.members(t))
-    j = prepare_jobs(S.jobs(t))
+    # inputs and vectors once per member / per job, before pairing
+    m = attach_member_vectors(prepare_members(S.members(t)), EMBEDDER)
+    j = attach_job_vectors(prepare_jobs(S.jobs(t)), EMBEDDER)
     mcols = ["MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName"] + [
         c for c in m.columns if c.startswith("m_")]
     jcols = [F.col("Id").alias("JobId")] + [c for c in j.columns if c.startswith("j_")]
@@ -200,7 +201,8 @@ def q_score_map(spark, d):
 
 def _valid_payloads(spark, d):
     t = _t(spark, d)
-    m, j = S.members(t), S.jobs(t)
+    m = S.members(t).select(*S.PAYLOAD_MEMBER_FIELDS)
+    j = S.jobs(t).select(*S.PAYLOAD_JOB_FIELDS)
     schema = payload_schema(j.schema, m.schema)
     valid, _quarantine = split_valid(parse_payloads(S.payload_json(t, m, j), "payload", schema))
     return valid

@@ -187,13 +187,22 @@ def jobs(t: Tables, normalize: bool = True) -> DataFrame:
                      industry=region_dim(t, "IndustryName"), normalize=normalize)
 
 
+# Fields a request carries: what scoring reads plus the display fields.
+PAYLOAD_MEMBER_FIELDS = ("MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName",
+                         "Headline", "TechnicalSkillNames", "OtherSkills", "Education", "Experience")
+PAYLOAD_JOB_FIELDS = ("Id", "JobCode", "JobTitle", "CityName", "JobLocation", "EmploymentTypeName",
+                      "PostedDate", "Deadline_for_Applications", "IsActive", "Salary_Range_Start",
+                      "Salary_Range_End", "Qualifications", "PreferredSkills", "Required_Skills",
+                      "Key_Responsibilities", "Industry", "Role")
+
+
 def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFrame | None = None) -> DataFrame:
     """Request payloads built from the data: one request per order, with the
     jobs of its line items (in line order) and its customer as the only
     member.  Returned as a JSON text column ``payload`` so the JSON source
     path (S7) is exercised.  A request's size is bounded by its line count."""
-    m = members_df if members_df is not None else members(t)
-    j = jobs_df if jobs_df is not None else jobs(t)
+    m = (members_df if members_df is not None else members(t)).select(*PAYLOAD_MEMBER_FIELDS)
+    j = (jobs_df if jobs_df is not None else jobs(t)).select(*PAYLOAD_JOB_FIELDS)
     li = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     job_struct = F.struct(*[F.col(f"`{c}`") for c in j.columns]).alias("job")
     lines = li.join(j.select(F.col("Id").alias("_jid"), job_struct), F.col("l_suppkey") == F.col("_jid"))
