@@ -1,9 +1,9 @@
 """Pairing, thresholding and ranking.
 
 The reference pairs ONE job with every member (rank members) or ONE member
-with every job (score jobs).  Here the single side is reduced to one struct
-value with a scalar subquery, so the big side is scanned once and never
-joined or shuffled for pairing.  Ranks are computed with a distributed
+with every job (score jobs).  Here the single side is resolved once to one
+struct literal, so the big side is scanned once and never joined or
+shuffled for pairing.  Ranks are computed with a distributed
 range sort (no task ever holds one whole job's match list).
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import MatchOptions
 from ..session import ensure_checkpoint_dir
@@ -31,12 +32,31 @@ def rank_order(key: str = "MemberId", score: str = "Similarity") -> tuple:
     return (F.desc(score), F.asc(key))
 
 
+def literal_of(value, dtype: T.DataType) -> Column:
+    """A typed literal Column for a Python value of ``dtype`` (struct, array,
+    scalar); None gives a typed NULL."""
+    if value is None:
+        return F.lit(None).cast(dtype)
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[literal_of(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return F.array(*[literal_of(v, dtype.elementType) for v in value]).cast(dtype)
+    return F.lit(value).cast(dtype)
+
+
 def _single_struct(df: DataFrame, prefix: str) -> Column:
-    """One row of ``df`` as a struct of its ``prefix_*`` columns, as a scalar
-    subquery (evaluated once, then a constant for every task)."""
+    """The first row of ``df`` (F4: pick first) as one struct literal of its
+    ``prefix_*`` fields plus the remaining columns.
+
+    The single job (or member) of a request is a query parameter: it is
+    resolved once - one row, so its size is bounded - and inlined as a
+    constant, so the large side is scanned once with no join, no shuffle and
+    no per-row subquery."""
     fields = [F.col(c).alias(c[len(prefix) + 1:]) for c in df.columns if c.startswith(prefix + "_")]
-    keep = [c for c in df.columns if not c.startswith(prefix + "_")]
-    return df.select(F.struct(*fields, *[F.col(f"`{c}`") for c in keep]).alias(prefix)).limit(1).scalar()
+    keep = [F.col(f"`{c}`") for c in df.columns if not c.startswith(prefix + "_")]
+    one = df.select(F.struct(*fields, *keep).alias(prefix)).limit(1)
+    rows = one.collect()
+    return literal_of(rows[0][0] if rows else None, one.schema[prefix].dataType)
 
 
 def rank_members_for_job(members: DataFrame, jobs: DataFrame, job_id, embedder,

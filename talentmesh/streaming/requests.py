@@ -1,0 +1,53 @@
+"""Request payloads as a stream.
+
+The reference answers one HTTP request at a time.  Here request payloads
+(JSON lines, ``{"request_id", "data": {"jobpost": [...], "member": [...]}}``)
+land in a folder, and a Structured Streaming query scores each micro-batch
+with the same operators as the batch path.  The query is stateless (no
+aggregation across batches), so it needs no watermark; progress and
+exactly-once output come from the checkpoint location, which must be on
+shared storage on a cluster.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..config import MatchOptions
+from ..plans.flows import rank_payloads, score_payloads
+from ..sources.payload import payload_schema, split_valid
+
+
+def request_stream(spark: SparkSession, in_dir: str, job_schema: T.StructType,
+                   member_schema: T.StructType, max_files_per_trigger: int | None = None) -> DataFrame:
+    r = spark.readStream.schema(payload_schema(job_schema, member_schema))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.json(in_dir)
+
+
+def start_request_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir: str,
+                         job_schema: T.StructType, member_schema: T.StructType, embedder,
+                         direction: str = "rank", opts: MatchOptions | None = None,
+                         available_now: bool = False):
+    """Starts the stream; results go to ``out_dir/results`` (parquet) and
+    rejected requests to ``out_dir/quarantine``.  ``direction`` is "rank"
+    (jobpost[0] vs members, thresholded) or "score" (member[0] vs jobs)."""
+    if direction not in ("rank", "score"):
+        raise ValueError("direction must be 'rank' or 'score'")
+    src = request_stream(spark, in_dir, job_schema, member_schema)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        valid, bad = split_valid(batch)
+        if direction == "rank":
+            out = rank_payloads(valid, embedder, opts or MatchOptions())
+        else:
+            out = score_payloads(valid, embedder, opts or MatchOptions(threshold=None))
+        # batch_id makes a replayed batch overwrite its own partition only
+        out.write.mode("overwrite").parquet(f"{out_dir}/results/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
+
+    w = src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
