@@ -37,7 +37,7 @@ def q_job_extract_all(spark, d):
 
 
 def q_job_extract_by_id(spark, d):
-    return P.job_by_id(S.jobs(_t(spark, d)), JOB_ID)
+    return P.job_by_id(S.jobs(_t(spark, d), only_ids=[JOB_ID]), JOB_ID)
 
 
 def q_member_extract_all(spark, d):
@@ -165,7 +165,7 @@ def q_rescale(spark, d):
 
 def q_rank_members_for_job(spark, d):
     t = _t(spark, d)
-    return rank_members_for_job(S.members(t), S.jobs(t), JOB_ID, EMBEDDER)
+    return rank_members_for_job(S.members(t), S.jobs(t, only_ids=[JOB_ID]), JOB_ID, EMBEDDER)
 
 
 def q_ranked_members(spark, d):
@@ -189,8 +189,9 @@ def q_match_list(spark, d):
 
 def q_nested_ranking(spark, d):
     t = _t(spark, d)
-    ranked = global_rank(rank_members_for_job(S.members(t), S.jobs(t), JOB_ID, EMBEDDER))
-    return nested_ranking(ranked, P.job_by_id(S.jobs(t), JOB_ID), chunk_size=100)
+    j = S.jobs(t, only_ids=[JOB_ID])
+    ranked = global_rank(rank_members_for_job(S.members(t), j, JOB_ID, EMBEDDER))
+    return nested_ranking(ranked, P.job_by_id(j, JOB_ID), chunk_size=100)
 
 
 def q_score_map(spark, d):

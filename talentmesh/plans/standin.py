@@ -133,8 +133,13 @@ def top_rank(df: DataFrame, key: str, order_cols: list, k: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def job_table(t: Tables) -> DataFrame:
+def job_table(t: Tables, only_ids=None) -> DataFrame:
+    """``only_ids`` restricts every scan to those suppliers (a single-job
+    query then reads only that supplier's line items; Catalyst does not infer
+    this filter through the windowed aggregates on its own)."""
     li = t("lineitem")
+    if only_ids is not None:
+        li = li.where(F.col("l_suppkey").isin(list(only_ids)))
     # per (supplier, part) quantities, pre-aggregated before any window
     sp = li.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
     sp = top_rank(sp, "l_suppkey", [F.desc("qty"), F.asc("l_partkey")], 3)
@@ -158,6 +163,8 @@ def job_table(t: Tables) -> DataFrame:
     dates = li.groupBy("l_suppkey").agg(F.min("l_shipdate").alias("PostedDate"),
                                         F.max("l_shipdate").alias("Deadline_for_Applications"))
     s = t("supplier")
+    if only_ids is not None:
+        s = s.where(F.col("s_suppkey").isin(list(only_ids)))
     n = t("nation").select("n_nationkey", "n_name", "n_regionkey")
     j = (s.join(n, s.s_nationkey == n.n_nationkey, "left")
          .join(skills, s.s_suppkey == skills.l_suppkey, "left").drop("l_suppkey")
@@ -182,8 +189,8 @@ def job_table(t: Tables) -> DataFrame:
     )
 
 
-def jobs(t: Tables, normalize: bool = True) -> DataFrame:
-    return job_posts(job_table(t), employment_type=None, city=city_table(t),
+def jobs(t: Tables, normalize: bool = True, only_ids=None) -> DataFrame:
+    return job_posts(job_table(t, only_ids), employment_type=None, city=city_table(t),
                      industry=region_dim(t, "IndustryName"), normalize=normalize)
 
 
