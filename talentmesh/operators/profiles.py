@@ -158,6 +158,9 @@ def member_profiles(member: DataFrame, long_form: DataFrame | None, age: DataFra
     list_cols = [c for cat in categories for c in cat[-2:]] + [
         "EducationInfo", "ExperienceInfo", "OtherSkillNames"]
     if long_form is not None:
+        wanted = [c[0] for c in categories] + [c[0] for c in CHILD_LISTS]
+        if len(categories) < len(CATEGORIES):   # drop elements no output needs
+            long_form = long_form.where(F.col("cat").isin(wanted))
         m = m.join(aggregate_lists(long_form, categories), "MemberId", "left")
     else:
         for c in list_cols:
@@ -174,6 +177,20 @@ def member_profiles(member: DataFrame, long_form: DataFrame | None, age: DataFra
     return normalize_row_values(out) if normalize else out
 
 
+SCORING_CATEGORIES = tuple(c for c in CATEGORIES if c[0] == "TechnicalSkills")
+
+
+def scoring_profiles(member: DataFrame, long_form: DataFrame | None, city: DataFrame | None = None,
+                     normalize: bool = True) -> DataFrame:
+    """Member rows restricted to what scoring and the ranking output read
+    (skills, other skills, education, experience, headline, city, display
+    fields): the other nine categories are never gathered."""
+    prof = member_profiles(member, long_form, age=None, city=city, ethnicity=None,
+                           categories=SCORING_CATEGORIES, normalize=normalize)
+    return prof.select("MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName",
+                       "Headline", "TechnicalSkillNames", "OtherSkills", "Education", "Experience")
+
+
 def job_posts(jobpost: DataFrame, employment_type: DataFrame | None = None,
               city: DataFrame | None = None, industry: DataFrame | None = None,
               normalize: bool = True) -> DataFrame:

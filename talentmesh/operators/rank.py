@@ -135,6 +135,28 @@ def global_rank(df: DataFrame, order_cols=None, partitions: int | None = None,
         "_pid", "_mid", "_first", "_off", "_n")
 
 
+def group_rank(df: DataFrame, group_col: str, score: str = "Similarity", key: str = "MemberId",
+               rank_col: str = "rank") -> DataFrame:
+    """O2: rank within each group (e.g. per request or per job) without a
+    per-group window: one global rank over (group, score desc, key), minus
+    the group's first global rank.  The per-group minimum is a small
+    aggregate joined back on the group key (AQE splits a skewed group)."""
+    g = global_rank(df, (F.asc(group_col), F.desc(score), F.asc(key)), rank_col="_grank")
+    first = g.groupBy(group_col).agg(F.min("_grank").alias("_gfirst"))
+    return g.join(first, group_col).withColumn(rank_col, F.col("_grank") - F.col("_gfirst") + 1).drop(
+        "_grank", "_gfirst")
+
+
+def top_k_per_group(df: DataFrame, group_col: str, k: int, score: str = "Similarity",
+                    key: str = "MemberId") -> DataFrame:
+    """Top-k per group: ``row_number() <= k`` is planned with a partial
+    ``WindowGroupLimit`` before the shuffle, so a hot group ships at most k
+    rows per map task."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(group_col).orderBy(F.desc(score), F.asc(key))
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top_matches(ranked: DataFrame, k: int) -> DataFrame:
     """Optional top-k of one job's ranking: a distributed take-ordered."""
     return ranked.orderBy(*rank_order()).limit(k)

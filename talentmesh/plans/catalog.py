@@ -13,7 +13,7 @@ from ..functions.text import preprocess_text
 from ..functions.vectors import cosine
 from ..operators import profiles as P
 from ..operators.embed import CharProfileEmbedder, ModelEmbedder, hashed_bag_of_words
-from ..operators.rank import global_rank, rank_members_for_job, score_jobs_for_member, score_pairs, top_matches
+from ..operators.rank import global_rank, group_rank, rank_members_for_job, score_jobs_for_member, score_pairs, top_matches
 from ..operators.score import attach_job_vectors, attach_member_vectors, prepare_jobs, prepare_members
 from ..operators.sinks import match_list, nested_ranking, score_map
 from ..sources.payload import parse_payloads, payload_schema, split_valid
@@ -124,7 +124,7 @@ def _pairs(spark, d) -> DataFrame:
     pairs = li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("MemberId"), F.col("l_suppkey").alias("JobId")).distinct()
     # inputs and vectors once per member / per job, before pairing
-    m = attach_member_vectors(prepare_members(S.members(t)), EMBEDDER)
+    m = attach_member_vectors(prepare_members(S.scoring_members(t)), EMBEDDER)
     j = attach_job_vectors(prepare_jobs(S.jobs(t)), EMBEDDER)
     mcols = ["MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName"] + [
         c for c in m.columns if c.startswith("m_")]
@@ -165,7 +165,7 @@ def q_rescale(spark, d):
 
 def q_rank_members_for_job(spark, d):
     t = _t(spark, d)
-    return rank_members_for_job(S.members(t), S.jobs(t, only_ids=[JOB_ID]), JOB_ID, EMBEDDER)
+    return rank_members_for_job(S.scoring_members(t), S.jobs(t, only_ids=[JOB_ID]), JOB_ID, EMBEDDER)
 
 
 def q_ranked_members(spark, d):
@@ -178,19 +178,19 @@ def q_top_matches(spark, d):
 
 def q_score_jobs_for_member(spark, d):
     t = _t(spark, d)
-    return score_jobs_for_member(S.members(t), S.jobs(t), MEMBER_ID, EMBEDDER)
+    return score_jobs_for_member(S.scoring_members(t, only_ids=[MEMBER_ID]), S.jobs(t), MEMBER_ID, EMBEDDER)
 
 
 def q_match_list(spark, d):
     t = _t(spark, d)
-    m, j = S.members(t), S.jobs(t)
+    m, j = S.scoring_members(t, only_ids=[MEMBER_ID]), S.jobs(t)
     return match_list(score_jobs_for_member(m, j, MEMBER_ID, EMBEDDER), j, m)
 
 
 def q_nested_ranking(spark, d):
     t = _t(spark, d)
     j = S.jobs(t, only_ids=[JOB_ID])
-    ranked = global_rank(rank_members_for_job(S.members(t), j, JOB_ID, EMBEDDER))
+    ranked = global_rank(rank_members_for_job(S.scoring_members(t), j, JOB_ID, EMBEDDER))
     return nested_ranking(ranked, P.job_by_id(j, JOB_ID), chunk_size=100)
 
 
@@ -202,7 +202,7 @@ def q_score_map(spark, d):
 
 def _valid_payloads(spark, d):
     t = _t(spark, d)
-    m = S.members(t).select(*S.PAYLOAD_MEMBER_FIELDS)
+    m = S.scoring_members(t).select(*S.PAYLOAD_MEMBER_FIELDS)
     j = S.jobs(t).select(*S.PAYLOAD_JOB_FIELDS)
     schema = payload_schema(j.schema, m.schema)
     valid, _quarantine = split_valid(parse_payloads(S.payload_json(t, m, j), "payload", schema))
@@ -217,6 +217,12 @@ def q_payload_score(spark, d):
     return score_payloads(_valid_payloads(spark, d), EMBEDDER)
 
 
+def q_payload_score_ranked(spark, d):
+    """O2: jobs ranked by score within each request (batch form of O1)."""
+    s = score_payloads(_valid_payloads(spark, d), EMBEDDER)
+    return group_rank(s, "request_id", score="score", key="JobId")
+
+
 # ---------------------------------------------------------------- text / vectors
 
 def q_embed_distinct_text(spark, d):
@@ -255,6 +261,7 @@ QUERIES = {
     "score_map": q_score_map,
     "payload_rank": q_payload_rank,
     "payload_score": q_payload_score,
+    "payload_score_ranked": q_payload_score_ranked,
     "embed_distinct_text": q_embed_distinct_text,
     "preprocess_text": q_preprocess_text,
 }
@@ -352,6 +359,10 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
  WHERE sc.Similarity >= 85.0""",
         "payload_score": _with(mem, job, prep, all_jobs, pay_score_sc) + """
  SELECT sp2.request_id, sc.MemberId, sc.JobId, sc.Similarity AS score
+ FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId""",
+        "payload_score_ranked": _with(mem, job, prep, all_jobs, pay_score_sc) + """
+ SELECT sp2.request_id, sc.MemberId, sc.JobId, sc.Similarity AS score,
+        row_number() OVER (PARTITION BY sp2.request_id ORDER BY sc.Similarity DESC, sc.JobId) AS rank
  FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId""",
         "preprocess_text": f"""
 SELECT doc_id, lower(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '{ws}'),

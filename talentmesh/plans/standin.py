@@ -34,6 +34,7 @@ from ..operators.profiles import (
     OTHER_SKILLS,
     job_posts,
     member_profiles,
+    scoring_profiles,
 )
 
 
@@ -125,6 +126,17 @@ def members(t: Tables, normalize: bool = True) -> DataFrame:
     )
 
 
+def scoring_members(t: Tables, normalize: bool = True, only_ids=None) -> DataFrame:
+    """Members with only the columns scoring reads (see
+    :func:`..operators.profiles.scoring_profiles`)."""
+    m = member_table(t)
+    lf = member_long_form(t)
+    if only_ids is not None:
+        m = m.where(F.col("Id").isin(list(only_ids)))
+        lf = lf.where(F.col("MemberId").isin(list(only_ids)))
+    return scoring_profiles(m, lf, city=city_table(t), normalize=normalize)
+
+
 def top_rank(df: DataFrame, key: str, order_cols: list, k: int) -> DataFrame:
     """Top-k rows per key.  ``row_number() <= k`` lets Spark insert a
     partial ``WindowGroupLimit`` before the shuffle, so a key holding a third
@@ -208,7 +220,7 @@ def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFr
     jobs of its line items (in line order) and its customer as the only
     member.  Returned as a JSON text column ``payload`` so the JSON source
     path (S7) is exercised.  A request's size is bounded by its line count."""
-    m = (members_df if members_df is not None else members(t)).select(*PAYLOAD_MEMBER_FIELDS)
+    m = (members_df if members_df is not None else scoring_members(t)).select(*PAYLOAD_MEMBER_FIELDS)
     j = (jobs_df if jobs_df is not None else jobs(t)).select(*PAYLOAD_JOB_FIELDS)
     li = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     job_struct = F.struct(*[F.col(f"`{c}`") for c in j.columns]).alias("job")
