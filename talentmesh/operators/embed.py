@@ -52,10 +52,15 @@ def char_profile_batch(texts: pd.Series) -> np.ndarray:
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def char_profile_udf(texts: pd.Series) -> pd.Series:
+def _char_profile_udf(texts: pd.Series) -> pd.Series:
     return pd.Series(list(char_profile_batch(texts)))
 
 
+# Marked non-deterministic only so the optimizer never copies the call into
+# a pushed-down filter: each text is then counted once, after pruning.
+char_profile_udf = _char_profile_udf.asNondeterministic()
+
+
 class CharProfileEmbedder:
     """Character-count vectors.  ``engine="arrow"`` (default) counts with
     numpy over Arrow batches in one pass per text; ``engine="jvm"`` uses the
@@ -105,7 +110,7 @@ def _embed_udf(factory: Callable, dim: int, cache_name: str):
             raise ValueError(f"model returned shape {vecs.shape}, expected (n, {dim})")
         return pd.Series(list(vecs))
 
-    return embed
+    return embed.asNondeterministic()   # evaluate once; never duplicated into filters
 
 
 class ModelEmbedder:
