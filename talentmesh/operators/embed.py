@@ -136,6 +136,22 @@ class ModelEmbedder:
     def attach(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         return VectorTableEmbedder(self.embed_distinct(df, text_col)).attach(df, text_col, out_col)
 
+    def refresh_table(self, df: DataFrame, text_col: str, table_path: str) -> VectorTableEmbedder:
+        """Incremental vector table at ``table_path`` (parquet, shared
+        storage): only texts whose key is not stored yet are embedded (left
+        anti join on the key), then appended.  Returns a provider reading
+        the table, so later scoring jobs never call the model again."""
+        spark = df.sparkSession
+        texts = df.select(text_key(text_col).alias("key"),
+                          F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["key"])
+        try:
+            stored = spark.read.parquet(table_path).select("key")
+            texts = texts.join(stored, "key", "left_anti")
+        except Exception:  # no table yet: embed everything
+            pass
+        texts.select("key", self._udf(F.col("text")).alias("vector")).write.mode("append").parquet(table_path)
+        return VectorTableEmbedder(spark.read.parquet(table_path))
+
 
 def hashed_bag_of_words(dim: int = 64):
     """A deterministic model factory for tests and demos: mean of per-token

@@ -41,6 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: point it at a shared folder "
+                               "(a machine-local folder does not survive executor loss)")
         configured = tempfile.mkdtemp(prefix="talentmesh-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -70,3 +70,15 @@ def test_vector_table_embedder(spark):
 def test_preprocess_text(spark):
     df = spark.createDataFrame([("  Hello\t World \n",)], "t string")
     assert df.select(preprocess_text("t").alias("c")).collect()[0].c == " ".join("  Hello\t World \n".lower().split())
+
+
+def test_incremental_vector_table(spark, tmp_path):
+    path = str(tmp_path / "vecs")
+    emb = ModelEmbedder(hashed_bag_of_words(8), 8, "t8b")
+    first = spark.createDataFrame([("a b",), ("c",)], "t string")
+    emb.refresh_table(first, "t", path)
+    more = spark.createDataFrame([("c",), ("d e",), ("a b",)], "t string")
+    provider = emb.refresh_table(more, "t", path)
+    assert spark.read.parquet(path).count() == 3          # 'c' and 'a b' not embedded twice
+    got = provider.attach(more, "t", "v").collect()
+    assert all(r.v is not None and len(r.v) == 8 for r in got)
