@@ -82,3 +82,9 @@ def test_incremental_vector_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3          # 'c' and 'a b' not embedded twice
     got = provider.attach(more, "t", "v").collect()
     assert all(r.v is not None and len(r.v) == 8 for r in got)
+
+
+def test_table_source_reads_parquet(spark):
+    from talentmesh.sources.tables import TableSource
+    src = TableSource(spark, root="/root/testdata/sf0.001")
+    assert src.table("nation").count() == 25 and src.has("region") and not src.has("no_such_table")
