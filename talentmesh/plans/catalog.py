@@ -200,13 +200,21 @@ def q_score_map(spark, d):
 
 # ---------------------------------------------------------------- payloads
 
-def _valid_payloads(spark, d):
+def _split_payloads(spark, d):
     t = _t(spark, d)
     m = S.scoring_members(t).select(*S.PAYLOAD_MEMBER_FIELDS)
     j = S.jobs(t).select(*S.PAYLOAD_JOB_FIELDS)
     schema = payload_schema(j.schema, m.schema)
-    valid, _quarantine = split_valid(parse_payloads(S.payload_json(t, m, j), "payload", schema))
-    return valid
+    return split_valid(parse_payloads(S.payload_json(t, m, j), "payload", schema))
+
+
+def _valid_payloads(spark, d):
+    return _split_payloads(spark, d)[0]
+
+
+def q_payload_quarantine(spark, d):
+    """Requests rejected by the payload check, with the reason."""
+    return _split_payloads(spark, d)[1].select("request_id", "error")
 
 
 def q_payload_rank(spark, d):
@@ -259,6 +267,7 @@ QUERIES = {
     "match_list": q_match_list,
     "nested_ranking": q_nested_ranking,
     "score_map": q_score_map,
+    "payload_quarantine": q_payload_quarantine,
     "payload_rank": q_payload_rank,
     "payload_score": q_payload_score,
     "payload_score_ranked": q_payload_score_ranked,
@@ -360,6 +369,10 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
         "payload_score": _with(mem, job, prep, all_jobs, pay_score_sc) + """
  SELECT sp2.request_id, sc.MemberId, sc.JobId, sc.Similarity AS score
  FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId""",
+        "payload_quarantine": """
+SELECT CAST(o.o_orderkey AS VARCHAR) AS request_id, 'missing jobpost' AS error
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""",
         "payload_score_ranked": _with(mem, job, prep, all_jobs, pay_score_sc) + """
  SELECT sp2.request_id, sc.MemberId, sc.JobId, sc.Similarity AS score,
         row_number() OVER (PARTITION BY sp2.request_id ORDER BY sc.Similarity DESC, sc.JobId) AS rank

@@ -218,7 +218,7 @@ PAYLOAD_JOB_FIELDS = ("Id", "JobCode", "JobTitle", "CityName", "JobLocation", "E
 def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFrame | None = None) -> DataFrame:
     """Request payloads built from the data: one request per order, with the
     jobs of its line items (in line order) and its customer as the only
-    member.  Returned as a JSON text column ``payload`` so the JSON source
+    member; orders without line items give requests with no job list.  Returned as a JSON text column ``payload`` so the JSON source
     path (S7) is exercised.  A request's size is bounded by its line count."""
     m = (members_df if members_df is not None else scoring_members(t)).select(*PAYLOAD_MEMBER_FIELDS)
     j = (jobs_df if jobs_df is not None else jobs(t)).select(*PAYLOAD_JOB_FIELDS)
@@ -229,10 +229,12 @@ def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFr
         F.array_sort(F.collect_list(F.struct("l_linenumber", "job"))).alias("_jobs"))
     o = t("orders").select("o_orderkey", "o_custkey")
     mem = m.select(F.col("MemberId").alias("_mid"), F.struct(*[F.col(f"`{c}`") for c in m.columns]).alias("member"))
-    req = (per_order.join(o, per_order.l_orderkey == o.o_orderkey)
+    # every order becomes a request; an order without line items has no
+    # "jobpost" key at all (null fields are omitted from the JSON)
+    req = (o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
            .join(mem, o.o_custkey == mem._mid))
     payload = F.struct(
-        F.col("l_orderkey").cast("string").alias("request_id"),
+        F.col("o_orderkey").cast("string").alias("request_id"),
         F.struct(F.transform("_jobs", lambda s: s["job"]).alias("jobpost"),
                  F.array("member").alias("member")).alias("data"),
     )
