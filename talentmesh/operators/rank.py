@@ -9,7 +9,7 @@ range sort (no task ever holds one whole job's match list).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,10 +71,11 @@ def rank_members_for_job(members: DataFrame, jobs: DataFrame, job_id, embedder,
     m = score_cheap(m, ms, js, opts)
     m = attach_member_vectors(m, embedder)
     m = score_full(m, ms, js, opts, keep_components=False)
-    return m.select(
+    out = m.select(
         F.col("j.Id").alias("JobId"), "MemberId", "MemberFirstName", "MemberLastName",
         "MemberEmail", F.col("CityName").alias("City"), "Similarity",
     )
+    return top_matches(out, opts.top_k) if opts.top_k else out
 
 
 def score_jobs_for_member(members: DataFrame, jobs: DataFrame, member_id, embedder,
@@ -127,7 +128,6 @@ def global_rank(df: DataFrame, order_cols=None, partitions: int | None = None,
     pid = F.spark_partition_id()
     tagged = ordered.select("*", pid.alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    from pyspark.sql import Window
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid")
@@ -152,7 +152,6 @@ def top_k_per_group(df: DataFrame, group_col: str, k: int, score: str = "Similar
     """Top-k per group: ``row_number() <= k`` is planned with a partial
     ``WindowGroupLimit`` before the shuffle, so a hot group ships at most k
     rows per map task."""
-    from pyspark.sql import Window
     w = Window.partitionBy(group_col).orderBy(F.desc(score), F.asc(key))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

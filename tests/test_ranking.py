@@ -138,3 +138,19 @@ def test_payloads(spark, data):
     assert sorted((r.request_id, r.JobId) for r in sp) == [("r1", 10), ("r1", 11), ("r2", 10), ("r2", 11)]
     direct_s = {r.JobId: r.score for r in score_jobs_for_member(members, jobs, 1, E).collect()}
     assert {r.JobId: r.score for r in sp if r.request_id == "r1"} == direct_s
+
+
+def test_top_k_option(spark, data):
+    members, jobs = data
+    full = rank_members_for_job(members, jobs, 10, E, MatchOptions(threshold=None))
+    top2 = rank_members_for_job(members, jobs, 10, E, MatchOptions(threshold=None, top_k=2)).collect()
+    want = [(r.Similarity, r.MemberId) for r in full.orderBy(F.desc("Similarity"), "MemberId").limit(2).collect()]
+    assert sorted((r.Similarity, r.MemberId) for r in top2) == sorted(want)
+    schema = payload_schema(jobs.schema, members.schema)
+    m = [r.asDict() for r in members.collect()]
+    j = [r.asDict() for r in jobs.collect()]
+    df = parse_payloads(spark.createDataFrame(
+        [(json.dumps({"request_id": "r1", "data": {"jobpost": [j[0]], "member": m}}),)], "p string"), "p", schema)
+    valid, _ = split_valid(df)
+    got = rank_payloads(valid, E, MatchOptions(threshold=None, top_k=2)).collect()
+    assert sorted((r.Similarity, r.MemberId) for r in got) == sorted(want)
