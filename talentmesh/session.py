@@ -29,6 +29,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+def sizing_conf(input_bytes: int, partition_bytes: int = 256 << 20, cores: int | None = None) -> dict:
+    """Spill-aware settings for an input of ``input_bytes``: file splits and
+    shuffle partitions of about ``partition_bytes`` each, with AQE left to
+    coalesce small partitions and split skewed ones.  At ~100 TB this gives
+    ~400k initial shuffle partitions, each sized to sort in memory."""
+    parts = max(200, -(-input_bytes // partition_bytes))
+    if cores:
+        parts = max(parts, 2 * cores)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict) -> None:
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Returns the checkpoint directory named by ``spark.checkpoint.dir``.
 
@@ -49,4 +70,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-__all__ = ["build_session", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "sizing_conf", "apply_conf"]

@@ -88,3 +88,10 @@ def test_table_source_reads_parquet(spark):
     from talentmesh.sources.tables import TableSource
     src = TableSource(spark, root="/root/testdata/sf0.001")
     assert src.table("nation").count() == 25 and src.has("region") and not src.has("no_such_table")
+
+
+def test_sizing_conf():
+    from talentmesh.session import sizing_conf
+    c = sizing_conf(100 * 2**40)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
+    assert int(sizing_conf(10 << 20)["spark.sql.shuffle.partitions"]) == 200
