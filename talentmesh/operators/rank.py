@@ -32,6 +32,10 @@ def rank_order(key: str = "MemberId", score: str = "Similarity") -> tuple:
     return (F.desc(score), F.asc(key))
 
 
+# Raw texts are only needed to compute vectors; the literal leaves them out.
+_VECTOR_SOURCES = ("edu", "exp", "qual", "resp")
+
+
 def literal_of(value, dtype: T.DataType) -> Column:
     """A typed literal Column for a Python value of ``dtype`` (struct, array,
     scalar); None gives a typed NULL."""
@@ -52,7 +56,8 @@ def _single_struct(df: DataFrame, prefix: str) -> Column:
     resolved once - one row, so its size is bounded - and inlined as a
     constant, so the large side is scanned once with no join, no shuffle and
     no per-row subquery."""
-    fields = [F.col(c).alias(c[len(prefix) + 1:]) for c in df.columns if c.startswith(prefix + "_")]
+    fields = [F.col(c).alias(c[len(prefix) + 1:]) for c in df.columns
+              if c.startswith(prefix + "_") and c[len(prefix) + 1:] not in _VECTOR_SOURCES]
     keep = [F.col(f"`{c}`") for c in df.columns if not c.startswith(prefix + "_")]
     one = df.select(F.struct(*fields, *keep).alias(prefix)).limit(1)
     rows = one.collect()

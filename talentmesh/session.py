@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "talentmesh") -> SparkSession:
+                  app_name: str = "talentmesh", driver_memory: str = "16g") -> SparkSession:
     """A session with the settings the engine assumes: UTC session time zone,
     ANSI on, AQE (coalescing and skew-join splitting) on, UI off."""
     b = SparkSession.builder.appName(app_name)
@@ -26,6 +26,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local mode runs every task in the driver JVM: give it the heap
+        b = b.config("spark.driver.memory", driver_memory)
     return b.getOrCreate()
 
 
