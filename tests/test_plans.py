@@ -38,9 +38,10 @@ def test_single_job_reads_only_its_lines(spark):
 
 
 def test_extract_sink_counts_rows(spark, tmp_path):
+    from talentmesh.plans.flows import extract_for_job
     t = S.Tables(spark, SF)
-    jobs = S.jobs(t)
-    counts = write_extract({"jobpost": jobs.where("Id = 3"), "member": S.members(t)}, str(tmp_path))
+    bundle = extract_for_job(S.jobs(t), S.members(t), 3)      # E1 / S6: lazy bundle
+    counts = write_extract(bundle, str(tmp_path))
     assert counts == {"jobpost": 1, "member": 150}
     line = (next((tmp_path / "jobpost").glob("part-*.json"))).read_text().splitlines()[0]
     assert "CreatedDate" in json.loads(line)   # null fields are kept
