@@ -38,10 +38,11 @@ def char_profile(text) -> Column:
     """Counts of each :data:`PROFILE_ALPHABET` character in ``lower(text)``.
 
     Computed with ``replace`` + ``length`` inside ``transform`` so it runs in
-    the JVM.  It is a stand-in vector, not comparable to a language model.
+    the JVM (one pass per alphabet character; the Arrow-batched counter in
+    ``operators.embed`` does one pass per text and is the default).  It is a
+    stand-in vector, not comparable to a language model.
     """
     t = F.lower(F.coalesce(_col(text), F.lit("")))
+    n = F.length(t)
     letters = F.array(*[F.lit(c) for c in PROFILE_ALPHABET])
-    return F.transform(
-        letters, lambda c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double")
-    )
+    return F.transform(letters, lambda c: (n - F.length(F.replace(t, c, F.lit("")))).cast("double"))
