@@ -197,6 +197,22 @@ def q_score_map(spark, d):
     return score_map(q_score_jobs_for_member(spark, d), chunk_size=50)
 
 
+def q_nested_ranking_flat(spark, d):
+    """K2 checked against SQL: the nested document exploded back to rows
+    (chunk, position inside the chunk, member, score, job title)."""
+    doc = q_nested_ranking(spark, d)
+    return doc.select("JobId", "chunk", F.col("`Job Details`.`Job Title`").alias("JobTitle"),
+                      F.posexplode("`Matched Members`").alias("pos", "m")).select(
+        "JobId", "chunk", "JobTitle", "pos", F.col("m.`Member Id`").alias("MemberId"),
+        F.col("m.Similarity").alias("Similarity"))
+
+
+def q_score_map_flat(spark, d):
+    """K3 checked against SQL: the chunked score maps exploded to rows."""
+    m = q_score_map(spark, d)
+    return m.select("MemberId", "chunk", F.explode("scores").alias("JobKey", "score"))
+
+
 # ---------------------------------------------------------------- payloads
 
 def _split_payloads(spark, d):
@@ -266,6 +282,8 @@ QUERIES = {
     "match_list": q_match_list,
     "nested_ranking": q_nested_ranking,
     "score_map": q_score_map,
+    "nested_ranking_flat": q_nested_ranking_flat,
+    "score_map_flat": q_score_map_flat,
     "payload_quarantine": q_payload_quarantine,
     "payload_rank": q_payload_rank,
     "payload_score": q_payload_score,
@@ -368,6 +386,14 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
         "payload_score": _with(mem, job, prep, all_jobs, pay_score_sc) + """
  SELECT sp2.request_id, sc.MemberId, sc.JobId, sc.Similarity AS score
  FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId""",
+        "nested_ranking_flat": _with(mem, job, prep, rank_sc) + f""",
+rk AS (SELECT *, row_number() OVER (ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked}))
+ SELECT rk.JobId, CAST((rank - 1) // 100 AS BIGINT) AS chunk, jobs.JobTitle, CAST((rank - 1) % 100 AS INTEGER) AS pos,
+        rk.MemberId, rk.Similarity
+ FROM rk JOIN jobs ON rk.JobId = jobs.Id""",
+        "score_map_flat": _with(mem, job, prep, score_sc) + """
+ SELECT MemberId, CAST(floor(JobId / 50) AS BIGINT) AS chunk, CAST(JobId AS VARCHAR) AS JobKey,
+        Similarity AS score FROM sc""",
         "payload_quarantine": """
 SELECT CAST(o.o_orderkey AS VARCHAR) AS request_id, 'missing jobpost' AS error
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
