@@ -45,3 +45,10 @@ def test_extract_sink_counts_rows(spark, tmp_path):
     assert counts == {"jobpost": 1, "member": 150}
     line = (next((tmp_path / "jobpost").glob("part-*.json"))).read_text().splitlines()[0]
     assert "CreatedDate" in json.loads(line)   # null fields are kept
+
+
+def test_unused_lists_are_never_computed(spark):
+    """Left join to the per-member aggregate is removed when no list column
+    is read: a head-column query never scans the bridges."""
+    p = _plan(S.members(S.Tables(spark, SF)).select("MemberId", "Headline", "CityName"))
+    assert "collect_list" not in p and "lineitem" not in p
