@@ -52,3 +52,14 @@ def test_unused_lists_are_never_computed(spark):
     is read: a head-column query never scans the bridges."""
     p = _plan(S.members(S.Tables(spark, SF)).select("MemberId", "Headline", "CityName"))
     assert "collect_list" not in p and "lineitem" not in p
+
+
+def test_per_request_top_k_is_pre_limited(spark):
+    from talentmesh.config import MatchOptions
+    from talentmesh.plans import catalog as C
+    from talentmesh.plans.flows import rank_payloads
+    valid = C._valid_payloads(spark, SF)
+    p = _plan(rank_payloads(valid, CharProfileEmbedder(), MatchOptions(threshold=None, top_k=3)))
+    import re
+    # partial (before the shuffle) and final limits partitioned by the request
+    assert len(re.findall(r"WindowGroupLimit \[request_id", p)) == 2

@@ -30,3 +30,25 @@ def test_request_stream(spark, tmp_path):
     assert sorted((r.request_id, r.JobId) for r in res.collect()) == [("r1", 10)]
     bad = spark.read.parquet(str(tmp_path / "out" / "quarantine")).collect()
     assert [(r.request_id, r.error) for r in bad] == [("r2", "missing jobpost")]
+
+
+def test_request_stream_rank_direction(spark, tmp_path):
+    from talentmesh.config import MatchOptions
+    jobs = spark.createDataFrame([(10, "Engineer", "J10", "Paris", "Paris", "Full", None, None, True, 1.0, 2.0,
+                                   "BSc CS", "Python", "Java, SQL", "Dev", "Software", "Engineer")], JOB_SCHEMA)
+    members = spark.createDataFrame([(1, "A", "a", "a@x", "Paris", "Engineer", "Java; SQL", "Go", "BSc CS", "Dev"),
+                                     (2, "B", "b", "b@x", "Lyon", "Chef", "Cooking", "Knife", "Art", "Cook")],
+                                    MEMBER_SCHEMA)
+    j = [r.asDict() for r in jobs.collect()]
+    m = [r.asDict() for r in members.collect()]
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text(json.dumps({"request_id": "r1", "data": {"jobpost": j, "member": m}}) + "\n")
+    q = start_request_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                             jobs.schema, members.schema, CharProfileEmbedder(), direction="rank",
+                             opts=MatchOptions(threshold=None), available_now=True)
+    q.awaitTermination(120)
+    res = spark.read.parquet(str(tmp_path / "out" / "results")).collect()
+    assert sorted((r.request_id, r.MemberId) for r in res) == [("r1", 1), ("r1", 2)]
+    best = max(res, key=lambda r: r.Similarity)
+    assert best.MemberId == 1
