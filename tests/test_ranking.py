@@ -154,3 +154,19 @@ def test_top_k_option(spark, data):
     valid, _ = split_valid(df)
     got = rank_payloads(valid, E, MatchOptions(threshold=None, top_k=2)).collect()
     assert sorted((r.Similarity, r.MemberId) for r in got) == sorted(want)
+
+
+def test_null_job_fields_score_as_empty(spark, data):
+    members, _ = data
+    jobs = spark.createDataFrame([(20, None, "J20", None, None, None, None, None, None, None, None,
+                                   None, None, "Java", None, None, None)], JOB_SCHEMA)
+    got = {r.MemberId: r.Similarity
+           for r in rank_members_for_job(members, jobs, 20, E, MatchOptions(threshold=None)).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    # member 1: 'java' hits required (3); other skills 'go, rust' share nothing with 'java' (0);
+    # role '' inside headline -> 2; location 'paris' not inside '' -> 0; industry '' == '' -> 3;
+    # null texts -> zero vectors -> cosine 0
+    want = round(min((3 * .15 + 0 * .15 + 0 * .25 + 0 + 0 + 3 * .05 + 2 * .05 + 0 * .05) * 100, 100), 2)
+    assert got[1] == want
+    # member 3 has no headline and no city: role '' == '' -> 3, location '' == '' -> 2
+    assert got[3] == round((0 + 0 + 0 + 0 + 0 + 3 * .05 + 3 * .05 + 2 * .05) * 100, 2)
