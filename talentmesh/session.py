@@ -53,6 +53,34 @@ def apply_conf(spark: SparkSession, conf: dict) -> None:
         spark.conf.set(k, v)
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes ``talentmesh`` importable in Python workers (pandas UDFs
+    reference it by module path): zips the package once and registers it
+    with ``addPyFile``, which distributes it to every executor - the same
+    thing ``spark-submit --py-files`` does."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="talentmesh-pyfiles-"), "talentmesh.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Returns the checkpoint directory named by ``spark.checkpoint.dir``.
 
@@ -73,4 +101,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-__all__ = ["build_session", "ensure_checkpoint_dir", "sizing_conf", "apply_conf"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "sizing_conf", "apply_conf", "ship_package"]

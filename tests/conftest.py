@@ -13,6 +13,9 @@ def spark():
 
     s = build_session("local[4]", shuffle_partitions=8, app_name="talentmesh-tests")
     s.sparkContext.setLogLevel("ERROR")
+    from talentmesh.session import ship_package
+
+    ship_package(s)
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tm-test-ckpt-"))
     yield s
