@@ -72,7 +72,7 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
     slope: float = 4.0
     offset: float = 0.0
-    pad_words: float = 20.0
+    pad_words: float = 200.0
     _auto: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -161,12 +161,12 @@ def hash_text(s: str) -> int:
     return (zlib.crc32(b) << 31) ^ zlib.adler32(b)
 
 
-def fit_lexicon(sample: DataFrame, min_support: int | None = None, max_rate: float = 0.02, max_entries: int = 2000,
+def fit_lexicon(sample: DataFrame, min_support: int | None = None, max_rate: float = 0.1, max_entries: int = 2000, cover: int = 4,
                 exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learns from ``sample`` (doc_id, text, y), a bounded table.  Entries are
-    counted by class in Spark, copies once.  Taken are, by falling cover, the
+    counted by class in Spark, copies once.  Taken are, by falling cover times log odds, the
     entries that meet at least ``min_support`` (by default a hundredth, 3 to 5)
-    toxic texts not yet met twice
+    toxic texts not yet met ``cover`` times
     and at most ``max_rate`` as large a share of the others as of the toxic.  Without both
     classes the lexicon is empty."""
     from .common import written
@@ -201,24 +201,23 @@ def fit_lexicon(sample: DataFrame, min_support: int | None = None, max_rate: flo
         for i in hits:
             by[i].append(d)
     by = [np.array(x, np.int64) for x in by]
+    odds = {e: math.log((t + 0.5) / (t_all + 1)) - math.log((o + 0.5) / (o_all + 1)) for e, (t, o) in cand.items()}
     met = np.zeros(len(rows), np.int64)
     taken, left = {}, set(range(len(names)))
     gain = {i: len(by[i]) for i in left}
     while left and len(taken) < max_entries:
         # lazy greedy: gains only fall
-        i = max(left, key=lambda j: (gain[j], -len(names[j]), names[j]))
-        now = int((met[by[i]] < 2).sum())
+        i = max(left, key=lambda j: (gain[j] * odds[names[j]], -len(names[j]), names[j]))
+        now = int((met[by[i]] < cover).sum())
         if now < gain[i]:
             gain[i] = now
             if now < min_support:
                 left.discard(i)
             continue
-        if now < min_support:
-            break
         left.discard(i)
-        tox, ok = cand[names[i]]
-        taken[names[i]] = math.log((tox + 0.5) / (t_all + 1)) - math.log((ok + 0.5) / (o_all + 1))
-        met[by[i]] += 1
+        if now >= min_support:
+            taken[names[i]] = odds[names[i]]
+            met[by[i]] += 1
     lex = Lexicon(taken, exceptions)
     # the line of the score: half way between the usual text of either class
     def _densities(batches):
