@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, toxicity, urls
+from . import bpe, decontaminate, html_text, quality, toxicity, urls
 from .common import fit_sample, held_out, read_table
 
 TOXIC_CUT = 0.5
 QUALITY_CUT = 0.3
 TOXIC_FIT_ROWS = 12_000
 QUALITY_FIT_ROWS = 4_000
+PAGE_FIT_ROWS = 1_500
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
              urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
 
@@ -53,12 +54,32 @@ SELECT page_id, host, path, rule,
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    got = bpe.encode(docs, bpe.read_ranks(tokenizer_path()), with_offsets=False, with_decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(fit_sample(docs, read_table(spark, sf_dir, "labels"), "quality", QUALITY_FIT_ROWS))
     return _scored(quality.score(docs, model), QUALITY_CUT).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    got = html_text.extract(pages, html_text.fit(pages, PAGE_FIT_ROWS))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -69,8 +90,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
+    "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL = {"op3_url_filters": OP3_SQL}
