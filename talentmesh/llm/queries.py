@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, quality, toxicity, urls
+from . import bpe, decontaminate, html_text, jaccard, quality, toxicity, urls
 from .common import fit_sample, held_out, read_table
 
 TOXIC_CUT = 0.5
@@ -74,6 +74,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), QUALITY_CUT).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     got = html_text.extract(pages, html_text.fit(pages, PAGE_FIT_ROWS))
@@ -93,6 +97,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
 }
