@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard, quality, toxicity, urls
+from . import bpe, decontaminate, html_text, jaccard, quality, secrets, topk, toxicity, urls
 from .common import fit_sample, held_out, read_table
 
 TOXIC_CUT = 0.5
@@ -68,6 +68,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    stats = secrets.corpus_stats(docs)
+    got = secrets.scan(docs, secrets.fit(spark, stats), stats, path_col="source", confirmed_only=False)
+    return got.select("doc_id", "start", "end", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.fit(fit_sample(docs, read_table(spark, sf_dir, "labels"), "quality", QUALITY_FIT_ROWS))
@@ -92,13 +99,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+SEARCH_K = 10
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100, as a query, against all."""
+    docs = read_table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return topk.search(docs, asked, SEARCH_K)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filters": op3_url_filters,
+    "op4_secret_scans": op4_secret_scans,
     "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
+    "op10_topk_search": op10_topk_search,
 }
 ORACLE_SQL = {"op3_url_filters": OP3_SQL}
