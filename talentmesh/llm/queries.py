@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard, quality, secrets, topk, toxicity, urls
+from . import bpe, decontaminate, html_text, jaccard, quality, secrets, suffixes, topk, toxicity, urls
 from .common import fit_sample, held_out, read_table
 
 TOXIC_CUT = 0.5
@@ -85,6 +85,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False)
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     got = html_text.extract(pages, html_text.fit(pages, PAGE_FIT_ROWS))
@@ -116,6 +121,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_topk_search": op10_topk_search,
