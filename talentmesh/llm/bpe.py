@@ -355,30 +355,32 @@ def _lists(ids: np.ndarray, before: np.ndarray) -> pa.Array:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text",
-           with_offsets: bool = True, with_decoded: bool = False) -> DataFrame:
-    """(id, ids[, offsets][, decoded]) of every row, without special tokens.
+           with_offsets: bool = True, with_decoded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``keep`` columns, ids[, offsets][, decoded]) of every row, without
+    special tokens.
 
     ``offsets`` are the bytes of the text at which the tokens begin;
     ``decoded`` the bytes that the ids give back.  Null and empty texts have
     no ids; repeated rows are encoded each for itself."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "ids"] + ["offsets"] * with_offsets + ["decoded"] * with_decoded
+    carried = (id_col, *keep)
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    names = [*carried, "ids"] + ["offsets"] * with_offsets + ["decoded"] * with_decoded
 
     def run(batches):
         codec = _codec(shared.value)
         for b in batches:
-            for lo, hi, buf, offs in text_chunks(b.column(1), CHUNK_BYTES // 2):
+            for lo, hi, buf, offs in text_chunks(b.column(len(carried)), CHUNK_BYTES // 2):
                 ids, before = codec.encode(buf, offs)
-                cols = [b.column(0).slice(lo, hi - lo), _lists(ids, before)]
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carried))] + [_lists(ids, before)]
                 if with_offsets:
                     cols.append(_lists(codec.offsets(ids, before), before))
                 if with_decoded:
                     cols.append(_binary(*codec.decode(ids, before)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, ids array<int>" + ", offsets array<int>" * with_offsets + ", decoded binary" * with_decoded)
+    return docs.select(*carried, text_col).mapInArrow(
+        run, f"{fields}, ids array<int>" + ", offsets array<int>" * with_offsets + ", decoded binary" * with_decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -190,11 +190,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None
     """
     base = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = []
-    for block in _blocks(items, block_bytes):
-        w = cut_windows([i for i, _ in block], [t for _, t in block], size)
-        plan_lookups(w, _term_counts(base, w.terms))
-        parts.append(_scan_block(base, w, slop, id_col, kind))
+    parts = [_scan_block(base, w, slop, id_col, kind) for w in _lookups(base, items, size, block_bytes)]
     if len(parts) == 1:
         return parts[0]
     whole = written(parts[0], "phrases")
@@ -209,6 +205,50 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None
             .select(id_col, "n_words", F.size("covered").cast("long").alias("n_hit"), F.array_sort("all").alias("spans"), "items", "near"))
 
 
+def _lookups(base: DataFrame, items: DataFrame, size: int, block_bytes: int):
+    for block in _blocks(items, block_bytes):
+        w = cut_windows([i for i, _ in block], [t for _, t in block], size)
+        plan_lookups(w, _term_counts(base, w.terms))
+        yield w
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that are not contaminated.  With one
+    block of items nothing is shuffled; with several, ids have to be distinct."""
+    looked = list(_lookups(docs.select(F.col(text_col).alias("text")), items, size, block_bytes))
+    if len(looked) > 1:
+        bad = scan(docs, items, size, None, block_bytes, id_col, text_col).where(contaminated(F.col("n_hit"), F.col("n_words")))
+        return docs.join(bad.select(id_col), id_col, "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(looked[0])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        w = shared.value
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for lo, hi, buf, offs in text_chunks(b.column(at)):
+                *_, n_words, n_hit = _match(buf, offs, w)
+                clean[lo:hi] = ~((n_hit > 0) & (20 * n_hit >= n_words))
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _match(buf: np.ndarray, offs: np.ndarray, w: Windows):
+    """Occurrences in a chunk of texts, hit words, and their numbers by row."""
+    _, _, h, before = scan_words(buf, offs, ALNUM_SEPARATORS)
+    ids = term_numbers(h, w.terms)
+    n_words = np.diff(before)
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    which, start = find_phrases(ids, doc, w)
+    step = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(step, start, 1)
+    np.add.at(step, start + w.sizes[which], -1)
+    hit = np.cumsum(step)[:len(ids)] > 0
+    return ids, before, doc, which, start, hit, n_words, np.bincount(doc[hit], minlength=len(n_words))
+
+
 def _scan_block(base: DataFrame, windows: Windows, slop, id_col: str, kind: str) -> DataFrame:
     shared = base.sparkSession.sparkContext.broadcast(windows)
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
@@ -217,16 +257,7 @@ def _scan_block(base: DataFrame, windows: Windows, slop, id_col: str, kind: str)
         w = shared.value
         for b in batches:
             for lo, hi, buf, offs in text_chunks(b.column(1)):
-                _, _, h, before = scan_words(buf, offs, ALNUM_SEPARATORS)
-                ids = term_numbers(h, w.terms)
-                n_words = np.diff(before)
-                doc = np.repeat(np.arange(hi - lo), n_words)
-                which, start = find_phrases(ids, doc, w)
-                step = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(step, start, 1)
-                np.add.at(step, start + w.sizes[which], -1)
-                hit = np.cumsum(step)[:len(ids)] > 0
-                n_hit = np.bincount(doc[hit], minlength=hi - lo)
+                ids, before, doc, which, start, hit, n_words, n_hit = _match(buf, offs, w)
                 spans = [[] for _ in range(hi - lo)]
                 items = [set() for _ in range(hi - lo)]
                 near = [set() for _ in range(hi - lo)]

@@ -252,3 +252,16 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
                                               pa.array([g[1] for g in got], pa.int32())], names=[id_col, "score", "n_hits"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, score double, n_hits int")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, cut: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that score below ``cut``."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        lex = shared.value
+        for b in batches:
+            yield b.filter(pa.array([lex.score(t)[0] < cut for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
