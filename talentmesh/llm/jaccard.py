@@ -54,7 +54,18 @@ def set_class(x: np.ndarray) -> int:
 
 
 def signature(x: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((x >> _U(20)).astype(np.int64) & (SIG_BITS - 1), minlength=SIG_BITS).astype(np.uint8) & 1).tobytes()
+    """Parity bits, at least one for each element; folded on halves they are
+    the signature of half the length."""
+    bits = SIG_BITS
+    while bits < len(x):
+        bits *= 2
+    at = (x >> _U(20)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sig: bytes, size: int) -> np.ndarray:
+    """A signature of ``size`` bytes from a longer one."""
+    return np.bitwise_xor.reduce(np.frombuffer(sig, np.uint8).reshape(-1, size), axis=0)
 
 
 def _sets(batch_column):
@@ -255,6 +266,31 @@ def _pair_batch(a, b):
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(np.zeros(len(ab), bool))], names=["a", "b", "more"])
 
 
+def _shorten(batches):
+    """Signatures of ``SIG_BITS`` for the rows of lists."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([folded(x, SIG_BITS // 8).tobytes() for x in b.column("sig").to_pylist()], pa.binary())],
+                                         names=["cls", "sig"])
+
+
+def _close(batches):
+    """Pairs that full-length signatures do not exclude."""
+    for b in batches:
+        n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+        keep = []
+        for x, y, most in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), ((n + m) // 9).tolist()):
+            size = min(len(x), len(y))
+            keep.append(int(_POP[folded(x, size) ^ folded(y, size)].sum()) <= most)
+        yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
+def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    c = classes.select("cls", "n", "sig")
+    both = (pairs.join(c.withColumnsRenamed({"cls": "a", "n": "na", "sig": "sa"}), "a")
+            .join(c.withColumnsRenamed({"cls": "b", "n": "nb", "sig": "sb"}), "b"))
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close, "a long, b long")
+
+
 def _bitmap(classes: DataFrame, bits: int) -> np.ndarray:
     rows = (classes.select(F.pmod("cls", F.lit(bits)).alias("x")).groupBy(F.shiftright("x", 6).cast("int").alias("w"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(x % 64 as int)))").alias("v")).toPandas())
@@ -294,9 +330,10 @@ def _member_sets(base: DataFrame, classes: DataFrame) -> DataFrame:
     return sets.groupBy("cls").agg(F.first("x").alias("x"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """Exact check: 100 |A and B| >= 80 |A or B|."""
-    s = sets.select("cls", "x")
+    members = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "jaccard-members")
+    s = written(_member_sets(base, members), "jaccard-sets")
     both = (pairs.join(s.withColumnsRenamed({"cls": "a", "x": "xa"}), "a").join(s.withColumnsRenamed({"cls": "b", "x": "xb"}), "b"))
     common = F.size(F.array_intersect("xa", "xb"))
     return both.where(100 * common >= 80 * (F.size("xa") + F.size("xb") - common)).select("a", "b")
@@ -315,7 +352,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prof = written(base.mapInArrow(_profile, "doc_id long, n long, cls long, sig binary, token long"), "jaccard-profile")
     per_doc = prof.where("sig IS NOT NULL").select("doc_id", "n", "cls", "sig")
     classes = written(per_doc.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"),
-                                                              F.first("sig").alias("sig")), "jaccard-classes")
+                                                              F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
     stats = per_doc.agg(F.count("*"), F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).first()
     # at most (prefix rows / bound) tokens exceed the bound: a size that depends on the
     # mean document length only, not on their number
@@ -351,7 +388,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entry = "token long, cls long, n int, pos int, kind int"
     lists = base.mapInArrow(rows, entry).repartition("token").sortWithinPartitions("token", "kind", "n", "cls").mapInArrow(_shared, entry)
     lists = written(lists, "jaccard-lists")
-    signed = lists.join(classes.select("cls", "sig"), "cls")
+    short = classes.mapInArrow(_shorten, "cls long, sig binary")
+    signed = lists.join(short, "cls")
     scan = (signed.repartition("token").sortWithinPartitions("token", "kind", "n", "cls")
             .select("token", "kind", "n", "pos", "cls", "sig").mapInArrow(_candidates(plan.light, True), "a long, b long, more boolean"))
     scan = written(scan, "jaccard-candidates")
@@ -359,16 +397,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scan.where("more").select(F.col("a").alias("token"), F.col("b").cast("int").alias("kind")).distinct()
     # every set of a list with further partners may be compared again
     again = written(lists.join(more, ["token", "kind"], "left_semi"), "jaccard-long-lists")
-    pairs = written(pairs, "jaccard-pairs")
-    members = (pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(again.select("cls"))).distinct()
-    sets = written(_member_sets(base, written(members, "jaccard-members")), "jaccard-sets")
-    links = written(_verified(pairs, sets), "jaccard-links")
+    pairs = written(_sifted(pairs, classes), "jaccard-pairs")
+    links = written(_verified(pairs, base), "jaccard-links")
     labels = components(links)
     rest = (again.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            .join(classes.select("cls", "sig"), "cls").repartition("token").sortWithinPartitions("token", "kind", "n", "cls")
+            .join(short, "cls").repartition("token").sortWithinPartitions("token", "kind", "n", "cls")
             .select("token", "kind", "n", "pos", "cls", "sig", "label").mapInArrow(_candidates(plan.light, False), "a long, b long, more boolean"))
-    rest = written(rest.select("a", "b").distinct(), "jaccard-pairs")
-    new = written(_verified(rest, sets), "jaccard-links")
+    rest = written(_sifted(rest.select("a", "b").distinct(), classes), "jaccard-pairs")
+    new = written(_verified(rest, base), "jaccard-links") if rest.take(1) else rest
     if new.take(1):
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
     grouped = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
