@@ -22,19 +22,28 @@ def _lc(c) -> Column:
     return F.lower(blank_if_null(c))
 
 
+def industry_grade(member_lc, job_lc) -> Column:
+    """M6 on lower-cased inputs: equal 3; member inside job 2; else 0."""
+    return graded(member_lc, job_lc, member_lc, job_lc, INDUSTRY_POINTS)
+
+
+def role_grade(headline_lc, role_lc) -> Column:
+    """M7: equal 3; job role inside member headline 2; else 0."""
+    return graded(headline_lc, role_lc, role_lc, headline_lc, ROLE_POINTS)
+
+
+def location_grade(city_lc, location_lc) -> Column:
+    """M8: equal 2; member city inside job location 1; else 0."""
+    return graded(city_lc, location_lc, city_lc, location_lc, LOCATION_POINTS)
+
+
 def industry_points(member_industry, job_industry) -> Column:
-    """M6: equal 3; member inside job 2; else 0."""
-    m, j = _lc(member_industry), _lc(job_industry)
-    return graded(m, j, m, j, INDUSTRY_POINTS)
+    return industry_grade(_lc(member_industry), _lc(job_industry))
 
 
 def role_points(member_headline, job_role) -> Column:
-    """M7: equal 3; job role inside member headline 2; else 0."""
-    m, j = _lc(member_headline), _lc(job_role)
-    return graded(m, j, j, m, ROLE_POINTS)
+    return role_grade(_lc(member_headline), _lc(job_role))
 
 
 def location_points(member_city, job_location) -> Column:
-    """M8: equal 2; member city inside job location 1; else 0."""
-    m, j = _lc(member_city), _lc(job_location)
-    return graded(m, j, m, j, LOCATION_POINTS)
+    return location_grade(_lc(member_city), _lc(job_location))

@@ -44,9 +44,8 @@ def job_fragments(job_skills) -> Column:
 def skill_points(member_lower, member_tokens, fragments, job_skills, required: bool) -> Column:
     """M0 on pre-computed member-side columns.
 
-    ``member_lower``/``member_tokens`` come from :func:`member_skill_columns`
-    so the lower-casing and tokenising happen once per member, not once per
-    fragment.  ``fragments`` is :func:`job_fragments` of ``job_skills``.
+    ``member_lower``/``member_tokens`` are columns that were
+    computed once per member (see :func:`.once.computed_once`).  ``fragments`` is :func:`job_fragments` of ``job_skills``.
     """
     hit, fuzzy = REQUIRED_POINTS if required else OPTIONAL_POINTS
     m = _col(member_lower)
@@ -67,17 +66,3 @@ def match_skills(member_skills, job_skills, required: bool = False) -> Column:
     m = F.lower(blank_if_null(member_skills))
     js = blank_if_null(job_skills)
     return skill_points(m, whitespace_tokens(m), job_fragments(js), js, required)
-
-
-def member_skill_columns(df, skills_col: str, prefix: str):
-    """Adds ``{prefix}_lc`` and ``{prefix}_tok`` (lower-cased text and its
-    whitespace tokens) for a member skill column, computed once per row."""
-    lc = F.lower(blank_if_null(skills_col))
-    return df.withColumn(f"{prefix}_lc", lc).withColumn(
-        f"{prefix}_tok", whitespace_tokens(F.col(f"{prefix}_lc"))
-    )
-
-
-def fused_skills(required, preferred) -> Column:
-    """M3 input: required and preferred concatenated with no separator."""
-    return F.concat(blank_if_null(required), blank_if_null(preferred))

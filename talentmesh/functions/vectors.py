@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .skills import _col
 
-# The alphabet of the character-profile vector (one dimension
-# per character, counted after lower-casing).
+# The alphabet of the character-profile vector (one dimension per character,
+# counted after lower-casing); a choice of this library.
 PROFILE_ALPHABET = string.ascii_lowercase + string.digits
 
 
@@ -25,13 +25,18 @@ def dot(a, b) -> Column:
     return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a, b) -> Column:
-    """V2: dot(a,b) / (|a| |b|); 0 when either vector is zero or missing.
+def norm(v) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a, b, norm_a=None, norm_b=None) -> Column:
+    """V2: dot(a,b) / (|a| |b|); 0 when either vector is zero or missing, or
+    where a vector holds NaN.  Lengths at hand may be passed in.
 
     ``try_divide`` keeps a zero norm from failing the batch under ANSI mode.
     """
-    denom = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.coalesce(F.try_divide(dot(a, b), denom), F.lit(0.0))
+    denom = (norm(a) if norm_a is None else _col(norm_a)) * (norm(b) if norm_b is None else _col(norm_b))
+    return F.nanvl(F.coalesce(F.try_divide(dot(a, b), denom), F.lit(0.0)), F.lit(0.0))
 
 
 def char_profile(text) -> Column:

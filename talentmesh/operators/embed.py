@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import PROFILE_ALPHABET, char_profile
+from ..sources.tables import path_exists
 
 
 def text_key(text) -> Column:
@@ -88,7 +89,8 @@ class VectorTableEmbedder:
     inline = False
 
     def __init__(self, table: DataFrame, key_col: str = "key", vector_col: str = "vector"):
-        self.table = table.select(F.col(key_col).alias("_vk"), F.col(vector_col).alias("_vv"))
+        # a key stored twice counts once, or it would double the rows it joins
+        self.table = table.groupBy(F.col(key_col).alias("_vk")).agg(F.first(vector_col).alias("_vv"))
 
     def attach(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         keyed = df.withColumn("_tk", text_key(text_col))
@@ -144,40 +146,7 @@ class ModelEmbedder:
         spark = df.sparkSession
         texts = df.select(text_key(text_col).alias("key"),
                           F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["key"])
-        try:
-            stored = spark.read.parquet(table_path).select("key")
-            texts = texts.join(stored, "key", "left_anti")
-        except Exception:  # no table yet: embed everything
-            pass
+        if path_exists(spark, table_path):  # any other error is raised
+            texts = texts.join(spark.read.parquet(table_path).select("key"), "key", "left_anti")
         texts.select("key", self._udf(F.col("text")).alias("vector")).write.mode("append").parquet(table_path)
         return VectorTableEmbedder(spark.read.parquet(table_path))
-
-
-def hashed_bag_of_words(dim: int = 64):
-    """A deterministic model factory for tests and demos: mean of per-token
-    pseudo-random unit vectors seeded by a stable token hash."""
-    import xxhash
-
-    def factory():
-        cache: dict = {}
-
-        def token_vec(tok: str) -> np.ndarray:
-            v = cache.get(tok)
-            if v is None:
-                rng = np.random.default_rng(xxhash.xxh64_intdigest(tok))
-                v = rng.standard_normal(dim).astype(np.float32)
-                v /= np.linalg.norm(v) or 1.0
-                cache[tok] = v
-            return v
-
-        def model(texts):
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for i, t in enumerate(texts):
-                toks = t.lower().split()
-                if toks:
-                    out[i] = np.mean([token_vec(x) for x in toks], axis=0)
-            return out
-
-        return model
-
-    return factory

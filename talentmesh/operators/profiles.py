@@ -30,7 +30,6 @@ from ..config import (
 )
 from ..functions.normalize import normalize_row_values
 
-LONG_SCHEMA = "MemberId bigint, cat string, k bigint, v1 string, v2 string"
 
 EDUCATION, EXPERIENCE, OTHER_SKILLS = "Education", "Experience", "OtherSkills"
 
@@ -75,12 +74,6 @@ def other_skills_long_form(other: DataFrame) -> DataFrame:
     return other.select(*_long(F.col("MemberId"), OTHER_SKILLS, None, F.col("OtherSkillName"), None))
 
 
-def _listagg(value: str, delim: str, cat: str) -> Column:
-    return F.expr(
-        f"listagg({value}, '{delim}') WITHIN GROUP (ORDER BY k, v1, v2) FILTER (WHERE cat = '{cat}')"
-    )
-
-
 CHILD_LISTS = (
     (EDUCATION, LIST_DELIMITER, "EducationInfo"),
     (EXPERIENCE, LIST_DELIMITER, "ExperienceInfo"),
@@ -88,47 +81,30 @@ CHILD_LISTS = (
 )
 
 
-def _joined(elements: Column, cat: str, field: str, delim: str) -> Column:
-    """One delimited list out of a member's sorted element array: elements
-    of ``cat``, nulls skipped; NULL when nothing is left (as listagg)."""
-    vals = F.filter(F.transform(F.filter(elements, lambda e: e["cat"] == F.lit(cat)), lambda e: e[field]),
-                    lambda v: v.isNotNull())
-    return F.when(F.size(vals) > 0, F.array_join(vals, delim))
-
-
 def aggregate_lists(long_form: DataFrame, categories=CATEGORIES, children=CHILD_LISTS) -> DataFrame:
-    """G1-G5 in one shuffle: one row per member with every list column.
-
-    All elements of a member are gathered once (``collect_list`` with
-    map-side partial aggregation), sorted once by (cat, k, v1, v2), and then
-    split per category by column expressions - one aggregate buffer per
-    member instead of one per list.  Nulls are skipped; a member whose
-    elements are all null gets NULL (the caller turns it into 'Unknown').
-    No DISTINCT: duplicates stay."""
-    g = long_form.groupBy("MemberId").agg(
-        F.array_sort(F.collect_list(F.struct("cat", "k", "v1", "v2"))).alias("_e"))
-    cols = []
-    for cat, *_rest, out_names, out_descs in categories:
-        cols.append(_joined(F.col("_e"), cat, "v1", LIST_DELIMITER).alias(out_names))
-        cols.append(_joined(F.col("_e"), cat, "v2", LIST_DELIMITER).alias(out_descs))
-    for cat, delim, out in children:
-        cols.append(_joined(F.col("_e"), cat, "v1", delim).alias(out))
-    return g.select("MemberId", *cols)
-
-
-def aggregate_lists_separately(parts: dict[str, DataFrame], categories=CATEGORIES) -> DataFrame | None:
-    """The reference's shape: one aggregate per list, each left-joined on
-    MemberId.  Kept for plan comparison; :func:`aggregate_lists` is default."""
-    out = None
-    for cat, *_rest, out_names, out_descs in categories:
-        if cat not in parts:
-            continue
-        agg = parts[cat].groupBy("MemberId").agg(
-            _listagg("v1", LIST_DELIMITER, cat).alias(out_names),
-            _listagg("v2", LIST_DELIMITER, cat).alias(out_descs),
-        )
-        out = agg if out is None else out.join(agg, "MemberId", "full")
-    return out
+    """One row per member with every list column.
+
+    Elements are gathered and sorted per (member, category) - so a member
+    with many rows is spread over as many tasks as there are lists, and a
+    buffer holds one list, not all - joined to their strings there, and only
+    the strings meet per member.  Nulls are skipped; a member whose elements
+    are all null gets NULL (the caller turns it into 'Unknown').  No
+    DISTINCT: duplicates stay."""
+    others = [cat for cat, delim, _ in children if delim != LIST_DELIMITER]
+    per = long_form.groupBy("MemberId", "cat").agg(F.array_sort(F.collect_list(F.struct("k", "v1", "v2"))).alias("_e"))
+
+    def text(field):
+        vals = F.filter(F.transform("_e", lambda e: e[field]), lambda v: v.isNotNull())
+        text = F.when(F.col("cat").isin(others), F.array_join(vals, OTHER_SKILLS_DELIMITER)).otherwise(F.array_join(vals, LIST_DELIMITER))
+        return F.when(F.size(vals) > 0, text)
+
+    per = per.select("MemberId", "cat", text("v1").alias("v1"), text("v2").alias("v2"))
+    wanted = [(cat, "v1", n) for cat, *_r, n, _ in categories] + [(cat, "v2", d) for cat, *_r, d in categories]
+    wanted += [(cat, "v1", out) for cat, _, out in children]
+    # one string for each member and category, so a maximum picks it
+    aggs = [F.max(F.when(F.col("cat") == cat, F.col(v))).alias(out) for cat, v, out in wanted]
+    order = [c for cat in categories for c in cat[-2:]] + [c[2] for c in children]
+    return per.groupBy("MemberId").agg(*aggs).select("MemberId", *order)
 
 
 def _lookup(df: DataFrame, dim: DataFrame | None, fk: str, name_col: str, alias: str) -> DataFrame:
@@ -141,8 +117,8 @@ def _lookup(df: DataFrame, dim: DataFrame | None, fk: str, name_col: str, alias:
 
 def member_profiles(member: DataFrame, long_form: DataFrame | None, age: DataFrame | None = None,
                     city: DataFrame | None = None, ethnicity: DataFrame | None = None,
-                    categories=CATEGORIES, normalize: bool = True) -> DataFrame:
-    """S3: one 38-column row per member.
+                    categories=CATEGORIES, normalize: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+    """S3: one 38-column row per member (and ``extra`` columns of ``member``).
 
     ``long_form`` is the union of :func:`bridge_long_form`,
     :func:`education_long_form`, :func:`experience_long_form` and
@@ -150,7 +126,7 @@ def member_profiles(member: DataFrame, long_form: DataFrame | None, age: DataFra
     m = member.select(
         F.col("Id").alias("MemberId"), "MemberFirstName", "MemberLastName", "MemberEmail",
         "IsActive", "CreatedDate", "ModifiedDate", "MemberEthnicityId", "MemberGenderId",
-        "Age_Id", "CityId", "Headline",
+        "Age_Id", "CityId", "Headline", *extra,
     )
     m = _lookup(m, age, "Age_Id", "AgeName", "AgeName")
     m = _lookup(m, city, "CityId", "CityName", "CityName")
@@ -173,6 +149,7 @@ def member_profiles(member: DataFrame, long_form: DataFrame | None, age: DataFra
         F.coalesce(F.col("EducationInfo"), F.lit(UNKNOWN)).alias("Education"),
         F.coalesce(F.col("ExperienceInfo"), F.lit(UNKNOWN)).alias("Experience"),
         F.coalesce(F.col("OtherSkillNames"), F.lit(UNKNOWN)).alias("OtherSkills"),
+        *extra,
     )
     return normalize_row_values(out) if normalize else out
 
@@ -185,10 +162,11 @@ def scoring_profiles(member: DataFrame, long_form: DataFrame | None, city: DataF
     """Member rows restricted to what scoring and the ranking output read
     (skills, other skills, education, experience, headline, city, display
     fields): the other nine categories are never gathered."""
+    extra = tuple(c for c in ("Industry",) if c in member.columns)
     prof = member_profiles(member, long_form, age=None, city=city, ethnicity=None,
-                           categories=SCORING_CATEGORIES, normalize=normalize)
+                           categories=SCORING_CATEGORIES, normalize=normalize, extra=extra)
     return prof.select("MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName",
-                       "Headline", "TechnicalSkillNames", "OtherSkills", "Education", "Experience")
+                       "Headline", *extra, "TechnicalSkillNames", "OtherSkills", "Education", "Experience")
 
 
 def job_posts(jobpost: DataFrame, employment_type: DataFrame | None = None,

@@ -1,8 +1,7 @@
 """Pairing, thresholding and ranking.
 
 The reference pairs ONE job with every member (rank members) or ONE member
-with every job (score jobs).  Here the single side is resolved once to one
-struct literal, so the big side is scanned once and never joined or
+with every job (score jobs).  Here the single side is one scalar subquery, so the big side is scanned once and never joined or
 shuffled for pairing.  Ranks are computed with a distributed
 range sort (no task ever holds one whole job's match list).
 """
@@ -11,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import MatchOptions
 from ..session import ensure_checkpoint_dir
@@ -19,6 +17,7 @@ from .score import (
     Side,
     attach_job_vectors,
     attach_member_vectors,
+    packed_fields,
     prepare_jobs,
     prepare_members,
     score_cheap,
@@ -32,36 +31,17 @@ def rank_order(key: str = "MemberId", score: str = "Similarity") -> tuple:
     return (F.desc(score), F.asc(key))
 
 
-# Raw texts are only needed to compute vectors; the literal leaves them out.
-_VECTOR_SOURCES = ("edu", "exp", "qual", "resp")
+def _with_single(df: DataFrame, one: DataFrame, prefix: str, key: str) -> DataFrame:
+    """Every row of ``df`` with the first row of ``one`` (F4: pick first): its
+    ``prefix_*`` columns (see :func:`..operators.score.packed_fields`) and its
+    key as ``prefix__id``.  No row at all where ``one`` is empty.
 
-
-def literal_of(value, dtype: T.DataType) -> Column:
-    """A typed literal Column for a Python value of ``dtype`` (struct, array,
-    scalar); None gives a typed NULL."""
-    if value is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(dtype, T.StructType):
-        return F.struct(*[literal_of(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
-    if isinstance(dtype, T.ArrayType):
-        return F.array(*[literal_of(v, dtype.elementType) for v in value]).cast(dtype)
-    return F.lit(value).cast(dtype)
-
-
-def _single_struct(df: DataFrame, prefix: str) -> Column:
-    """The first row of ``df`` (F4: pick first) as one struct literal of its
-    ``prefix_*`` fields plus the remaining columns.
-
-    The single job (or member) of a request is a query parameter: it is
-    resolved once - one row, so its size is bounded - and inlined as a
-    constant, so the large side is scanned once with no join, no shuffle and
-    no per-row subquery."""
-    fields = [F.col(c).alias(c[len(prefix) + 1:]) for c in df.columns
-              if c.startswith(prefix + "_") and c[len(prefix) + 1:] not in _VECTOR_SOURCES]
-    keep = [F.col(f"`{c}`") for c in df.columns if not c.startswith(prefix + "_")]
-    one = df.select(F.struct(*fields, *keep).alias(prefix)).limit(1)
-    rows = one.collect()
-    return literal_of(rows[0][0] if rows else None, one.schema[prefix].dataType)
+    The single job (or member) of a request is a scalar subquery: it is run
+    once when the query runs, nothing of it passes through Python, and the
+    plan does not grow with its texts or vectors.  The large side is scanned
+    once with no join and no shuffle."""
+    row = one.select(F.struct(F.lit(True).alias("_found"), *packed_fields(one, prefix, key)).alias("_one")).limit(1).scalar()
+    return df.select("*", F.inline(F.array(row))).where(F.col("_found")).drop("_found")
 
 
 def rank_members_for_job(members: DataFrame, jobs: DataFrame, job_id, embedder,
@@ -70,14 +50,13 @@ def rank_members_for_job(members: DataFrame, jobs: DataFrame, job_id, embedder,
     threshold (inclusive, after rounding).  Output is flat:
     (JobId, MemberId, MemberFirstName, MemberLastName, MemberEmail, City, Similarity)."""
     job = attach_job_vectors(prepare_jobs(jobs.where(F.col("Id") == F.lit(job_id))), embedder)
-    jrow = _single_struct(job, "j")
-    m = prepare_members(members).select("*", jrow.alias("j")).where(F.col("j").isNotNull())
-    ms, js = Side("m"), Side("j", nested=True)
+    m = prepare_members(_with_single(members, job, "j", "Id"))
+    ms, js = Side("m"), Side("j")
     m = score_cheap(m, ms, js, opts)
     m = attach_member_vectors(m, embedder)
     m = score_full(m, ms, js, opts, keep_components=False)
     out = m.select(
-        F.col("j.Id").alias("JobId"), "MemberId", "MemberFirstName", "MemberLastName",
+        F.col("j__id").alias("JobId"), "MemberId", "MemberFirstName", "MemberLastName",
         "MemberEmail", F.col("CityName").alias("City"), "Similarity",
     )
     return top_matches(out, opts.top_k) if opts.top_k else out
@@ -89,13 +68,12 @@ def score_jobs_for_member(members: DataFrame, jobs: DataFrame, member_id, embedd
     default).  Output is flat: (MemberId, JobId, score)."""
     mem = attach_member_vectors(prepare_members(members.where(F.col("MemberId") == F.lit(member_id))),
                                 embedder)
-    mrow = _single_struct(mem, "m")
-    j = prepare_jobs(jobs).select("*", mrow.alias("m")).where(F.col("m").isNotNull())
-    ms, js = Side("m", nested=True), Side("j")
+    j = prepare_jobs(_with_single(jobs, mem, "m", "MemberId"))
+    ms, js = Side("m"), Side("j")
     j = score_cheap(j, ms, js, opts)
     j = attach_job_vectors(j, embedder)
     j = score_full(j, ms, js, opts, keep_components=False)
-    return j.select(F.col("m.MemberId").alias("MemberId"), F.col("Id").alias("JobId"),
+    return j.select(F.col("m__id").alias("MemberId"), F.col("Id").alias("JobId"),
                     F.col("Similarity").alias("score"))
 
 
@@ -117,6 +95,8 @@ def global_rank(df: DataFrame, order_cols=None, partitions: int | None = None,
     """Exact 1-based position in ``order_cols`` order, computed without a
     single-partition window:
 
+    0. checkpoint the rows, as the range partitioning reads them twice (to
+       sample its bounds and to sort);
     1. range-partition + sort within partitions (balanced by sampling);
     2. checkpoint, so partitions and row order are fixed for the next steps
        and lineage is cut (the folder is ``spark.checkpoint.dir``);
@@ -129,6 +109,7 @@ def global_rank(df: DataFrame, order_cols=None, partitions: int | None = None,
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.checkpoint(eager=True)
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).checkpoint(eager=True)
     pid = F.spark_partition_id()
     tagged = ordered.select("*", pid.alias("_pid"), F.monotonically_increasing_id().alias("_mid"))

@@ -18,23 +18,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import INDUSTRY_POINTS, LOCATION_POINTS, ROLE_POINTS, SCORE_CAP, MatchOptions
+from ..config import SCORE_CAP, MatchOptions
 from ..functions import scoring as S
-from ..functions.matching import graded
+from ..functions.matching import industry_grade, location_grade, role_grade
+from ..functions.once import computed_once
 from ..functions.skills import blank_if_null, job_fragments, skill_points, whitespace_tokens
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, norm
 
 
 @dataclass(frozen=True)
 class Side:
-    """Accessor for one side's prepared fields: ``prefix_<name>`` columns or
-    fields of a struct column ``prefix``."""
+    """Accessor for one side's prepared fields: ``prefix_<name>`` columns."""
 
     prefix: str
-    nested: bool = False
 
     def __call__(self, name: str) -> Column:
-        return F.col(f"{self.prefix}.{name}") if self.nested else F.col(f"{self.prefix}_{name}")
+        return F.col(f"{self.prefix}_{name}")
 
 
 def _opt(df: DataFrame, name: str) -> Column:
@@ -58,12 +57,11 @@ def member_fields(df: DataFrame) -> dict[str, Column]:
 
 def prepare_members(df: DataFrame, prefix: str = "m") -> DataFrame:
     """Adds ``m_*`` inputs; tokens are derived from the lower-cased text once."""
-    out = df.select("*", *[c.alias(f"{prefix}_{n}") for n, c in member_fields(df).items()])
-    return out.select(
-        "*",
-        whitespace_tokens(F.col(f"{prefix}_ts_lc")).alias(f"{prefix}_ts_tok"),
-        whitespace_tokens(F.col(f"{prefix}_os_lc")).alias(f"{prefix}_os_tok"),
-    )
+    out = computed_once(df, {f"{prefix}_{n}": c for n, c in member_fields(df).items()})
+    return computed_once(out, {
+        f"{prefix}_ts_tok": whitespace_tokens(F.col(f"{prefix}_ts_lc")),
+        f"{prefix}_os_tok": whitespace_tokens(F.col(f"{prefix}_os_lc")),
+    })
 
 
 def job_fields(df: DataFrame) -> dict[str, Column]:
@@ -83,17 +81,22 @@ def job_fields(df: DataFrame) -> dict[str, Column]:
 
 
 def prepare_jobs(df: DataFrame, prefix: str = "j") -> DataFrame:
-    return df.select("*", *[c.alias(f"{prefix}_{n}") for n, c in job_fields(df).items()])
+    return computed_once(df, {f"{prefix}_{n}": c for n, c in job_fields(df).items()})
 
 
 def attach_member_vectors(df: DataFrame, embedder, prefix: str = "m") -> DataFrame:
-    df = embedder.attach(df, f"{prefix}_edu", f"{prefix}_edu_vec")
-    return embedder.attach(df, f"{prefix}_exp", f"{prefix}_exp_vec")
+    return _with_norms(embedder.attach(embedder.attach(df, f"{prefix}_edu", f"{prefix}_edu_vec"), f"{prefix}_exp", f"{prefix}_exp_vec"),
+                       f"{prefix}_edu", f"{prefix}_exp")
 
 
 def attach_job_vectors(df: DataFrame, embedder, prefix: str = "j") -> DataFrame:
-    df = embedder.attach(df, f"{prefix}_qual", f"{prefix}_qual_vec")
-    return embedder.attach(df, f"{prefix}_resp", f"{prefix}_resp_vec")
+    return _with_norms(embedder.attach(embedder.attach(df, f"{prefix}_qual", f"{prefix}_qual_vec"), f"{prefix}_resp", f"{prefix}_resp_vec"),
+                       f"{prefix}_qual", f"{prefix}_resp")
+
+
+def _with_norms(df: DataFrame, *names: str) -> DataFrame:
+    """Lengths of the vectors: once a member or job, not once a pair."""
+    return df.withColumns({f"{n}_norm": norm(f"{n}_vec") for n in names})
 
 
 def cheap_components(m: Side, j: Side) -> dict[str, Column]:
@@ -102,16 +105,16 @@ def cheap_components(m: Side, j: Side) -> dict[str, Column]:
         "required_skills": skill_points(m("ts_lc"), m("ts_tok"), j("req_frag"), j("req"), True),
         "preferred_skills": skill_points(m("ts_lc"), m("ts_tok"), j("pref_frag"), j("pref"), False),
         "other_skills": skill_points(m("os_lc"), m("os_tok"), j("fused_frag"), j("fused"), False),
-        "industry": graded(m("ind_lc"), j("ind_lc"), m("ind_lc"), j("ind_lc"), INDUSTRY_POINTS),
-        "role": graded(m("head_lc"), j("role_lc"), j("role_lc"), m("head_lc"), ROLE_POINTS),
-        "location": graded(m("city_lc"), j("loc_lc"), m("city_lc"), j("loc_lc"), LOCATION_POINTS),
+        "industry": industry_grade(m("ind_lc"), j("ind_lc")),
+        "role": role_grade(m("head_lc"), j("role_lc")),
+        "location": location_grade(m("city_lc"), j("loc_lc")),
     }
 
 
 def vector_components(m: Side, j: Side) -> dict[str, Column]:
     return {
-        "qualifications": cosine(m("edu_vec"), j("qual_vec")),
-        "responsibilities": cosine(m("exp_vec"), j("resp_vec")),
+        "qualifications": cosine(m("edu_vec"), j("qual_vec"), m("edu_norm"), j("qual_norm")),
+        "responsibilities": cosine(m("exp_vec"), j("resp_vec"), m("exp_norm"), j("resp_norm")),
     }
 
 
@@ -128,7 +131,7 @@ def score_cheap(df: DataFrame, m: Side, j: Side, opts: MatchOptions) -> DataFram
     """Adds the cheap components and ``_cheap`` (their weighted part), and
     drops pairs that cannot reach the threshold whatever the cosines are."""
     comps = cheap_components(m, j)
-    df = df.select("*", *[c.alias(_c(n)) for n, c in comps.items()])
+    df = computed_once(df, {_c(n): c for n, c in comps.items()})
     df = df.withColumn("_cheap", S.cheap_part({n: F.col(_c(n)) for n in CHEAP}, opts.weights))
     if opts.prune and opts.threshold is not None and S.pruning_enabled(opts.weights):
         df = df.where(~S.cannot_reach(F.col("_cheap"), opts.weights, opts.threshold))
@@ -144,7 +147,7 @@ def score_full(df: DataFrame, m: Side, j: Side, opts: MatchOptions, keep_compone
     skip = (S.surely_capped(F.col("_cheap"), opts.weights)
             if opts.prune and S.pruning_enabled(opts.weights) else F.lit(False))
     df = df.withColumn("_skip", skip)
-    df = df.select("*", *[F.when(~F.col("_skip"), c).alias(_c(n)) for n, c in vec.items()])
+    df = computed_once(df, {_c(n): F.when(~F.col("_skip"), c) for n, c in vec.items()})
     comps = {n: F.col(_c(n)) for n in S.COMPONENTS}
     sim = F.when(F.col("_skip"), F.lit(SCORE_CAP)).otherwise(S.final_score(comps, opts.weights))
     df = df.withColumn("Similarity", sim)
@@ -156,3 +159,15 @@ def score_full(df: DataFrame, m: Side, j: Side, opts: MatchOptions, keep_compone
     for n in S.COMPONENTS:
         df = df.withColumnRenamed(_c(n), n)
     return df
+
+
+# Raw texts are only needed to compute vectors; they are not carried further.
+VECTOR_SOURCES = ("edu", "exp", "qual", "resp")
+
+
+def packed_fields(df: DataFrame, prefix: str, key: str) -> list[Column]:
+    """The ``prefix_*`` columns without raw texts, and the key as
+    ``prefix__id``: flat, as nested fields behind a generator and a join are
+    not pruned safely by the optimizer."""
+    n = len(prefix) + 1
+    return [F.col(c) for c in df.columns if c.startswith(prefix + "_") and c[n:] not in VECTOR_SOURCES] + [F.col(key).alias(f"{prefix}__id")]

@@ -3,22 +3,26 @@ twin for each, over the stand-in tables of :mod:`.standin`."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import JOB_DETAIL_FIELDS, MATCHED_MEMBER_FIELDS
 from ..functions.normalize import bytes_text, normalize_row_values
 from ..functions.scoring import rescale
 from ..functions.text import preprocess_text
 from ..functions.vectors import cosine
 from ..operators import profiles as P
-from ..operators.embed import CharProfileEmbedder, ModelEmbedder, hashed_bag_of_words
-from ..operators.rank import global_rank, group_rank, rank_members_for_job, score_jobs_for_member, score_pairs, top_matches
+from ..operators.embed import CharProfileEmbedder, ModelEmbedder
+from ..operators.rank import global_rank, group_rank, rank_members_for_job, score_jobs_for_member, score_pairs
 from ..operators.score import attach_job_vectors, attach_member_vectors, prepare_jobs, prepare_members
-from ..operators.sinks import match_list, nested_ranking, score_map
-from ..sources.payload import parse_payloads, payload_schema, split_valid
+from ..operators.sinks import match_list, nested_ranking, score_map, write_extract
+from ..session import ensure_checkpoint_dir
+from ..sources.payload import RANK, SCORE, parse_payloads, payload_schema, split_valid
 from . import oracle as O
 from . import standin as S
-from .flows import rank_payloads, score_payloads
+from .flows import extract_for_job, rank_payload_documents, rank_payloads, score_payloads
 
 JOB_ID = 7        # the job ranked by the single-job queries
 MEMBER_ID = 42    # the member scored by the single-member queries
@@ -118,17 +122,19 @@ def q_normalize_bytes(spark, d):
 def _pairs(spark, d) -> DataFrame:
     """Member/job pairs that share an order line (linear in lineitem)."""
     t = _t(spark, d)
-    li = t("lineitem").select("l_orderkey", "l_suppkey")
+    li = t("lineitem").select("l_orderkey", "l_partkey")
     o = t("orders").select("o_orderkey", "o_custkey")
     pairs = li.join(o, li.l_orderkey == o.o_orderkey).select(
-        F.col("o_custkey").alias("MemberId"), F.col("l_suppkey").alias("JobId")).distinct()
+        F.col("o_custkey").alias("MemberId"), F.col("l_partkey").alias("JobId")).distinct()
     # inputs and vectors once per member / per job, before pairing
     m = attach_member_vectors(prepare_members(S.scoring_members(t)), EMBEDDER)
     j = attach_job_vectors(prepare_jobs(S.jobs(t)), EMBEDDER)
     mcols = ["MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName"] + [
         c for c in m.columns if c.startswith("m_")]
     jcols = [F.col("Id").alias("JobId")] + [c for c in j.columns if c.startswith("j_")]
-    return pairs.join(m.select(*mcols), "MemberId").join(j.select(*jcols), "JobId")
+    # the narrow side first: the wide member rows move once, by MemberId,
+    # and never again by JobId
+    return pairs.join(j.select(*jcols), "JobId").join(m.select(*mcols), "MemberId")
 
 
 def q_pair_scores(spark, d):
@@ -171,10 +177,6 @@ def q_ranked_members(spark, d):
     return global_rank(q_rank_members_for_job(spark, d))
 
 
-def q_top_matches(spark, d):
-    return global_rank(top_matches(q_rank_members_for_job(spark, d), 10))
-
-
 def q_score_jobs_for_member(spark, d):
     t = _t(spark, d)
     return score_jobs_for_member(S.scoring_members(t, only_ids=[MEMBER_ID]), S.jobs(t), MEMBER_ID, EMBEDDER)
@@ -186,71 +188,149 @@ def q_match_list(spark, d):
     return match_list(score_jobs_for_member(m, j, MEMBER_ID, EMBEDDER), j, m)
 
 
-def q_nested_ranking(spark, d):
+def _nested_ranking(spark, d):
     t = _t(spark, d)
     j = S.jobs(t, only_ids=[JOB_ID])
     ranked = global_rank(rank_members_for_job(S.scoring_members(t), j, JOB_ID, EMBEDDER))
     return nested_ranking(ranked, P.job_by_id(j, JOB_ID), chunk_size=100)
 
 
-def q_score_map(spark, d):
+def q_nested_ranking(spark, d):
+    """K2: the documents of one job, summed up chunk by chunk (the whole of
+    them: ``nested_ranking_flat``)."""
+    m = F.col("`Matched Members`")
+    return _nested_ranking(spark, d).select(
+        "JobId", "chunk", F.col("`Job Details`.`Job Title`").alias("title"), F.size(m).cast("bigint").alias("n"),
+        F.array_join(F.transform(m, lambda x: x["Member Id"].cast("string")), ",").alias("members"))
+
+
+def _score_map(spark, d):
     return score_map(q_score_jobs_for_member(spark, d), chunk_size=50)
 
 
+def q_score_map(spark, d):
+    """K3: the score maps of one member, summed up map by map."""
+    ids = F.array_sort(F.transform(F.map_keys("scores"), lambda k: k.cast("bigint")))
+    total = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, x: a + x)
+    return _score_map(spark, d).select("MemberId", "chunk", F.size("scores").cast("bigint").alias("n"), F.round(total, 4).alias("total"),
+                                       F.array_join(ids.cast("array<string>"), ",").alias("jobs"))
+
+
+def _flat_document(doc: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All 11 detail and 6 member fields, one row a match; a document without
+    a match keeps its details (position null)."""
+    rows = doc.select(*keys, "JobId", "chunk", "`Job Details`.*", F.posexplode_outer("`Matched Members`").alias("pos", "m"))
+    member = [disp for disp, _ in MATCHED_MEMBER_FIELDS] + ["Similarity"]
+    return rows.select(*keys, "JobId", "chunk", "pos", *[F.col(f"`{x}`").alias("d_" + x.replace(" ", "")) for x, _ in JOB_DETAIL_FIELDS],
+                       *[F.col(f"m.`{x}`").alias("m_" + x.replace(" ", "")) for x in member])
+
+
 def q_nested_ranking_flat(spark, d):
     """K2 checked against SQL: the nested document exploded back to rows
     (chunk, position inside the chunk, member, score, job title)."""
-    doc = q_nested_ranking(spark, d)
-    return doc.select("JobId", "chunk", F.col("`Job Details`.`Job Title`").alias("JobTitle"),
-                      F.posexplode("`Matched Members`").alias("pos", "m")).select(
-        "JobId", "chunk", "JobTitle", "pos", F.col("m.`Member Id`").alias("MemberId"),
-        F.col("m.Similarity").alias("Similarity"))
+    doc = _nested_ranking(spark, d)
+    return _flat_document(doc)
 
 
 def q_score_map_flat(spark, d):
     """K3 checked against SQL: the chunked score maps exploded to rows."""
-    m = q_score_map(spark, d)
+    m = _score_map(spark, d)
     return m.select("MemberId", "chunk", F.explode("scores").alias("JobKey", "score"))
 
 
 # ---------------------------------------------------------------- payloads
 
-def _split_payloads(spark, d):
+def _split_payloads(spark, d, direction, with_request_id=True):
     t = _t(spark, d)
     m = S.scoring_members(t).select(*S.PAYLOAD_MEMBER_FIELDS)
     j = S.jobs(t).select(*S.PAYLOAD_JOB_FIELDS)
     schema = payload_schema(j.schema, m.schema)
-    return split_valid(parse_payloads(S.payload_json(t, m, j), "payload", schema))
+    texts = S.payload_json(t, m, j, with_request_id)
+    return split_valid(parse_payloads(texts, "payload", schema, "order_key"), direction)
 
 
-def _valid_payloads(spark, d):
-    return _split_payloads(spark, d)[0]
+def _valid_payloads(spark, d, direction, with_request_id=True):
+    return _split_payloads(spark, d, direction, with_request_id)[0]
 
 
 def q_payload_quarantine(spark, d):
-    """Requests rejected by the payload check, with the reason."""
-    return _split_payloads(spark, d)[1].select("request_id", "error")
+    """Requests rejected by the payload check in either direction, with
+    the reason, and whether the raw text was kept."""
+    out = None
+    for direction in (RANK, SCORE):
+        bad = _split_payloads(spark, d, direction)[1].select(
+            F.lit(direction).alias("direction"), "request_key", "error", F.length("payload").alias("kept_text"))
+        out = bad if out is None else out.unionByName(bad)
+    return out
 
 
 def q_payload_rank(spark, d):
-    return rank_payloads(_valid_payloads(spark, d), EMBEDDER)
+    return rank_payloads(_valid_payloads(spark, d, RANK), EMBEDDER)
+
+
+def q_payload_ranked(spark, d):
+    """O2 over O1: members in rank order within each request."""
+    return group_rank(q_payload_rank(spark, d), "request_key")
+
+
+def q_payload_nested_flat(spark, d):
+    """E2 to the end, without ``request_id``s: details and matches of every
+    request, also of those without a match."""
+    doc = rank_payload_documents(_valid_payloads(spark, d, RANK, False), EMBEDDER, chunk_size=100)
+    return _flat_document(doc, ("request_key", "request_id"))
 
 
 def q_payload_score(spark, d):
-    return score_payloads(_valid_payloads(spark, d), EMBEDDER)
+    return score_payloads(_valid_payloads(spark, d, SCORE), EMBEDDER)
+
+
+def q_payload_no_request_id(spark, d):
+    """Payloads without the client's field stay apart."""
+    return score_payloads(_valid_payloads(spark, d, SCORE, False), EMBEDDER)
 
 
 def q_payload_score_ranked(spark, d):
-    """O2: jobs ranked by score within each request (batch form of O1)."""
-    s = score_payloads(_valid_payloads(spark, d), EMBEDDER)
-    return group_rank(s, "request_id", score="score", key="JobId")
+    """Jobs ranked by score within each request."""
+    return group_rank(q_payload_score(spark, d), "request_key", score="score", key="JobId")
+
+
+def q_payload_score_map_flat(spark, d):
+    """E3 to the end: a score map for each request."""
+    maps = score_map(q_payload_score(spark, d), chunk_size=50, keys=("request_key", "MemberId"))
+    return maps.select("request_key", "MemberId", "chunk", F.explode("scores").alias("JobKey", "score"))
 
 
 # ---------------------------------------------------------------- text / vectors
 
+def letter_counts():
+    """A model that SQL can recompute: text length and the counts of e, a, t."""
+    def model(texts):
+        return [[float(len(t)), float(t.count("e")), float(t.count("a")), float(t.count("t"))] for t in texts]
+
+    return model
+
+
 def q_embed_distinct_text(spark, d):
+    """V1: one vector for each distinct text, by its key."""
     doc = _t(spark, d)("documents")
-    return ModelEmbedder(hashed_bag_of_words(16), 16, "hashed-bow-16").embed_distinct(doc, "text")
+    v = ModelEmbedder(letter_counts, 4, "letter-counts").embed_distinct(doc, "text")
+    return v.select("key", *[F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(4)])
+
+
+def q_extract_round_trip(spark, d):
+    """S6 + K1 + G8: the extract bundle is written, counted while it is
+    written, and read back; one row for each table."""
+    t = _t(spark, d)
+    frames = extract_for_job(S.jobs(t, only_ids=[JOB_ID]), S.members(t), JOB_ID)
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or ensure_checkpoint_dir(spark)).rstrip('/')}/extract-{uuid.uuid4().hex}"
+    counts = write_extract(frames, path)
+    out = None
+    for name, key in (("jobpost", "Id"), ("member", "MemberId")):
+        back = spark.read.schema(frames[name].schema).json(f"{path}/{name}").agg(
+            F.lit(name).alias("name"), F.lit(counts[name]).cast("bigint").alias("written"),
+            F.count(F.lit(1)).alias("rows_read"), F.sum(key).alias("key_sum"))
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 def q_preprocess_text(spark, d):
@@ -277,7 +357,6 @@ QUERIES = {
     "rescale": q_rescale,
     "rank_members_for_job": q_rank_members_for_job,
     "ranked_members": q_ranked_members,
-    "top_matches": q_top_matches,
     "score_jobs_for_member": q_score_jobs_for_member,
     "match_list": q_match_list,
     "nested_ranking": q_nested_ranking,
@@ -286,9 +365,14 @@ QUERIES = {
     "score_map_flat": q_score_map_flat,
     "payload_quarantine": q_payload_quarantine,
     "payload_rank": q_payload_rank,
+    "payload_ranked": q_payload_ranked,
+    "payload_nested_flat": q_payload_nested_flat,
     "payload_score": q_payload_score,
+    "payload_no_request_id": q_payload_no_request_id,
+    "payload_score_map_flat": q_payload_score_map_flat,
     "payload_score_ranked": q_payload_score_ranked,
     "embed_distinct_text": q_embed_distinct_text,
+    "extract_round_trip": q_extract_round_trip,
     "preprocess_text": q_preprocess_text,
 }
 
@@ -302,25 +386,37 @@ def _with(*ctes: str) -> str:
 def _sql():
     mem, job, prep = O.member_ctes(), O.job_ctes(), O.pair_prep()
     pairs = """
-pairs AS (SELECT DISTINCT o.o_custkey AS MemberId, l.l_suppkey AS JobId
+pairs AS (SELECT DISTINCT o.o_custkey AS MemberId, l.l_partkey AS JobId
           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
     pair_sc = O.scored_pairs_cte("pairs p JOIN mp2 m ON p.MemberId = m.MemberId JOIN jp j ON p.JobId = j.Id")
     comps = "required_skills, preferred_skills, other_skills, qualifications, responsibilities, industry, role, location"
     rank_sc = O.scored_pairs_cte(f"mp2 m JOIN jp j ON j.Id = {JOB_ID}")
     ranked = f"SELECT JobId, MemberId, MemberFirstName, MemberLastName, MemberEmail, City, Similarity FROM sc WHERE Similarity >= {O.THRESHOLD}"
     score_sc = O.scored_pairs_cte(f"mp2 m JOIN jp j ON m.MemberId = {MEMBER_ID}")
-    first_job = """
-fl AS (SELECT l_orderkey, l_suppkey FROM lineitem
-       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) = 1),
-rp AS (SELECT CAST(o.o_orderkey AS VARCHAR) AS request_id, o.o_custkey AS MemberId, fl.l_suppkey AS JobId
-       FROM fl JOIN orders o ON fl.l_orderkey = o.o_orderkey)"""
+    usable = "o.o_orderkey % 100 NOT IN (11, 12)"
+    first_job = f"""
+fl AS (SELECT l_orderkey, l_partkey FROM lineitem
+       QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1),
+rq AS (SELECT CAST(o.o_orderkey AS VARCHAR) AS request_key, o.o_orderkey AS k, o.o_custkey AS MemberId, fl.l_partkey AS JobId
+       FROM fl JOIN orders o ON fl.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+       WHERE {usable} AND o.o_orderkey % 100 <> 13),
+rp AS (SELECT * FROM rq WHERE k % 100 <> 14)"""
     pay_rank_sc = O.scored_pairs_cte(
         "(SELECT DISTINCT MemberId, JobId FROM rp) x JOIN mp2 m ON x.MemberId = m.MemberId JOIN jp j ON x.JobId = j.Id")
-    all_jobs = """
-sp2 AS (SELECT DISTINCT CAST(o.o_orderkey AS VARCHAR) AS request_id, o.o_custkey AS MemberId, l.l_suppkey AS JobId
-        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+    all_jobs = f"""
+sp2 AS (SELECT DISTINCT CAST(o.o_orderkey AS VARCHAR) AS request_key, o.o_custkey AS MemberId, l.l_partkey AS JobId
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+        WHERE {usable} AND o.o_orderkey % 100 NOT IN (13, 14))"""
     pay_score_sc = O.scored_pairs_cte(
         "(SELECT DISTINCT MemberId, JobId FROM sp2) x JOIN mp2 m ON x.MemberId = m.MemberId JOIN jp j ON x.JobId = j.Id")
+    pay_ranked = """(SELECT rp.request_key, rp.request_key AS request_id, sc.JobId, sc.MemberId, sc.MemberFirstName, sc.MemberLastName,
+        sc.MemberEmail, sc.City, sc.Similarity
+ FROM sc JOIN rp ON sc.MemberId = rp.MemberId AND sc.JobId = rp.JobId WHERE sc.Similarity >= 85.0)"""
+    pay_scores = """(SELECT sp2.request_key, sc.MemberId, sc.JobId, sc.Similarity AS score
+ FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId)"""
+    details = ", ".join(f"jobs.{src} AS d_{disp.replace(' ', '')}" for disp, src in JOB_DETAIL_FIELDS)
+    matched = ", ".join([f"rk.{'City' if src == 'CityName' else src} AS m_{disp.replace(' ', '')}" for disp, src in MATCHED_MEMBER_FIELDS]
+                        + ["rk.Similarity AS m_Similarity"])
     ws = O.WS
     return {
         "job_extract_all": _with(job) + " SELECT * FROM jobs",
@@ -369,39 +465,65 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
         "rank_members_for_job": _with(mem, job, prep, rank_sc) + " " + ranked,
         "ranked_members": _with(mem, job, prep, rank_sc) + f"""
  SELECT *, row_number() OVER (ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked})""",
-        "top_matches": _with(mem, job, prep, rank_sc) + f"""
- SELECT * FROM (SELECT *, row_number() OVER (ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked}))
- WHERE rank <= 10""",
         "score_jobs_for_member": _with(mem, job, prep, score_sc)
         + " SELECT MemberId, JobId, Similarity AS score FROM sc",
         "match_list": _with(mem, job, prep, score_sc) + """
- SELECT sc.JobId AS job_id, jobs.JobTitle AS job_title, sc.Similarity AS match_percentage,
+ SELECT row_number() OVER (ORDER BY sc.Similarity DESC, sc.JobId) AS position, sc.JobId AS job_id, jobs.JobTitle AS job_title,
+        sc.Similarity AS match_percentage,
         concat_ws(' ', sc.MemberFirstName, sc.MemberLastName) AS candidate_name, sc.MemberId AS candidate_id
  FROM sc JOIN jobs ON sc.JobId = jobs.Id""",
-        "payload_rank": _with(mem, job, prep, first_job, pay_rank_sc) + """
- SELECT rp.request_id, sc.JobId, sc.MemberId, sc.MemberFirstName, sc.MemberLastName, sc.MemberEmail, sc.City,
-        sc.Similarity
- FROM sc JOIN rp ON sc.MemberId = rp.MemberId AND sc.JobId = rp.JobId
- WHERE sc.Similarity >= 85.0""",
-        "payload_score": _with(mem, job, prep, all_jobs, pay_score_sc) + """
- SELECT sp2.request_id, sc.MemberId, sc.JobId, sc.Similarity AS score
- FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId""",
+        "payload_rank": _with(mem, job, prep, first_job, pay_rank_sc) + f" SELECT * FROM {pay_ranked}",
+        "payload_ranked": _with(mem, job, prep, first_job, pay_rank_sc) + f"""
+ SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY Similarity DESC, MemberId) AS rank FROM {pay_ranked}""",
+        "payload_nested_flat": _with(mem, job, prep, first_job, pay_rank_sc) + f""",
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY Similarity DESC, MemberId) AS rank FROM {pay_ranked})
+ SELECT rq.request_key, CAST(NULL AS VARCHAR) AS request_id, rq.JobId, coalesce(CAST((rk.rank - 1) // 100 AS BIGINT), 0) AS chunk,
+        CAST((rk.rank - 1) % 100 AS INTEGER) AS pos, {details}, {matched}
+ FROM rq JOIN jobs ON rq.JobId = jobs.Id LEFT JOIN rk ON rq.request_key = rk.request_key""",
+        "payload_score": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
+ SELECT request_key, request_key AS request_id, MemberId, JobId, score FROM {pay_scores}""",
+        "payload_no_request_id": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
+ SELECT request_key, CAST(NULL AS VARCHAR) AS request_id, MemberId, JobId, score FROM {pay_scores}""",
+        "payload_score_ranked": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
+ SELECT request_key, request_key AS request_id, MemberId, JobId, score,
+        row_number() OVER (PARTITION BY request_key ORDER BY score DESC, JobId) AS rank FROM {pay_scores}""",
+        "payload_score_map_flat": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
+ SELECT request_key, MemberId, CAST(floor(JobId / 50) AS BIGINT) AS chunk, CAST(JobId AS VARCHAR) AS JobKey, score FROM {pay_scores}""",
+        "payload_quarantine": """
+WITH o AS (SELECT o.o_orderkey AS k, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS has_lines
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+r AS (SELECT d.direction, k, CASE
+        WHEN k % 100 = 11 THEN 'malformed' WHEN k % 100 = 12 THEN 'missing data'
+        WHEN k % 100 = 13 THEN CASE WHEN d.direction = 'rank' THEN 'empty list' END
+        WHEN NOT has_lines THEN 'missing jobpost'
+        WHEN k % 100 = 14 AND d.direction = 'score' THEN 'empty list' END AS error
+      FROM o, (VALUES ('rank'), ('score')) d(direction))
+SELECT direction, CAST(k AS VARCHAR) AS request_key, error, CASE WHEN error = 'malformed' THEN 40 END AS kept_text
+FROM r WHERE error IS NOT NULL""",
         "nested_ranking_flat": _with(mem, job, prep, rank_sc) + f""",
 rk AS (SELECT *, row_number() OVER (ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked}))
- SELECT rk.JobId, CAST((rank - 1) // 100 AS BIGINT) AS chunk, jobs.JobTitle, CAST((rank - 1) % 100 AS INTEGER) AS pos,
-        rk.MemberId, rk.Similarity
- FROM rk JOIN jobs ON rk.JobId = jobs.Id""",
+ SELECT jobs.Id AS JobId, coalesce(CAST((rk.rank - 1) // 100 AS BIGINT), 0) AS chunk, CAST((rk.rank - 1) % 100 AS INTEGER) AS pos,
+        {details}, {matched}
+ FROM jobs LEFT JOIN rk ON rk.JobId = jobs.Id WHERE jobs.Id = {JOB_ID}""",
         "score_map_flat": _with(mem, job, prep, score_sc) + """
  SELECT MemberId, CAST(floor(JobId / 50) AS BIGINT) AS chunk, CAST(JobId AS VARCHAR) AS JobKey,
         Similarity AS score FROM sc""",
-        "payload_quarantine": """
-SELECT CAST(o.o_orderkey AS VARCHAR) AS request_id, 'missing jobpost' AS error
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)""",
-        "payload_score_ranked": _with(mem, job, prep, all_jobs, pay_score_sc) + """
- SELECT sp2.request_id, sc.MemberId, sc.JobId, sc.Similarity AS score,
-        row_number() OVER (PARTITION BY sp2.request_id ORDER BY sc.Similarity DESC, sc.JobId) AS rank
- FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId""",
+        "nested_ranking": _with(mem, job, prep, rank_sc) + f""",
+rk AS (SELECT *, row_number() OVER (ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked}))
+ SELECT jobs.Id AS JobId, coalesce(CAST((rk.rank - 1) // 100 AS BIGINT), 0) AS chunk, any_value(jobs.JobTitle) AS title,
+        count(rk.MemberId) AS n, coalesce(string_agg(CAST(rk.MemberId AS VARCHAR), ',' ORDER BY rk.rank), '') AS members
+ FROM jobs LEFT JOIN rk ON rk.JobId = jobs.Id WHERE jobs.Id = {JOB_ID} GROUP BY 1, 2""",
+        "score_map": _with(mem, job, prep, score_sc) + """
+ SELECT MemberId, CAST(floor(JobId / 50) AS BIGINT) AS chunk, count(*) AS n, round(sum(Similarity), 4) AS total,
+        string_agg(CAST(JobId AS VARCHAR), ',' ORDER BY JobId) AS jobs FROM sc GROUP BY 1, 2""",
+        "embed_distinct_text": """
+SELECT DISTINCT sha256(coalesce(text, '')) AS key, CAST(length(coalesce(text, '')) AS DOUBLE) AS v0,
+       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS DOUBLE) AS v1,
+       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'a', '')) AS DOUBLE) AS v2,
+       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 't', '')) AS DOUBLE) AS v3 FROM documents""",
+        "extract_round_trip": f"""
+SELECT 'jobpost' AS name, count(*) AS written, count(*) AS rows_read, sum(p_partkey) AS key_sum FROM part WHERE p_partkey = {JOB_ID}
+UNION ALL SELECT 'member', count(*), count(*), sum(c_custkey) FROM customer""",
         "preprocess_text": f"""
 SELECT doc_id, lower(array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '{ws}'),
                                                 lambda x: x <> ''), ' ')) AS clean FROM documents""",

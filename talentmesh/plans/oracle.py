@@ -35,22 +35,22 @@ mt AS (
          lower(c.c_name) || '@example.org' AS MemberEmail, c.c_acctbal >= 0 AS IsActive,
          CAST(NULL AS VARCHAR) AS CreatedDate, CAST(NULL AS VARCHAR) AS ModifiedDate,
          n.n_regionkey AS MemberEthnicityId, CAST(NULL AS INTEGER) AS MemberGenderId,
-         CAST(NULL AS INTEGER) AS Age_Id, c.c_nationkey AS CityId, c.c_mktsegment AS Headline
-  FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
+         CAST(c.c_custkey % 30 AS INTEGER) AS Age_Id, c.c_nationkey AS CityId,
+         CASE WHEN c.c_custkey % 3 = 0 THEN concat_ws(' ', c.c_mktsegment, n.n_name) ELSE c.c_mktsegment END AS Headline,
+         CASE WHEN c.c_custkey % 2 = 1 THEN r.r_name END AS Industry
+  FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),
 lines AS (
-  SELECT o.o_custkey AS MemberId, l.l_partkey, l.l_returnflag AS flag, p.p_name, p.p_brand, p.p_type
+  SELECT o.o_custkey AS MemberId, l.l_partkey, l.l_returnflag AS flag, p.p_name, p.p_brand, p.p_type, p.p_size
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
 lf AS (
   SELECT MemberId,
-         CASE WHEN flag = 'R' THEN 'TechnicalSkills' WHEN flag = 'A' THEN 'Communication' ELSE 'Leadership' END AS cat,
-         CAST(l_partkey AS BIGINT) AS k,
-         CASE WHEN flag = 'R' THEN p_brand WHEN flag = 'A' THEN p_name ELSE p_type END AS v1,
-         CASE WHEN flag = 'R' THEN p_name WHEN flag = 'A' THEN p_type ELSE p_brand END AS v2
+         CASE p_size % 10 {" ".join(f"WHEN {i} THEN '{c[0]}'" for i, c in enumerate(CATEGORIES))} END AS cat,
+         CAST(l_partkey AS BIGINT) AS k, p_name AS v1, p_type AS v2
   FROM lines
   UNION ALL
   SELECT MemberId, 'Education', NULL, p_brand || ' - ' || nullif(p_type, 'PROMO') || ' - ' || p_name, NULL FROM lines
   UNION ALL
-  SELECT MemberId, 'OtherSkills', NULL, p_brand, NULL FROM lines WHERE flag = 'A'
+  SELECT MemberId, 'OtherSkills', NULL, p_brand, NULL FROM lines WHERE flag = 'A' AND p_size % 2 = 1
   UNION ALL
   SELECT o_custkey, 'Experience', NULL,
          o_orderpriority || ' at ' || o_orderstatus || ' - ' || 'order ' || CAST(o_orderkey AS VARCHAR), NULL
@@ -62,7 +62,7 @@ agg AS (
 members AS (
   SELECT mt.Id AS MemberId, mt.MemberFirstName, mt.MemberLastName, mt.MemberEmail, mt.IsActive,
          mt.CreatedDate, mt.ModifiedDate, mt.MemberEthnicityId, mt.MemberGenderId, mt.Age_Id,
-         CAST(NULL AS VARCHAR) AS AgeName, mt.CityId, city.n_name AS CityName,
+         'age ' || age.n_name AS AgeName, mt.CityId, city.n_name AS CityName,
          eth.r_name AS EthnicityName, mt.Headline,
   {cat_cols},
   coalesce(a.EducationInfo, 'Unknown') AS Education,
@@ -70,54 +70,37 @@ members AS (
   coalesce(a.OtherSkillNames, 'Unknown') AS OtherSkills
   FROM mt
   LEFT JOIN nation city ON mt.CityId = city.n_nationkey
+  LEFT JOIN nation age ON mt.Age_Id = age.n_nationkey
   LEFT JOIN region eth ON mt.MemberEthnicityId = eth.r_regionkey
   LEFT JOIN agg a ON mt.Id = a.MemberId)"""
 
 
 def job_ctes() -> str:
     return """
-sp AS (
-  SELECT l_suppkey, l_partkey, sum(l_quantity) AS qty FROM lineitem GROUP BY l_suppkey, l_partkey
-  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, l_partkey ASC) <= 3),
-spr AS (
-  SELECT sp.*, row_number() OVER (PARTITION BY l_suppkey ORDER BY qty DESC, l_partkey ASC) AS rn,
-         p.p_name, p.p_brand, p.p_type
-  FROM sp JOIN part p ON sp.l_partkey = p.p_partkey),
-skills AS (
-  SELECT l_suppkey,
-         string_agg(p_brand, ',' ORDER BY rn) FILTER (WHERE rn <= 2) AS Required_Skills,
-         string_agg(p_brand, ',' ORDER BY rn) FILTER (WHERE rn = 3) AS PreferredSkills,
-         string_agg(p_type || ' - ' || p_name, '; ' ORDER BY rn) AS Qualifications,
-         'deliver ' || string_agg(p_name, ', ' ORDER BY rn) AS Key_Responsibilities
-  FROM spr GROUP BY l_suppkey),
-seg AS (
-  SELECT l_suppkey, c_mktsegment AS JobTitle FROM (
-    SELECT l.l_suppkey, c.c_mktsegment, sum(l.l_quantity) AS q
-    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-    GROUP BY l.l_suppkey, c.c_mktsegment)
-  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, c_mktsegment ASC) = 1),
 dates AS (
-  SELECT l_suppkey, min(l_shipdate) AS PostedDate, max(l_shipdate) AS Deadline_for_Applications
-  FROM lineitem GROUP BY l_suppkey),
+  SELECT l_partkey, min(l_shipdate) AS PostedDate, max(l_shipdate) AS Deadline_for_Applications
+  FROM lineitem GROUP BY l_partkey),
 jobs AS (
-  SELECT s.s_suppkey AS Id, s.s_name AS JobCode, seg.JobTitle, CAST(NULL AS INTEGER) AS EmploymentTypeId,
-         'Unknown' AS EmploymentTypeName, s.s_nationkey AS CityId,
-         coalesce(city.n_name, 'Unknown') AS CityName,
+  SELECT p.p_partkey AS Id, 'J-' || CAST(p.p_partkey AS VARCHAR) AS JobCode, c.c_mktsegment AS JobTitle,
+         CAST(p.p_size % 6 AS INTEGER) AS EmploymentTypeId, coalesce(et.r_name, 'Unknown') AS EmploymentTypeName,
+         n.n_nationkey AS CityId, coalesce(n.n_name, 'Unknown') AS CityName,
          strftime(d.PostedDate, '%Y-%m-%d %H:%M:%S') AS PostedDate,
          strftime(d.Deadline_for_Applications, '%Y-%m-%d %H:%M:%S') AS Deadline_for_Applications,
-         CAST(CAST(s.s_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS Salary_Range_Start,
-         CAST(CAST(s.s_acctbal + 1000.0 AS DECIMAL(12,2)) AS DOUBLE) AS Salary_Range_End,
-         n.n_name AS JobLocation, 'Supplier ' || s.s_name AS Description,
-         sk.Qualifications, sk.PreferredSkills, sk.Required_Skills, sk.Key_Responsibilities,
-         coalesce(ind.r_name, 'Unknown') AS Industry, seg.JobTitle AS Role,
-         s.s_acctbal >= 0 AS IsActive, CAST(NULL AS VARCHAR) AS CreatedDate, CAST(NULL AS VARCHAR) AS ModifiedDate
-  FROM supplier s
-  LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
-  LEFT JOIN skills sk ON s.s_suppkey = sk.l_suppkey
-  LEFT JOIN seg ON s.s_suppkey = seg.l_suppkey
-  LEFT JOIN dates d ON s.s_suppkey = d.l_suppkey
-  LEFT JOIN nation city ON s.s_nationkey = city.n_nationkey
-  LEFT JOIN region ind ON n.n_regionkey = ind.r_regionkey)"""
+         CAST(CAST(p.p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS Salary_Range_Start,
+         CAST(CAST(p.p_retailprice + 1000.0 AS DECIMAL(12,2)) AS DOUBLE) AS Salary_Range_End,
+         CASE WHEN p.p_partkey % 2 = 0 THEN n.n_name ELSE n.n_name || ' area' END AS JobLocation,
+         'Part ' || p.p_name AS Description,
+         concat_ws(' - ', p.p_brand, p.p_type, p.p_name) AS Qualifications,
+         concat_ws(',', p.p_type, replace(p.p_name, ' ', ',')) AS PreferredSkills,
+         concat_ws(',', p.p_brand, p.p_name) AS Required_Skills, 'deliver ' || p.p_name AS Key_Responsibilities,
+         coalesce(ind.r_name, 'Unknown') AS Industry, c.c_mktsegment AS Role,
+         p.p_size > 5 AS IsActive, CAST(NULL AS VARCHAR) AS CreatedDate, CAST(NULL AS VARCHAR) AS ModifiedDate
+  FROM part p
+  LEFT JOIN dates d ON p.p_partkey = d.l_partkey
+  LEFT JOIN customer c ON p.p_partkey = c.c_custkey
+  LEFT JOIN nation n ON p.p_partkey % 25 = n.n_nationkey
+  LEFT JOIN region et ON p.p_size % 6 = et.r_regionkey
+  LEFT JOIN region ind ON p.p_size % 7 = ind.r_regionkey)"""
 
 
 # ---- scoring expressions ---------------------------------------------------
@@ -170,9 +153,9 @@ mp AS (
   SELECT MemberId, MemberFirstName, MemberLastName, MemberEmail, CityName,
          lower(coalesce(TechnicalSkillNames, '')) AS ts_lc,
          lower(coalesce(OtherSkills, '')) AS os_lc,
-         '' AS ind_lc, lower(coalesce(Headline, '')) AS head_lc, lower(coalesce(CityName, '')) AS city_lc,
+         lower(coalesce(Industry, '')) AS ind_lc, lower(coalesce(Headline, '')) AS head_lc, lower(coalesce(CityName, '')) AS city_lc,
          {char_profile('Education')} AS edu_vec, {char_profile('Experience')} AS exp_vec
-  FROM members),
+  FROM (SELECT members.*, mt.Industry FROM members JOIN mt ON members.MemberId = mt.Id)),
 mp2 AS (SELECT *, {tokens('ts_lc')} AS ts_tok, {tokens('os_lc')} AS os_tok FROM mp),
 jp AS (
   SELECT Id, JobTitle, coalesce(Required_Skills, '') AS req, coalesce(PreferredSkills, '') AS pref,

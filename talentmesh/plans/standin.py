@@ -4,30 +4,32 @@ The test data holds no talent database, so every talent table is derived
 from real tables (never from invented rows), and all of the work grows with
 the data:
 
-* Member            = customer (Headline = market segment, CityId = nation,
-                      MemberEthnicityId = region of the nation)
-* City              = nation;  Ethnicity = Industry = region
-* skill bridges     = orders x lineitem, one category per return flag:
-                      R -> TechnicalSkills (name = brand, description = part name)
-                      A -> Communication   (name = part name, description = type)
-                      N -> Leadership      (name = type, description = brand)
+* Member            = customer (Headline = market segment, with the nation
+                      behind it for every third; CityId = nation;
+                      MemberEthnicityId = region of the nation; Age_Id over
+                      the nations, some of them unknown; Industry = region
+                      of every other one, else null)
+* City = Age        = nation;  Ethnicity = Industry = EmploymentType = region
+* skill bridges     = orders x lineitem x part, the category by the part's
+                      size modulo 10, so all ten are filled
+                      (name = part name, description = type)
 * MemberEducation   = every line: brand - type (null for PROMO) - part name
 * MemberExperience  = orders: priority at status - 'order <key>'
-* Member_OtherSkills= brands of the A-flag lines
-* JobPost           = supplier; skills from its most-shipped parts (top 3 by
-                      quantity, ties to the lower part key): brands 1-2 are
-                      required, brand 3 preferred; JobTitle/Role = the market
-                      segment that received most of its quantity.
-
-Tables absent from the test data (Age, EmploymentType) stay absent, so their
-lookups yield NULL / 'Unknown' exactly as a missing row would.
+* Member_OtherSkills= brands of the A-flag lines of odd-sized parts
+* JobPost           = part: complete and short by nature.  Required skills
+                      are brand and name, preferred ones type and the words
+                      of the name; JobTitle/Role = the segment of the
+                      customer of the same number (null where there is none);
+                      posted and deadline = first and last ship date.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..config import CATEGORIES
 from ..operators.profiles import (
     EDUCATION,
     EXPERIENCE,
@@ -50,8 +52,9 @@ class Tables:
 
 def member_table(t: Tables) -> DataFrame:
     c = t("customer")
-    n = t("nation").select("n_nationkey", "n_regionkey")
-    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+    n = t("nation").select("n_nationkey", "n_regionkey", "n_name")
+    r = t("region")
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select(
         F.col("c_custkey").alias("Id"),
         F.col("c_name").alias("MemberFirstName"),
         F.col("c_mktsegment").alias("MemberLastName"),
@@ -61,9 +64,10 @@ def member_table(t: Tables) -> DataFrame:
         F.lit(None).cast("timestamp").alias("ModifiedDate"),
         F.col("n_regionkey").alias("MemberEthnicityId"),
         F.lit(None).cast("int").alias("MemberGenderId"),
-        F.lit(None).cast("int").alias("Age_Id"),
+        (F.col("c_custkey") % 30).cast("int").alias("Age_Id"),
         F.col("c_nationkey").alias("CityId"),
-        F.col("c_mktsegment").alias("Headline"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat_ws(" ", "c_mktsegment", "n_name")).otherwise(F.col("c_mktsegment")).alias("Headline"),
+        F.when(F.col("c_custkey") % 2 == 1, F.col("r_name")).alias("Industry"),
     )
 
 
@@ -71,6 +75,10 @@ def city_table(t: Tables) -> DataFrame:
     return t("nation").select(F.col("n_nationkey").alias("Id"), F.col("n_name").alias("CityName"))
 
 
+def age_table(t: Tables) -> DataFrame:
+    return t("nation").select(F.col("n_nationkey").alias("Id"), F.concat(F.lit("age "), "n_name").alias("AgeName"))
+
+
 def region_dim(t: Tables, name_col: str) -> DataFrame:
     return t("region").select(F.col("r_regionkey").alias("Id"), F.col("r_name").alias(name_col))
 
@@ -79,7 +87,7 @@ def bridge_lines(t: Tables) -> DataFrame:
     """orders x lineitem x part: one row per line item with its member."""
     o = t("orders").select("o_orderkey", "o_custkey")
     li = t("lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    p = t("part").select("p_partkey", "p_name", "p_brand", "p_type")
+    p = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
 
 
@@ -89,9 +97,8 @@ def member_long_form(t: Tables) -> DataFrame:
     experience elements from orders."""
     b = bridge_lines(t)
     flag = F.col("l_returnflag")
-    cat = F.when(flag == "R", "TechnicalSkills").when(flag == "A", "Communication").otherwise("Leadership")
-    v1 = F.when(flag == "R", F.col("p_brand")).when(flag == "A", F.col("p_name")).otherwise(F.col("p_type"))
-    v2 = F.when(flag == "R", F.col("p_name")).when(flag == "A", F.col("p_type")).otherwise(F.col("p_brand"))
+    size = F.col("p_size")
+    cat = F.get(F.array(*[F.lit(c[0]) for c in CATEGORIES]), (size % 10).cast("int"))
     edu = F.concat(F.col("p_brand"), F.lit(" - "), F.nullif(F.col("p_type"), F.lit("PROMO")),
                    F.lit(" - "), F.col("p_name"))
 
@@ -101,9 +108,9 @@ def member_long_form(t: Tables) -> DataFrame:
 
     nul = F.lit(None)
     elements = F.array(
-        el("", F.col("l_partkey"), v1, v2).withField("cat", cat),
+        el("", F.col("l_partkey"), F.col("p_name"), F.col("p_type")).withField("cat", cat),
         el(EDUCATION, nul, edu, nul),
-        F.when(flag == "A", el(OTHER_SKILLS, nul, F.col("p_brand"), nul)),
+        F.when((flag == "A") & (size % 2 == 1), el(OTHER_SKILLS, nul, F.col("p_brand"), nul)),
     )
     lines = b.select(F.col("o_custkey").cast("bigint").alias("MemberId"),
                      F.inline(F.filter(elements, lambda e: e.isNotNull())))
@@ -121,7 +128,7 @@ def member_long_form(t: Tables) -> DataFrame:
 
 def members(t: Tables, normalize: bool = True) -> DataFrame:
     return member_profiles(
-        member_table(t), member_long_form(t), age=None, city=city_table(t),
+        member_table(t), member_long_form(t), age=age_table(t), city=city_table(t),
         ethnicity=region_dim(t, "EthnicityName"), normalize=normalize,
     )
 
@@ -137,94 +144,71 @@ def scoring_members(t: Tables, normalize: bool = True, only_ids=None) -> DataFra
     return scoring_profiles(m, lf, city=city_table(t), normalize=normalize)
 
 
-def top_rank(df: DataFrame, key: str, order_cols: list, k: int) -> DataFrame:
-    """Top-k rows per key.  ``row_number() <= k`` lets Spark insert a
-    partial ``WindowGroupLimit`` before the shuffle, so a key holding a third
-    of all rows ships at most k rows per map task."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-
-
 def job_table(t: Tables, only_ids=None) -> DataFrame:
-    """``only_ids`` restricts every scan to those suppliers (a single-job
-    query then reads only that supplier's line items; Catalyst does not infer
-    this filter through the windowed aggregates on its own)."""
-    li = t("lineitem")
+    """``only_ids`` restricts every scan to those parts (a single-job query
+    then reads only that part's line items)."""
+    li, p = t("lineitem"), t("part")
     if only_ids is not None:
-        li = li.where(F.col("l_suppkey").isin(list(only_ids)))
-    # per (supplier, part) quantities, pre-aggregated before any window
-    sp = li.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
-    sp = top_rank(sp, "l_suppkey", [F.desc("qty"), F.asc("l_partkey")], 3)
-    p = t("part").select("p_partkey", "p_name", "p_brand", "p_type")
-    sp = sp.join(p, sp.l_partkey == p.p_partkey)
-    skills = sp.groupBy("l_suppkey").agg(
-        F.expr("listagg(p_brand, ',') WITHIN GROUP (ORDER BY rn) FILTER (WHERE rn <= 2)").alias("Required_Skills"),
-        F.expr("listagg(p_brand, ',') WITHIN GROUP (ORDER BY rn) FILTER (WHERE rn = 3)").alias("PreferredSkills"),
-        F.expr("listagg(concat(p_type, ' - ', p_name), '; ') WITHIN GROUP (ORDER BY rn)").alias("Qualifications"),
-        F.expr("concat('deliver ', listagg(p_name, ', ') WITHIN GROUP (ORDER BY rn))").alias("Key_Responsibilities"),
-    )
-    # market segment receiving most quantity, pre-aggregated per (supplier, segment)
-    o = t("orders").select("o_orderkey", "o_custkey")
-    c = t("customer").select("c_custkey", "c_mktsegment")
-    seg = (li.select("l_orderkey", "l_suppkey", "l_quantity")
-           .join(o, F.col("l_orderkey") == o.o_orderkey)
-           .join(c, o.o_custkey == c.c_custkey)
-           .groupBy("l_suppkey", "c_mktsegment").agg(F.sum("l_quantity").alias("q")))
-    seg = top_rank(seg, "l_suppkey", [F.desc("q"), F.asc("c_mktsegment")], 1).select(
-        "l_suppkey", F.col("c_mktsegment").alias("JobTitle"))
-    dates = li.groupBy("l_suppkey").agg(F.min("l_shipdate").alias("PostedDate"),
+        li = li.where(F.col("l_partkey").isin(list(only_ids)))
+        p = p.where(F.col("p_partkey").isin(list(only_ids)))
+    dates = li.groupBy("l_partkey").agg(F.min("l_shipdate").alias("PostedDate"),
                                         F.max("l_shipdate").alias("Deadline_for_Applications"))
-    s = t("supplier")
-    if only_ids is not None:
-        s = s.where(F.col("s_suppkey").isin(list(only_ids)))
-    n = t("nation").select("n_nationkey", "n_name", "n_regionkey")
-    j = (s.join(n, s.s_nationkey == n.n_nationkey, "left")
-         .join(skills, s.s_suppkey == skills.l_suppkey, "left").drop("l_suppkey")
-         .join(seg, s.s_suppkey == seg.l_suppkey, "left").drop("l_suppkey")
-         .join(dates, s.s_suppkey == dates.l_suppkey, "left").drop("l_suppkey"))
+    title = t("customer").select("c_custkey", F.col("c_mktsegment").alias("JobTitle"))
+    n = t("nation").select("n_nationkey", "n_name")
+    j = (p.join(dates, p.p_partkey == dates.l_partkey, "left")
+         .join(title, p.p_partkey == title.c_custkey, "left")
+         .join(n, p.p_partkey % 25 == n.n_nationkey, "left"))
+    key = F.col("p_partkey")
     return j.select(
-        F.col("s_suppkey").alias("Id"),
-        F.col("s_name").alias("JobCode"),
+        key.alias("Id"),
+        F.concat(F.lit("J-"), key.cast("string")).alias("JobCode"),
         "JobTitle",
-        F.lit(None).cast("int").alias("EmploymentTypeId"),
-        F.col("s_nationkey").alias("CityId"),
-        F.col("n_regionkey").alias("IndustryId"),
+        (F.col("p_size") % 6).cast("int").alias("EmploymentTypeId"),
+        F.col("n_nationkey").alias("CityId"),
+        (F.col("p_size") % 7).cast("int").alias("IndustryId"),
         "PostedDate", "Deadline_for_Applications",
-        F.col("s_acctbal").cast("decimal(12,2)").alias("Salary_Range_Start"),
-        (F.col("s_acctbal") + F.lit(1000.0)).cast("decimal(12,2)").alias("Salary_Range_End"),
-        F.col("n_name").alias("JobLocation"),
-        F.concat(F.lit("Supplier "), F.col("s_name")).alias("Job_Description"),
-        "Qualifications", "PreferredSkills", "Required_Skills", "Key_Responsibilities",
-        (F.col("s_acctbal") >= 0).alias("IsActive"),
+        F.col("p_retailprice").cast("decimal(12,2)").alias("Salary_Range_Start"),
+        (F.col("p_retailprice") + F.lit(1000.0)).cast("decimal(12,2)").alias("Salary_Range_End"),
+        F.when(key % 2 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" area"))).alias("JobLocation"),
+        F.concat(F.lit("Part "), "p_name").alias("Job_Description"),
+        F.concat_ws(" - ", "p_brand", "p_type", "p_name").alias("Qualifications"),
+        F.concat_ws(",", "p_type", F.replace("p_name", F.lit(" "), F.lit(","))).alias("PreferredSkills"),
+        F.concat_ws(",", "p_brand", "p_name").alias("Required_Skills"),
+        F.concat(F.lit("deliver "), "p_name").alias("Key_Responsibilities"),
+        (F.col("p_size") > 5).alias("IsActive"),
         F.lit(None).cast("timestamp").alias("CreatedDate"),
         F.lit(None).cast("timestamp").alias("ModifiedDate"),
     )
 
 
 def jobs(t: Tables, normalize: bool = True, only_ids=None) -> DataFrame:
-    return job_posts(job_table(t, only_ids), employment_type=None, city=city_table(t),
+    return job_posts(job_table(t, only_ids), employment_type=region_dim(t, "EmploymentTypeName"), city=city_table(t),
                      industry=region_dim(t, "IndustryName"), normalize=normalize)
 
 
 # Fields a request carries: what scoring reads plus the display fields.
 PAYLOAD_MEMBER_FIELDS = ("MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName",
-                         "Headline", "TechnicalSkillNames", "OtherSkills", "Education", "Experience")
+                         "Headline", "Industry", "TechnicalSkillNames", "OtherSkills", "Education", "Experience")
 PAYLOAD_JOB_FIELDS = ("Id", "JobCode", "JobTitle", "CityName", "JobLocation", "EmploymentTypeName",
                       "PostedDate", "Deadline_for_Applications", "IsActive", "Salary_Range_Start",
                       "Salary_Range_End", "Qualifications", "PreferredSkills", "Required_Skills",
                       "Key_Responsibilities", "Industry", "Role")
 
 
-def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFrame | None = None) -> DataFrame:
+def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFrame | None = None,
+                 with_request_id: bool = True) -> DataFrame:
     """Request payloads built from the data: one request per order, with the
     jobs of its line items (in line order) and its customer as the only
-    member; orders without line items give requests with no job list.  Returned as a JSON text column ``payload`` so the JSON source
-    path (S7) is exercised.  A request's size is bounded by its line count."""
+    member.  Orders without line items give requests without a ``jobpost``
+    key; of orders whose number ends in 11 the payload is cut short, in 12 it
+    has no data, in 13 the job list, in 14 the member list is empty.  Columns
+    ``order_key`` (unique) and ``payload`` (JSON text).  A request's size is
+    bounded by its line count."""
     m = (members_df if members_df is not None else scoring_members(t)).select(*PAYLOAD_MEMBER_FIELDS)
     j = (jobs_df if jobs_df is not None else jobs(t)).select(*PAYLOAD_JOB_FIELDS)
-    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     job_struct = F.struct(*[F.col(f"`{c}`") for c in j.columns]).alias("job")
-    lines = li.join(j.select(F.col("Id").alias("_jid"), job_struct), F.col("l_suppkey") == F.col("_jid"))
+    lines = li.join(j.select(F.col("Id").alias("_jid"), job_struct), F.col("l_partkey") == F.col("_jid"))
     per_order = lines.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "job"))).alias("_jobs"))
     o = t("orders").select("o_orderkey", "o_custkey")
@@ -233,9 +217,16 @@ def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFr
     # "jobpost" key at all (null fields are omitted from the JSON)
     req = (o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
            .join(mem, o.o_custkey == mem._mid))
-    payload = F.struct(
-        F.col("o_orderkey").cast("string").alias("request_id"),
-        F.struct(F.transform("_jobs", lambda s: s["job"]).alias("jobpost"),
-                 F.array("member").alias("member")).alias("data"),
-    )
-    return req.select(F.to_json(payload).alias("payload"))
+    last = F.col("o_orderkey") % 100
+    job_list = F.transform("_jobs", lambda s: s["job"])
+    member_list = F.array("member")
+    none_j, none_m = F.array().cast(T.ArrayType(j.schema)), F.array().cast(T.ArrayType(m.schema))
+    data = F.struct(F.when(last == 13, none_j).otherwise(job_list).alias("jobpost"),
+                    F.when(last == 14, none_m).otherwise(member_list).alias("member"))
+    fields = [F.when(last != 12, data).alias("data")]
+    if with_request_id:
+        fields.insert(0, F.col("o_orderkey").cast("string").alias("request_id"))
+    text = F.to_json(F.struct(*fields))
+    return req.select(F.col("o_orderkey").alias("order_key"),
+                      F.when(last == 11, F.substring(text, 1, 40)).otherwise(text).alias("payload"))
+

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "talentmesh", driver_memory: str = "16g") -> SparkSession:
+                  app_name: str = "talentmesh", driver_memory: str = "8g") -> SparkSession:
     """A session with the settings the engine assumes: UTC session time zone,
     ANSI on, AQE (coalescing and skew-join splitting) on, UI off."""
     b = SparkSession.builder.appName(app_name)
@@ -32,16 +32,26 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+MAX_SHUFFLE_PARTITIONS = 40_000
+
+
 def sizing_conf(input_bytes: int, partition_bytes: int = 256 << 20, cores: int | None = None) -> dict:
     """Spill-aware settings for an input of ``input_bytes``: file splits and
     shuffle partitions of about ``partition_bytes`` each, with AQE left to
-    coalesce small partitions and split skewed ones.  At ~100 TB this gives
-    ~400k initial shuffle partitions, each sized to sort in memory."""
+    coalesce small partitions and split skewed ones.  The number of shuffle
+    partitions is bounded, as the driver tracks a block for every pair of map
+    task and partition; sorts of larger partitions spill."""
     parts = max(200, -(-input_bytes // partition_bytes))
     if cores:
         parts = max(parts, 2 * cores)
+    # map tasks x reducers blocks have to be tracked by the driver: beyond
+    # MAX_SHUFFLE_PARTITIONS partitions grow instead, and splits with them
+    split_bytes = partition_bytes
+    if parts > MAX_SHUFFLE_PARTITIONS:
+        parts = MAX_SHUFFLE_PARTITIONS
+        split_bytes = max(partition_bytes, min(4 * partition_bytes, -(-input_bytes // MAX_SHUFFLE_PARTITIONS)))
     return {
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),

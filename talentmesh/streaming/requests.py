@@ -16,15 +16,15 @@ from pyspark.sql import types as T
 
 from ..config import MatchOptions
 from ..plans.flows import rank_payloads, score_payloads
-from ..sources.payload import payload_schema, split_valid
+from ..sources.payload import parse_payloads, payload_schema, split_valid
 
 
-def request_stream(spark: SparkSession, in_dir: str, job_schema: T.StructType,
-                   member_schema: T.StructType, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(payload_schema(job_schema, member_schema))
+def request_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Lines of text: parsing happens in the batch, so bad lines keep their text."""
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.json(in_dir)
+    return r.text(in_dir)
 
 
 def start_request_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_dir: str,
@@ -36,10 +36,11 @@ def start_request_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpo
     (jobpost[0] vs members, thresholded) or "score" (member[0] vs jobs)."""
     if direction not in ("rank", "score"):
         raise ValueError("direction must be 'rank' or 'score'")
-    src = request_stream(spark, in_dir, job_schema, member_schema)
+    src = request_stream(spark, in_dir)
+    schema = payload_schema(job_schema, member_schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        valid, bad = split_valid(batch)
+        valid, bad = split_valid(parse_payloads(batch, "value", schema), direction)
         if direction == "rank":
             out = rank_payloads(valid, embedder, opts or MatchOptions())
         else:

@@ -7,7 +7,8 @@ import json
 
 from talentmesh.config import CATEGORIES, MatchOptions
 from talentmesh.operators import profiles as P
-from talentmesh.operators.embed import ModelEmbedder, hashed_bag_of_words
+from models import hashed_bag_of_words
+from talentmesh.operators.embed import ModelEmbedder
 from talentmesh.operators.rank import global_rank, rank_members_for_job, score_jobs_for_member
 from talentmesh.operators.sinks import nested_ranking, score_map, write_extract
 from talentmesh.sources.tables import TableSource

@@ -101,14 +101,29 @@ def test_one_row_per_member_and_unique_dims(talent):
         assert d.groupBy("Id").count().where("count > 1").count() == 0
 
 
-def test_separate_form_equals_single_shuffle(talent):
+def test_lists_equal_one_listagg_each(talent):
     lf = talent["lf"]
     tech = [c for c in CATEGORIES if c[0] == "TechnicalSkills"]
-    one = P.aggregate_lists(lf, tech, children=()).collect()
-    sep = P.aggregate_lists_separately({"TechnicalSkills": lf.where("cat = 'TechnicalSkills'")}, tech).collect()
+    one = P.aggregate_lists(lf, tech, children=()).where("TechnicalSkillNames is not null or TechnicalSkillDescriptions is not null").collect()
+    sep = lf.where("cat = 'TechnicalSkills'").groupBy("MemberId").agg(
+        F.expr("listagg(v1, '; ') WITHIN GROUP (ORDER BY k, v1, v2)"), F.expr("listagg(v2, '; ') WITHIN GROUP (ORDER BY k, v1, v2)")).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, sep))
 
 
+def test_hot_member_is_spread_over_its_lists(spark):
+    """One member owns a third of the rows: no partition of the gathering
+    stage holds all of them."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("MemberId"),
+        F.get(F.array(*[F.lit(c[0]) for c in CATEGORIES]), (F.xxhash64("id") % 10 + 10).cast("int") % 10).alias("cat"),
+        F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("v1"), F.lit(None).cast("string").alias("v2"))
+    most = (rows.repartition(8, "MemberId", "cat").where("MemberId = 0").groupBy(F.spark_partition_id()).count()
+            .agg(F.max("count")).first()[0])
+    assert most < 6000
+    out = P.aggregate_lists(rows).where("MemberId = 0").first()
+    assert sum(len(out[c[-2]].split("; ")) for c in CATEGORIES) == 10_000
+
+
 def test_member_filter_reaches_bridge_scan(spark, tmp_path):
     """The id filter is inferred through the join and aggregate down to
     the bridge parquet scan."""

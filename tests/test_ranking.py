@@ -9,8 +9,8 @@ from talentmesh.config import MatchOptions
 from talentmesh.operators.embed import CharProfileEmbedder
 from talentmesh.operators.rank import global_rank, rank_members_for_job, score_jobs_for_member, top_matches
 from talentmesh.operators.sinks import last_wins, nested_ranking, score_map
-from talentmesh.plans.flows import rank_payloads, score_payloads
-from talentmesh.sources.payload import parse_payloads, payload_schema, split_valid
+from talentmesh.plans.flows import rank_payload_documents, rank_payloads, score_payloads
+from talentmesh.sources.payload import parse_payloads, payload_schema, read_payloads, split_valid
 
 E = CharProfileEmbedder()
 
@@ -127,6 +127,10 @@ def test_payloads(spark, data):
     assert sorted(r.request_id for r in valid.collect()) == ["r1", "r2"]
     assert sorted((r.request_id, r.error) for r in bad.collect()) == [
         ("bad1", "missing jobpost"), ("bad2", "missing data"), ("bad3", "empty list")]
+    # scoring needs a member, not a job
+    valid_s, bad_s = split_valid(df, "score")
+    assert sorted(r.request_id for r in valid_s.collect()) == ["bad3", "r1", "r2"]
+    assert sorted(r.request_id for r in bad_s.collect()) == ["bad1", "bad2"]
     # rank direction: jobpost[0] only
     rp = rank_payloads(valid, E, MatchOptions(threshold=None)).collect()
     assert {(r.request_id, r.JobId) for r in rp} == {("r1", 10), ("r2", 11)}
@@ -170,3 +174,71 @@ def test_null_job_fields_score_as_empty(spark, data):
     assert got[1] == want
     # member 3 has no headline and no city: role '' == '' -> 3, location '' == '' -> 2
     assert got[3] == round((0 + 0 + 0 + 0 + 0 + 3 * .05 + 3 * .05 + 2 * .05) * 100, 2)
+
+
+def _parsed(spark, data, texts):
+    members, jobs = data
+    schema = payload_schema(jobs.schema, members.schema)
+    return parse_payloads(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, p string"), "p", schema, "k")
+
+
+def test_validity_depends_on_the_direction(spark, data):
+    members, jobs = data
+    m, j = [r.asDict() for r in members.collect()], [r.asDict() for r in jobs.collect()]
+    texts = [json.dumps({"data": {"jobpost": j, "member": []}}), json.dumps({"data": {"jobpost": [], "member": m}}),
+             '{"data": {"jobpost": [', "", None, json.dumps({"data": {"jobpost": j}}), json.dumps({"data": None})]
+    df = _parsed(spark, data, texts)
+    valid, bad = split_valid(df, "rank")
+    assert [r.request_key for r in valid.collect()] == ["0"]
+    got = {r.request_key: (r.error, r.payload) for r in bad.collect()}
+    assert got == {"1": ("empty list", None), "2": ("malformed", texts[2]), "3": ("malformed", ""), "4": ("malformed", ""),
+                   "5": ("missing member", None), "6": ("missing data", None)}
+    valid, bad = split_valid(df, "score")
+    assert [r.request_key for r in valid.collect()] == ["1"]
+    assert score_payloads(valid, E).count() == 0
+    # a request without members still has its document
+    docs = rank_payload_documents(split_valid(df, "rank")[0], E).collect()
+    assert [(d.request_key, d.JobId, d["Matched Members"]) for d in docs] == [("0", 10, [])]
+    assert docs[0]["Job Details"]["Job Id"] == 10
+
+
+def test_requests_without_or_with_equal_client_ids_stay_apart(spark, data):
+    members, jobs = data
+    m, j = [r.asDict() for r in members.collect()], [r.asDict() for r in jobs.collect()]
+    body = {"data": {"jobpost": [j[0], j[1], j[0]], "member": m[:2]}}
+    df = _parsed(spark, data, [json.dumps(body), json.dumps(body), json.dumps({"request_id": "r", **body}), json.dumps({"request_id": "r", **body})])
+    s = score_payloads(split_valid(df, "score")[0], E).collect()
+    assert sorted((r.request_key, r.JobId) for r in s) == [(str(i), k) for i in range(4) for k in (10, 11)]
+    docs = rank_payload_documents(split_valid(df, "rank")[0], E, MatchOptions(threshold=None)).collect()
+    assert sorted((d.request_key, len(d["Matched Members"])) for d in docs) == [(str(i), 2) for i in range(4)]
+    maps = score_map(score_payloads(split_valid(df, "score")[0], E), 1000, ("request_key", "MemberId")).collect()
+    assert sorted((r.request_key, sorted(r.scores)) for r in maps) == [(str(i), ["10", "11"]) for i in range(4)]
+
+
+def test_later_duplicate_job_counts(spark, data):
+    members, jobs = data
+    m, j = [r.asDict() for r in members.collect()], [r.asDict() for r in jobs.collect()]
+    other = {**j[1], "Id": j[0]["Id"]}
+    df = _parsed(spark, data, [json.dumps({"data": {"jobpost": [j[0], other], "member": m[:1]}}), json.dumps({"data": {"jobpost": [other, j[0]], "member": m[:1]}}),
+                               json.dumps({"data": {"jobpost": [j[1]], "member": m[:1]}}), json.dumps({"data": {"jobpost": [j[0]], "member": m[:1]}})])
+    got = {r.request_key: r.score for r in score_payloads(split_valid(df, "score")[0], E).collect()}
+    assert len(got) == 4 and got["0"] == got["2"] and got["1"] == got["3"]
+
+
+def test_chunks_are_exact_beyond_doubles(spark):
+    big = 2**53
+    s = spark.createDataFrame([(1, big + 1, 1.0), (1, big + 2, 2.0), (1, -1, 3.0)], "MemberId long, JobId long, score double")
+    assert {r.chunk: sorted(r.scores) for r in score_map(s, 2).collect()} == {
+        big // 2: [str(big + 1)], big // 2 + 1: [str(big + 2)], -1: ["-1"]}
+
+
+def test_read_payload_files(spark, data, tmp_path):
+    members, jobs = data
+    m, j = [r.asDict() for r in members.collect()], [r.asDict() for r in jobs.collect()]
+    line = json.dumps({"data": {"jobpost": j, "member": m}})
+    (tmp_path / "a.json").write_text(line + "\n" + line + "\n\n{bad\n")
+    (tmp_path / "b.json").write_text(line + "\n")
+    df = read_payloads(spark, str(tmp_path), payload_schema(jobs.schema, members.schema))
+    valid, bad = split_valid(df)
+    assert valid.select("request_key").distinct().count() == 3
+    assert [(r.error, r.payload) for r in bad.collect()] == [("malformed", "{bad")]

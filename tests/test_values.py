@@ -7,6 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
+
+from models import hashed_bag_of_words
 from talentmesh.functions.normalize import normalize_row_values
 from talentmesh.functions.text import preprocess_text
 from talentmesh.functions.vectors import char_profile, cosine
@@ -14,7 +17,6 @@ from talentmesh.operators.embed import (
     CharProfileEmbedder,
     ModelEmbedder,
     VectorTableEmbedder,
-    hashed_bag_of_words,
     text_key,
 )
 
@@ -92,6 +94,40 @@ def test_table_source_reads_parquet(spark):
 
 def test_sizing_conf():
     from talentmesh.session import sizing_conf
-    c = sizing_conf(100 * 2**40)
-    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
+    c = sizing_conf(2**40)
+    assert int(c["spark.sql.shuffle.partitions"]) == 2**40 // (256 << 20)
     assert int(sizing_conf(10 << 20)["spark.sql.shuffle.partitions"]) == 200
+
+
+def test_nan_cosine_counts_as_missing(spark):
+    df = spark.createDataFrame([([1.0, float("nan")], [1.0, 1.0]), ([1.0, 0.0], [1.0, 0.0]), (None, [1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in df.select(cosine("a", "b")).collect()] == [0.0, 1.0, 0.0]
+
+
+def test_repeated_vector_keys_do_not_multiply_rows(spark):
+    from talentmesh.operators.embed import VectorTableEmbedder, text_key
+    t = spark.createDataFrame([("x", [1.0]), ("x", [1.0])], "t string, vector array<double>").select(text_key("t").alias("key"), "vector")
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id long, t string")
+    got = VectorTableEmbedder(t).attach(df, "t", "v").collect()
+    assert sorted((r.id, r.v) for r in got) == [(1, [1.0]), (2, None)]
+
+
+def test_only_an_absent_path_counts_as_absent(spark, tmp_path):
+    from talentmesh.sources.tables import TableSource, path_exists
+    assert not path_exists(spark, str(tmp_path / "none")) and path_exists(spark, str(tmp_path))
+    with pytest.raises(Exception):
+        path_exists(spark, "nosuchscheme://x/y")
+    assert not TableSource(spark, str(tmp_path)).has("missing")
+
+
+def test_jdbc_reads_are_partitioned_or_said_not_to_be(spark):
+    from talentmesh.sources.tables import TableSource
+    with pytest.raises(ValueError, match="no partitioning"):
+        TableSource(spark, fmt="jdbc", jdbc_options={"url": "jdbc:none:"}).table("Member")
+
+
+def test_sizing_bounds_the_shuffle_blocks():
+    from talentmesh.session import MAX_SHUFFLE_PARTITIONS, sizing_conf
+    c = sizing_conf(100 * 2**40)
+    assert int(c["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
+    assert int(c["spark.sql.files.maxPartitionBytes"]) > 256 << 20
