@@ -216,7 +216,8 @@ def example_pages(n: int = 300, seed: int = 11) -> list[tuple[list[float], int]]
         return "<ul>" + "".join(f'<li><a href="/{i}">0{words(1, 3, False)}</a></li>' for i in range(k)) + "</ul>"
 
     for _ in range(n):
-        art = r.choice(["<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', '<div id="content">{}</div>', "<div>{}</div>"])
+        art = r.choice(["<article>{}</article>", "<main>{}</main>", '<article class="post">{}</article>',
+                        '<main id="content"><article class="entry-content">{}</article></main>', '<div class="post-content">{}</div>', '<div id="content">{}</div>', "<div>{}</div>"])
         body = [f"<h1>1{words(4, 10, False)}</h1>"]
         inside = []
         for _ in range(r.randint(2, 7)):
@@ -356,7 +357,7 @@ def min_cut(logits: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                     cap[e ^ 1] += f
 
 
-def label_blocks(blocks: list[Block], weights: np.ndarray, adjacent: float = 0.35, sibling: float = 0.35, limit: float = 8.0) -> list[bool]:
+def label_blocks(blocks: list[Block], weights: np.ndarray, adjacent: float = 0.3, sibling: float = 0.3, limit: float = 8.0) -> list[bool]:
     if not blocks:
         return []
     z = np.clip(np.array([b.x for b in blocks]) @ weights, -limit, limit).tolist()

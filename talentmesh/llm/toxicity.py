@@ -219,7 +219,7 @@ def fit_lexicon(sample: DataFrame, min_support: int | None = None, max_rate: flo
             taken[names[i]] = odds[names[i]]
             met[by[i]] += 1
     lex = Lexicon(taken, exceptions)
-    # the line of the score: half way between the usual text of either class
+    # the line of the score
     def _densities(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([lex.density(fold(t))[0] for t in b.column(0).to_pylist()], pa.float64()),
@@ -234,7 +234,13 @@ def fit_lexicon(sample: DataFrame, min_support: int | None = None, max_rate: flo
         mids = mids[np.linspace(0, len(mids) - 1, 512).astype(int)]
     tpr = np.array([(x[y == 1] > m).mean() for m in mids])
     fpr = np.array([(x[y == 0] > m).mean() for m in mids])
-    lex.offset = -float(mids[int(np.argmax(tpr - fpr))])
+    best = np.flatnonzero(tpr - fpr >= (tpr - fpr).max() - 1e-12)
+    # of equally good cuts that at half the density of the least toxic text
+    # above them, so that a chance match of little weight stays below
+    low, high = x[x <= mids[best[0]]], x[x > mids[best[-1]]]
+    low, high = (low.max() if len(low) else mids[best[0]]), (high.min() if len(high) else mids[best[-1]])
+    cut = high - math.log(2)
+    lex.offset = -float(cut if cut > low else (low + high) / 2)
     return lex
 
 
