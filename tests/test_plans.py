@@ -72,7 +72,7 @@ def test_matches_are_never_the_build_side(spark):
     assert spread > 1
     assert docs.count() == 200
     p = _plan(docs)
-    assert "LeftOuter" not in p and "NestedLoop" not in p
+    assert "BuildLeft" not in p and "NestedLoop" not in p
 
 
 def test_member_lists_are_gathered_per_list(spark):
