@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmesh.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from talentmesh.llm.common import read_table, written
+from talentmesh.llm.common import read_table, small_batches, written
 from talentmesh.llm.queries import TOXIC_CUT, tokenizer_path, toxic_lexicon
 from talentmesh.session import ship_package
 
@@ -31,6 +31,7 @@ def _stage(fn):
     @wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        small_batches(spark)
         return fn(spark, docs, sf_dir)
 
     return run

@@ -29,7 +29,7 @@ START, IN_L, IN_N, IN_O, SP, WS, AP, DONE, AP_R, AP_V, AP_L = range(11)
 N_STATES = 11
 # Code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 _NONE = np.int64(1 << 40)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 LONG_PIECE = 48
@@ -370,7 +370,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     def run(batches):
         codec = _codec(shared.value)
         for b in batches:
-            for lo, hi, buf, offs in text_chunks(b.column(len(carried)), CHUNK_BYTES // 2):
+            for lo, hi, buf, offs in text_chunks(b.column(len(carried)), CHUNK_BYTES):
                 ids, before = codec.encode(buf, offs)
                 cols = [b.column(i).slice(lo, hi - lo) for i in range(len(carried))] + [_lists(ids, before)]
                 if with_offsets:
@@ -378,6 +378,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                 if with_decoded:
                     cols.append(_binary(*codec.decode(ids, before)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        codec._reset()  # the worker may go on to other work
 
     return docs.select(*carried, text_col).mapInArrow(
         run, f"{fields}, ids array<int>" + ", offsets array<int>" * with_offsets + ", decoded binary" * with_decoded)

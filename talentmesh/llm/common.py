@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 
 from talentmesh.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python tasks in batches of bounded rows and bytes, so that
+    neither side holds tens of megabytes of them at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        have = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < have <= most:
+            spark.conf.set(key, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,12 +67,15 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) ->
 
 
 def text_chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES):
-    """Cuts a string column into runs of whole texts of about ``max_bytes``:
+    """Cuts a column of strings (or large binaries) into runs of whole texts of about ``max_bytes``:
     yields (first row, last row + 1, bytes, offsets of the rows in them).
     Nulls are empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_string())
+    if pa.types.is_large_binary(texts.type):
+        texts = texts.fill_null(b"")
+    else:
+        texts = texts.fill_null("").cast(pa.large_string())
     n = len(texts)
     if not n:
         return
@@ -96,7 +108,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, CHUNK_BYTES + (1 << 16))
         inv = pow(_BASE, -1, 1 << 64)
         for key, b in (("up", _BASE), ("down", inv)):
             x = np.full(size, np.uint64(b), np.uint64)

@@ -271,7 +271,9 @@ def fit_weights(x: np.ndarray, y: np.ndarray, seed: int = 3, rounds: int = 30, r
 
 def fit(pages: DataFrame | None = None, max_pages: int = 1500, html_col: str = "html", id_col: str = "page_id") -> np.ndarray:
     """Weights from the made-up labelled blocks and, where ``pages`` are given,
-    from weakly labelled blocks of about ``max_pages`` of them (by a hash)."""
+    from weakly labelled blocks (400 of a page at most) of about ``max_pages``
+    of them, picked by a hash.  This bounds the fit alone; extraction reads
+    every block of every page."""
     made = example_pages()
     x, y = [b for b, _ in made], [v for _, v in made]
     if pages is not None:

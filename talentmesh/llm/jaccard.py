@@ -97,7 +97,7 @@ def _profile(batches):
                     if len(x):
                         tokens.append(x[:len(x) - least_overlap(len(x)) + 1])
                         pending += len(tokens[-1])
-            if pending > 2_000_000:
+            if pending > 1_000_000:
                 for t, c in zip(*(v.tolist() for v in counted())):
                     sums[t] = sums.get(t, 0) + c
                 pending = 0

@@ -156,7 +156,7 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = 12, gat
 
 def _encode(batches):
     for b in batches:
-        for lo, hi, buf, offs in text_chunks(b.column(0), CHUNK_BYTES // 2):
+        for lo, hi, buf, offs in text_chunks(b.column(0), CHUNK_BYTES):
             x, first = passage_features(buf, offs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()), b.column(1).slice(lo, hi - lo)],
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: MILModel | None, id_col: str = "doc_id", text_
     def run(batches):
         m = shared.value
         for b in batches:
-            for lo, hi, buf, offs in text_chunks(b.column(1), CHUNK_BYTES // 2):
+            for lo, hi, buf, offs in text_chunks(b.column(1), CHUNK_BYTES):
                 y = np.full(hi - lo, 0.5) if m is None else m.score(*passage_features(buf, offs))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(y.astype(np.float64))], names=[id_col, "score"])
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_text, jaccard, quality, secrets, suffixes, topk, toxicity, urls
-from .common import fit_sample, held_out, read_table
+from .common import fit_sample, held_out, read_table, small_batches
 
 TOXIC_CUT = 0.5
 QUALITY_CUT = 0.3
@@ -126,4 +128,16 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_topk_search": op10_topk_search,
 }
+
+
+def _bounded(fn):
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _bounded(fn) for name, fn in QUERIES.items()}
 ORACLE_SQL = {"op3_url_filters": OP3_SQL}

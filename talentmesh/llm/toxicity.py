@@ -168,7 +168,9 @@ def fit_lexicon(sample: DataFrame, min_support: int | None = None, max_rate: flo
     entries that meet at least ``min_support`` (by default a hundredth, 3 to 5)
     toxic texts not yet met ``cover`` times
     and at most ``max_rate`` as large a share of the others as of the toxic.  Without both
-    classes the lexicon is empty."""
+    classes the lexicon is empty.  The driver receives candidate entries (the
+    50 * ``max_entries`` met most often, at most) and which of them each toxic
+    text of the sample has."""
     from .common import written
 
     keyed = sample.mapInArrow(_sketch, "doc_id long, text string, y int, k long")
