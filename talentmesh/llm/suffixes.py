@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -256,6 +257,19 @@ def _receive(batches):
 _PACKED = "bucket int, settled boolean, data binary"
 
 
+def _pressed(batches):
+    """Texts compressed for their way through the shuffle."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((t or "").encode("utf-8", "surrogatepass"))
+                                                                 for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "pressed"])
+
+
+def _texts(column) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(x) for x in column.to_pylist()], pa.large_binary())
+
+
 def _settled(packed: DataFrame) -> DataFrame:
     return (packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive, "doc_id long, code long")
             .groupBy("doc_id").agg(F.collect_list("code").alias("codes")))
@@ -305,7 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sender = _Sender(buckets)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, buf, offs in text_chunks(b.column(1)):
+            for lo, hi, buf, offs in text_chunks(_texts(b.column(1))):
                 _, code_at, code_open = _codes(b.column(2), offs, lo, hi)
                 if not code_open.any():
                     continue
@@ -317,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def take_out(batches):
         for b in batches:
-            for lo, hi, buf, offs in text_chunks(b.column(1)):
+            for lo, hi, buf, offs in text_chunks(_texts(b.column(1))):
                 _, code_at, code_open = _codes(b.column(2), offs, lo, hi)
                 step = np.zeros(len(buf) + 1, np.int32)
                 if len(code_at):
@@ -353,8 +367,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     cell_codes = _settled(base.mapInArrow(send_cells, _PACKED))
     # texts and codes are shuffled by document once and used twice
-    met = base.join(cell_codes, "doc_id", "left")
-    window_codes = _settled(met.select("doc_id", "text", "codes").mapInArrow(send_windows, _PACKED)).withColumnRenamed("codes", "windows")
-    return met.join(window_codes, "doc_id", "left").select("doc_id", "text", "codes", "windows").mapInArrow(
+    met = base.mapInArrow(_pressed, "doc_id long, pressed binary").join(cell_codes, "doc_id", "left")
+    window_codes = _settled(met.select("doc_id", "pressed", "codes").mapInArrow(send_windows, _PACKED)).withColumnRenamed("codes", "windows")
+    return met.join(window_codes, "doc_id", "left").select("doc_id", "pressed", "codes", "windows").mapInArrow(
         take_out, f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<first:bigint,n:bigint>>, kept_sha256 string"
         + ", kept binary" * keep_text)
