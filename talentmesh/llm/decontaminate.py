@@ -11,6 +11,7 @@ matches.  Test items come in blocks of bounded size, one pass each.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from .common import ALNUM_SEPARATORS, scan_words, text_chunks, written
 WINDOW = 13
 #: Bytes of item text in a block of test items: bounds what is broadcast.
 BLOCK_BYTES = 16 << 20
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
 
 
 @dataclass
@@ -147,16 +149,14 @@ def find_near(ids: np.ndarray, doc: np.ndarray, w: Windows, slop: int):
     return out
 
 
-def _blocks(items: DataFrame, block_bytes: int):
+def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
     """Test items in blocks of bounded text; an item longer than a block is
     one block of its own."""
     sized = items.where("item_id IS NOT NULL").select(
         "item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for i in range(n):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(n)) == i).collect()
-        yield sorted((r["item_id"], r["text"]) for r in rows)
+    return [sized.where(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(n)) == i) for i in range(n)]
 
 
 def _term_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -185,42 +185,87 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None
     ``spans`` are the maximal runs of hit words (first word, length), ``items``
     the sorted ids of items with an occurring window, ``near`` - only with
     ``slop`` - the items matched by proximity alone.  Null and empty texts have
-    no words; items without words match nothing; repeated rows each give a row.
-    Document ids should be unique: with several blocks, blocks meet by row id.
+    no words; items without words match nothing; repeated rows and rows without
+    an id each give a row, whatever the number of blocks.
     """
     base = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = [_scan_block(base, w, slop, id_col, kind) for w in _lookups(base, items, size, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = written(parts[0], "phrases")
-    for p in parts[1:]:
-        whole = written(whole.union(p), "phrases")
-    spread = F.flatten(F.collect_list("spans"))
-    return (whole.groupBy(id_col).agg(F.max("n_words").alias("n_words"), spread.alias("all"),
-                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
-            .withColumn("covered", F.array_distinct(F.flatten(F.transform("all", lambda s: F.sequence(
-                s["first"], s["first"] + s["n"] - 1)))))
-            .select(id_col, "n_words", F.size("covered").cast("long").alias("n_hit"), F.array_sort("all").alias("spans"), "items", "near"))
-
-
-def _lookups(base: DataFrame, items: DataFrame, size: int, block_bytes: int):
-    for block in _blocks(items, block_bytes):
-        w = cut_windows([i for i, _ in block], [t for _, t in block], size)
-        plan_lookups(w, _term_counts(base, w.terms))
-        yield w
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id",
+    blocks = _blocks(items, block_bytes)
+    if len(blocks) == 1:
+        return _scan_block(base, _lookup(base, blocks[0], size), slop)
+    base, key = _keyed(base)
+    return _scan_blocks(base.select(key, id_col, "text"), blocks, size, slop).drop(key)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a key of each row, and the key's name.  Ids may
+    be null or repeated, so blocks meet by this key."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def _scan_blocks(base: DataFrame, blocks: list[DataFrame], size: int, slop: int | None) -> DataFrame:
+    """The results of all blocks, one at a time, by row.  The first column of
+    ``base`` is the row's key, the last one its text."""
+    carried = base.columns[:-1]
+    parts = []
+    for block in blocks:
+        got = _scan_block(base, _lookup(base, block, size), slop)
+        # every row is in the first part
+        parts.append(written(got.where("n_hit > 0 OR size(near) > 0") if parts else got, "phrases"))
+    whole = reduce(DataFrame.union, parts)
+
+    def lists(c):
+        return F.flatten(F.collect_list(c)).alias(c)
+
+    whole = whole.groupBy(carried[0]).agg(*[F.first(c).alias(c) for c in carried[1:]], F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"),
+                                          lists("spans"), *[F.array_sort(F.array_distinct(lists(c))).alias(c) for c in ("items", "near")])
+    whole = whole.select(*parts[0].columns)
+    at = [whole.columns.index(c) for c in ("n_hit", "spans")]
+
+    def run(batches):
+        for b in batches:
+            cols = list(b.columns)
+            spans = [_joined(x) for x in cols[at[1]].to_pylist()]
+            cols[at[0]] = pa.array([sum(s["n"] for s in x) for x in spans], pa.int64())
+            cols[at[1]] = pa.array(spans, SPANS)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return whole.mapInArrow(run, whole.schema)
+
+
+def _joined(spans: list[dict]) -> list[dict]:
+    """The maximal runs of spans that overlap or touch."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["first"]):
+        if out and s["first"] <= out[-1]["first"] + out[-1]["n"]:
+            out[-1]["n"] = max(out[-1]["n"], s["first"] + s["n"] - out[-1]["first"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def _lookup(base: DataFrame, block: DataFrame, size: int) -> Windows:
+    rows = sorted((r["item_id"], r["text"]) for r in block.collect())
+    w = cut_windows([i for i, _ in rows], [t for _, t in rows], size)
+    plan_lookups(w, _term_counts(base, w.terms))
+    return w
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, that are not contaminated.  With one
-    block of items nothing is shuffled; with several, ids have to be distinct."""
-    looked = list(_lookups(docs.select(F.col(text_col).alias("text")), items, size, block_bytes))
-    if len(looked) > 1:
-        bad = scan(docs, items, size, None, block_bytes, id_col, text_col).where(contaminated(F.col("n_hit"), F.col("n_words")))
-        return docs.join(bad.select(id_col), id_col, "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(looked[0])
+    """The rows of ``docs``, as they are, that are not contaminated, each
+    judged for itself.  With one block of items nothing is shuffled; with
+    several, rows meet their results by a key of their own."""
+    blocks = _blocks(items, block_bytes)
+    if len(blocks) > 1:
+        rows, key = _keyed(docs)
+        got = _scan_blocks(rows.select(key, F.col(text_col).alias("text")), blocks, size, None)
+        bad = got.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(key)
+        return rows.join(bad, key, "left_anti").select(*docs.columns)
+    looked = _lookup(docs.select(F.col(text_col).alias("text")), blocks[0], size)
+    shared = docs.sparkSession.sparkContext.broadcast(looked)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -249,14 +294,15 @@ def _match(buf: np.ndarray, offs: np.ndarray, w: Windows):
     return ids, before, doc, which, start, hit, n_words, np.bincount(doc[hit], minlength=len(n_words))
 
 
-def _scan_block(base: DataFrame, windows: Windows, slop, id_col: str, kind: str) -> DataFrame:
+def _scan_block(base: DataFrame, windows: Windows, slop: int | None) -> DataFrame:
+    """Results beside the columns of ``base``, of which the last is the text."""
     shared = base.sparkSession.sparkContext.broadcast(windows)
-    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
+    carried = base.columns[:-1]
 
     def run(batches):
         w = shared.value
         for b in batches:
-            for lo, hi, buf, offs in text_chunks(b.column(1)):
+            for lo, hi, buf, offs in text_chunks(b.column(len(carried))):
                 ids, before, doc, which, start, hit, n_words, n_hit = _match(buf, offs, w)
                 spans = [[] for _ in range(hi - lo)]
                 items = [set() for _ in range(hi - lo)]
@@ -275,12 +321,13 @@ def _scan_block(base: DataFrame, windows: Windows, slop, id_col: str, kind: str)
                     for r, a, _ in find_near(ids, doc, w, slop):
                         near[doc[a]].update(w.items[r].tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
-                     pa.array(spans, spans_type), pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                    [*(b.column(i).slice(lo, hi - lo) for i in range(len(carried))), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
+                     pa.array(spans, SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
                      pa.array([sorted(x - y) for x, y in zip(near, items)], pa.list_(pa.int64()))],
-                    names=[id_col, "n_words", "n_hit", "spans", "items", "near"])
+                    names=[*carried, "n_words", "n_hit", "spans", "items", "near"])
 
-    return base.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, "
+    kinds = "".join(f"`{c}` {base.schema[c].dataType.simpleString()}, " for c in carried)
+    return base.mapInArrow(run, f"{kinds}n_words long, n_hit long, "
                                 "spans array<struct<first:bigint,n:bigint>>, items array<bigint>, near array<bigint>")
 
 

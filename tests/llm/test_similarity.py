@@ -135,6 +135,24 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.scan(frame(spark, []), frame(spark, items, "item_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_decontamination_judges_each_row_by_itself(spark, block_bytes):
+    items = [(i, prose(random.Random(i), 15)) for i in range(12)] + [(12, "left1 left2 left3 " + " ".join(f"both{i}" for i in range(12)))]
+    items.append((13, " ".join(f"both{i}" for i in range(2, 12)) + " right1 right2 right3"))
+    clean, hit, other = "nothing to find here", items[0][1], items[1][1]
+    both = items[12][1] + " right1 right2 right3 " + hit
+    rows = [(None, clean), (None, hit), (None, None), (None, f"{hit} {other}"), (1, clean), (1, hit), (2, other), (2, other), (3, clean), (3, clean), (4, ""), (5, both)]
+    want = sorted((str(i), *benchmark_hits([(0, t)], items)[0]) for i, t in rows)
+    df, bench = frame(spark, rows), frame(spark, items, "item_id long, text string")
+    got = decontaminate.scan(df, bench, block_bytes=block_bytes).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in got) == want
+    assert [[tuple(s) for s in r["spans"]] for r in got if r["doc_id"] == 5] == [[(0, 33)]]
+    kept = decontaminate.keep_clean(df, bench, block_bytes=block_bytes)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect() if r["text"]) == sorted((str(i), t) for i, t in rows if t == clean)
+    assert sum(not r["text"] for r in kept.collect()) == 2
+
+
 @pytest.mark.parametrize("shard_docs", [16_384, 7])
 def test_search(spark, monkeypatch, shard_docs):
     rows = corpus(6, 150) + [(None, "left out")]
