@@ -2,11 +2,11 @@
 positives.
 
 Candidates are long runs of credential characters with a digit, assigned
-values behind telling names, and key blocks.  The forest sees the length, the
-character transitions (against the corpus' own), how much of the candidate
-the corpus' letter groups cover, the path it stands in and the words beside
-it.  It is fitted to labelled findings: generated ones of known kinds, and
-those that the caller brings.
+values behind telling names, and key blocks, each at its full length.  The
+forest sees the length, the character transitions (against the corpus' own),
+how much of the candidate the corpus' letter groups cover, the path it stands
+in and the words beside it.  It is fitted to labelled findings: generated ones
+of known kinds, and those that the caller brings.
 """
 
 from __future__ import annotations
@@ -34,9 +34,16 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk
 PLACEHOLDERS = ("example", "xxxx", "changeme", "yourkey", "your_", "placeholder", "1234567890", "abcdef", "aaaa", "0000000000")
 
 ASSIGNED = (r"(?i:(?<![A-Za-z0-9])[A-Za-z0-9_-]{0,24}(?:passw(?:or)?d|passphrase|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|credential)s?"
-            r"[A-Za-z0-9_]{0,16}[\"']?\s{0,2}(?:=>|:=|=|:)\s{0,2}[\"']?)([^\s\"'<>;,]{6,512})")
+            r"[A-Za-z0-9_]{0,16}[\"']?\s{0,2}(?:=>|:=|=|:)\s{0,2}[\"']?)([^\s\"'<>;,]{6,})")
 RUN = r"[A-Za-z0-9+/_~.:@%=-]{14,}"
-CANDIDATE = re.compile(rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:[\s\S]{{0,8000}}?-----END [A-Z ]{{0,40}}PRIVATE KEY-----)?|{ASSIGNED}|({RUN})")
+CANDIDATE = re.compile(rf"{ASSIGNED}|({RUN})")
+KEY_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----")
+# Header lines and base64 lines of a key without its END line, maybe quoted or
+# with escaped line ends; the last line may be short.  Possessive, so linear.
+_GAP = r"(?:\s|\\[nr]|[\"'>|#*+,])++"
+_SHORT = (r"(?:[\"' +]*+(?:\r?\n|(?:\\r)?\\n)[\"'>|#* \t]*+[A-Za-z0-9+/]{1,19}+=*+(?=[\"'+, ]*+(?:[\r\n\\]|$))"
+          r"|[ \t]++[A-Za-z0-9+/]{2,19}+={1,2})")
+KEY_LINES = re.compile(rf"(?:(?:{_GAP}[A-Z][A-Za-z-]{{1,30}}: [^\r\n\\]*+)*+(?:{_GAP}[A-Za-z0-9+/]{{20,}}+=*+)++{_SHORT}?+)?+")
 PATH = re.compile(r"(?:[A-Za-z]:)?[\w.-]*[/\\][\w./\\-]*\.\w{1,6}|https?://\S+")
 FEATURES = ("length", "log_length", "transitions", "bigram", "coverage", "digits", "uppers", "lowers", "signs", "hex_only", "entropy", "prefix",
             "named", "assigned", "quoted", "against", "placeholder", "in_url", "in_path", "test_path", "email", "dotted", "repeats", "block")
@@ -146,12 +153,37 @@ def _features(text: str, s: int, e: int, named: bool, path: str, stats: CorpusSt
             float("@" in v), float(v.count(".") >= 2), float(len(set(v)) < 0.25 * n), float(v.startswith("-----"))]
 
 
+def _key_blocks(text: str):
+    """(start, end) of the private keys, from BEGIN to END line.  Where another
+    BEGIN or the end of the text comes first, a key ends with its lines."""
+    marks = list(KEY_MARK.finditer(text))
+    for i, m in enumerate(marks):
+        if m[1] == "BEGIN":
+            after = marks[i + 1] if i + 1 < len(marks) else None
+            if after and after[1] == "END":
+                yield m.start(), after.end()
+            else:
+                yield m.start(), KEY_LINES.match(text, m.end(), after.start() if after else len(text)).end()
+
+
+def _matches(text: str):
+    """Matches of ``CANDIDATE`` and, between them, (start, end) of key blocks."""
+    at = 0
+    for s, e in _key_blocks(text):
+        yield from CANDIDATE.finditer(text, at, s)
+        yield s, e
+        at = e
+    yield from CANDIDATE.finditer(text, at)
+
+
 def find_candidates(text: str | None, stats: CorpusStats, path: str | None = None) -> list[Finding]:
     """Candidates in order of place, in code points of the whole text."""
     text = text or ""
     out = []
-    for m in CANDIDATE.finditer(text):
-        if m[2] is not None:
+    for m in _matches(text):
+        if isinstance(m, tuple):
+            s, e, named = *m, True
+        elif m[2] is not None:
             s, e, named = m.start(2), m.end(2), False
             # sentence signs behind a run do not belong to it
             while e > s and text[e - 1] in ".:,=-" and not (text[e - 1] == "=" and e - s > 20):
@@ -162,10 +194,8 @@ def find_candidates(text: str | None, stats: CorpusStats, path: str | None = Non
             v = text[s:e]
             if len(v) < 12 or not any(map(str.isdigit, v)):
                 continue
-        elif m[1] is not None:
-            s, e, named = m.start(1), m.end(1), True
         else:
-            s, e, named = m.start(), m.end(), True
+            s, e, named = m.start(1), m.end(1), True
         out.append(Finding(s, e, text[s:e], _features(text, s, e, named, path or "", stats)))
     return out
 
