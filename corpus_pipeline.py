@@ -4,14 +4,15 @@ Stages, each working on all that its predecessor kept:
 
 1. ``toxicity`` drops documents that score 0.5 or more;
 2. ``near_duplicates`` keeps, of documents linked by five-word shingles at a
-   Jaccard similarity of 0.8 or more, the one with the least id;
+   Jaccard similarity of 0.8 or more, one row: the one with the least id, a row
+   without an id only if none has one, any one of equal ids;
 3. ``decontamination`` drops documents of whose words a twentieth or more lie
    in benchmark windows;
 4. ``secrets`` masks found secrets in the texts (and renews ``n_chars``);
 5. ``tokens`` encodes the texts by byte-level BPE and checks the way back.
 
-Documents without an id are kept by every filter (stage 2 compares them too,
-but cannot name them); empty and null texts pass all stages.
+Every stage judges each row by itself or by its text's group, so ids may be
+null or repeated; empty and null texts pass all stages.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmesh.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from talentmesh.llm.common import read_table, small_batches, written
+from talentmesh.llm.common import keyed, read_table, small_batches, written
 from talentmesh.llm.queries import TOXIC_CUT, tokenizer_path, toxic_lexicon
 from talentmesh.session import ship_package
 
@@ -44,9 +45,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard.link_components(docs.select("doc_id", "text"))
-    gone = written(linked.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    linked = jaccard.link_components(rows.select(key, "text"), key).select(key, "component_id")
+    groups = written(linked.join(rows.select(key, "doc_id"), key), "groups")
+    # least id, rows without an id last; the key decides between repeated ids
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key)).alias("least"))
+    gone = written(groups.join(first.select(f"least.{key}"), key, "left_anti").select(key), "near-duplicates")
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 @_stage

@@ -46,6 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a key of each row, and the key's name: for rows
+    whose ids may be null or repeated."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def held_out(doc_id: Column | str) -> Column:
     """The fifth of the rows whose labels no model may see."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEPARATORS, scan_words, text_chunks, written
+from .common import ALNUM_SEPARATORS, keyed, scan_words, text_chunks, written
 
 WINDOW = 13
 #: Bytes of item text in a block of test items: bounds what is broadcast.
@@ -192,19 +192,10 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None
     blocks = _blocks(items, block_bytes)
     if len(blocks) == 1:
         return _scan_block(base, _lookup(base, blocks[0], size), slop)
-    base, key = _keyed(base)
+    base, key = keyed(base)
     return _scan_blocks(base.select(key, id_col, "text"), blocks, size, slop).drop(key)
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs``, written with a key of each row, and the key's name.  Ids may
-    be null or repeated, so blocks meet by this key."""
-    key = "_row"
-    while key in docs.columns:
-        key += "_"
-    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
-
-
 def _scan_blocks(base: DataFrame, blocks: list[DataFrame], size: int, slop: int | None) -> DataFrame:
     """The results of all blocks, one at a time, by row.  The first column of
     ``base`` is the row's key, the last one its text."""
@@ -260,7 +251,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_byte
     several, rows meet their results by a key of their own."""
     blocks = _blocks(items, block_bytes)
     if len(blocks) > 1:
-        rows, key = _keyed(docs)
+        rows, key = keyed(docs)
         got = _scan_blocks(rows.select(key, F.col(text_col).alias("text")), blocks, size, None)
         bad = got.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(key)
         return rows.join(bad, key, "left_anti").select(*docs.columns)

@@ -75,3 +75,16 @@ def test_stages_on_an_empty_table_nulls_and_planted_rows(spark):
     assert left.keys() == {10**6, 10**6 + 4, 10**6 + 5, None, 10**6 + 6} and left[10**6 + 6].endswith("[SECRET]")
     assert clean is not None and hashlib is not None
     assert dict(P.STAGES)["tokens"](spark, df, SF).where(F.col("decodes")).count() == 5
+
+
+def test_near_duplicates_of_rows_without_an_id_or_with_a_repeated_one(spark):
+    docs = common.read_table(spark, SF, "documents")
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    rows = [(3, a), (3, a), (None, a), (None, a.replace("a30", "x")),  # one row stays
+            (5, b), (7, b), (7, c),  # only the copy goes
+            (None, d), (None, d), (None, e), (9, None), (9, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], docs.schema).repartition(3)
+    got = dict(P.STAGES)["near_duplicates"](spark, df, SF)
+    assert got.columns == docs.columns
+    want = [(3, a), (5, b), (7, c), (None, d), (None, e), (9, None), (9, ""), (None, None)]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t in want)
