@@ -1,11 +1,11 @@
-"""Benchmark decontamination over a positional inverted index.
-
-The index is sharded by document: each shard stores, for every term of the
-test items, the positions at which it occurs.  A window (run of item words)
-is looked up from its rarest term - rarest by counts over all documents -
-and the postings of its other terms, shifted by their offset in the window,
-are intersected one by one, rarest first.  What is left are exact phrase
-matches.  Test items come in blocks of bounded size, one pass each.
+"""Benchmark decontamination by positions.
+
+Windows (runs of item words) are indexed by their rarest term - rarest by
+counts over all documents.  Documents are scanned forward, a chunk at a time:
+where a rarest term stands, the words at the offsets of the window's other
+terms are compared, rarest first.  What is left are exact phrase matches.  No
+postings of the documents are stored.  Test items come in blocks of bounded
+size, one pass each.
 """
 
 from __future__ import annotations
