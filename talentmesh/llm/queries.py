@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard, quality, secrets, suffixes, topk, toxicity, urls
+from . import bpe, decontaminate, html_text, jaccard, manifest, quality, secrets, suffixes, topk, toxicity, urls
 from .common import fit_sample, held_out, read_table, small_batches
 
 TOXIC_CUT = 0.5
@@ -116,6 +116,74 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(docs, asked, SEARCH_K)
 
 
+DOCUMENT_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = [F.try_add(c, F.lit(1)) if c == "n_chars" else F.col(c) for c in DOCUMENT_COLUMNS]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    kept = manifest.build(docs, DOCUMENT_COLUMNS, carry={"tampered": F.when(chosen, F.unhex(manifest.leaf_hash(tampered)))})
+    leaf = F.coalesce(F.lower(F.hex("tampered")), F.col("leaf"))
+    got = kept.proofs().select("doc_id", "leaf", "subroot", "root", manifest.path_digest().alias("proof_sha256"),
+                               manifest.fold(leaf).alias("folded_root"))
+    return got.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op11_sql() -> str:
+    value = "coalesce(CAST(octet_length(encode({0})) AS VARCHAR) || ':' || {0}, '-')"
+    plain = {c: f"CAST({c} AS VARCHAR)" for c in DOCUMENT_COLUMNS}
+    row = " || ".join(value.format(plain[c]) for c in DOCUMENT_COLUMNS)
+    more = " || ".join(value.format("CAST(n_chars + 1 AS VARCHAR)" if c == "n_chars" else plain[c]) for c in DOCUMENT_COLUMNS)
+    return f"""
+WITH RECURSIVE entry AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+), d AS MATERIALIZED (
+  SELECT documents.*, doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 7 = 0 AS chosen FROM documents, entry
+), leaf0 AS MATERIALIZED (
+  SELECT doc_id, lang, sha256({row}) AS leaf, CASE WHEN chosen THEN sha256({more}) END AS tampered FROM d
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaf0
+), tree AS (
+  SELECT 0 AS level, g, pos, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT level + 1, g, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY level, g, pos // 2, n
+), nodes AS MATERIALIZED (SELECT * FROM tree), subroots AS MATERIALIZED (SELECT g, node AS subroot FROM nodes WHERE n = 1
+), roof AS (
+  SELECT 0 AS level, g AS pos, subroot AS node, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM roof WHERE n > 1 GROUP BY level, pos // 2, n
+), top AS MATERIALIZED (SELECT * FROM roof), steps AS MATERIALIZED (
+  SELECT k, t.level, xor(t.pos, 1) < t.pos AS is_left, s.node
+  FROM leaves l JOIN nodes t ON t.g = l.g AND t.pos = l.pos >> t.level AND t.n > 1
+  LEFT JOIN nodes s ON s.g = t.g AND s.level = t.level AND s.pos = xor(t.pos, 1)
+  UNION ALL
+  SELECT k, 1000 + t.level, xor(t.pos, 1) < t.pos, s.node
+  FROM leaves l JOIN top t ON t.pos = l.g >> t.level AND t.n > 1
+  LEFT JOIN top s ON s.level = t.level AND s.pos = xor(t.pos, 1)
+), paths AS MATERIALIZED (
+  SELECT k, sha256(coalesce(string_agg(node, '' ORDER BY level), '')) AS proof_sha256,
+         list({{'l': is_left, 'd': coalesce(node, '')}} ORDER BY level) AS path FROM steps GROUP BY k
+), fold AS (
+  SELECT k, 0 AS i, coalesce(tampered, leaf) AS node FROM leaves
+  UNION ALL
+  SELECT fold.k, i + 1, sha256(CASE WHEN path[i + 1].l THEN path[i + 1].d || node ELSE node || path[i + 1].d END)
+  FROM fold JOIN paths ON fold.k = paths.k WHERE i < len(path)
+), ends AS MATERIALIZED (SELECT k, arg_max(node, i) AS folded_root FROM fold GROUP BY k)
+SELECT doc_id, leaf, subroot, r.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.node AS verified
+FROM leaves l JOIN subroots USING (g) JOIN (SELECT node FROM top WHERE n = 1) r ON true
+LEFT JOIN paths USING (k) JOIN ends USING (k)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -127,6 +195,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_topk_search": op10_topk_search,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 
@@ -140,4 +209,4 @@ def _bounded(fn):
 
 
 QUERIES = {name: _bounded(fn) for name, fn in QUERIES.items()}
-ORACLE_SQL = {"op3_url_filters": OP3_SQL}
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op11_merkle_manifest": OP11_SQL}

@@ -1,0 +1,131 @@
+"""The manifest against a plain recursive tree."""
+
+import random
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+
+from talentmesh.llm import manifest
+
+from .helpers import frame
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def digest(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    return digest("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def fold_up(leaves):
+    """(root, siblings of each leaf with lone levels as None), level by level."""
+    ways = [[] for _ in leaves]
+    level, at = list(leaves), list(range(len(leaves)))
+    while len(level) > 1:
+        for k, p in enumerate(at):
+            s = p ^ 1
+            ways[k].append((s < p, level[s] if s < len(level) else None))
+        level = [digest(*level[i:i + 2]) for i in range(0, len(level), 2)]
+        at = [p // 2 for p in at]
+    return level[0], ways
+
+
+def expected(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append((r[0] is not None, r[0] or 0, leaf(r), r))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    subroots = {}
+    for g in names:
+        groups[g].sort(key=lambda x: x[:3])
+        subroots[g] = fold_up([x[2] for x in groups[g]])
+    root, tops = fold_up([subroots[g][0] for g in names])
+    out = []
+    for g, top in zip(names, tops):
+        for x, way in zip(groups[g], subroots[g][1]):
+            out.append((x[3][0], x[2], [(left, d) for left, d in way + top], subroots[g][0], root))
+    return out
+
+
+def rows_of(seed, n):
+    r = random.Random(seed)
+    out = [(i, r.choice(["a", None, "b:c"]), r.choice(["en", "en", "en", "fr", None, "", "é"]), r.choice([None, i * 3]), r.choice(["", None, "tëxt" * r.randint(1, 50)]))
+           for i in range(n)]
+    out += [(None, "a", "en", 1, "x"), (None, "a", "en", 1, "x"), (7, "z", "en", 2, "again"), (7, "z", "en", 2, "again"), (-5, "q", "zz", 0, "w" * 200_000)]
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("levels,n", [(1, 41), (2, 130), (10, 60)])
+def test_proofs_and_roots(spark, levels, n):
+    rows = rows_of(levels, n)
+    m = manifest.build(frame(spark, rows, SCHEMA).withColumn("leaf", F.lit("clash")), levels=levels)
+    got = sorted(((r["doc_id"], r["leaf"], [(bool(s["left"]), s["digest"]) for s in r["path"]], r["subroot"], r["root"]) for r in m.proofs().collect()), key=repr)
+    assert got == sorted(expected(rows), key=repr)
+    assert [r["root"] for r in m.root().collect()] == [expected(rows)[0][4]]
+    folded = m.proofs().select(manifest.fold(F.col("leaf")).alias("f"), "root", manifest.path_digest().alias("p"), "path").collect()
+    assert all(r["f"] == r["root"] for r in folded)
+    assert all(r["p"] == digest("".join(s["digest"] or "" for s in r["path"])) for r in folded)
+
+
+def postorder(h, i, leaves):
+    """Nodes of a subtree, children first: (level, place in the level)."""
+    if h == 0:
+        return [(0, i)]
+    out = []
+    for c in (2 * i, 2 * i + 1):
+        if c << (h - 1) < leaves:
+            out += postorder(h - 1, c, leaves)
+    return out + [(h, i)]
+
+
+@pytest.mark.parametrize("n", [*range(1, 40), 64, 100])
+def test_closed_form_positions(n):
+    height = manifest.tree_height(n)
+    for up in (0, 3):
+        order = postorder(height + up, 0, n)
+        assert manifest.log_size(n, height + up) == len(order)
+        assert [manifest.position(h, i, n) for h, i in order] == list(range(len(order)))
+    leaves = [digest(str(i)) for i in range(n)]
+    log = manifest.build_log(leaves, height)
+    assert log[-1] == fold_up(leaves)[0] and len(log) == manifest.log_size(n, height)
+
+
+def test_log_is_postorder_and_complete(spark):
+    rows = [(i, "s", "en" if i % 3 else "fr", i, f"t{i}") for i in range(90)]
+    m = manifest.build(frame(spark, rows, SCHEMA), levels=2)
+    nodes = {}
+    for r in m.nodes().collect():
+        nodes.setdefault(r["tree"], []).append((r["position"], r["level"], r["at"], r["digest"]))
+    assert set(nodes) == {"=en", "=fr"}
+    for found in nodes.values():
+        found.sort()
+        n = sum(1 for f in found if f[1] == 0)
+        assert [f[1:3] for f in found] == postorder(manifest.tree_height(n), 0, n)
+        digests = {f[1:3]: f[3] for f in found}
+        for (h, i), d in digests.items():
+            if h:
+                assert d == digest(digests[h - 1, 2 * i], digests.get((h - 1, 2 * i + 1), ""))
+
+
+def test_tampering_is_found_and_empty_table(spark):
+    rows = [(i, "s", "en", i, f"t{i}") for i in range(20)]
+    cols = ("doc_id", "source", "lang", "n_chars", "text")
+    other = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in cols]
+    m = manifest.build(frame(spark, rows, SCHEMA), carry={"other": manifest.leaf_hash(other)}, levels=3)
+    got = m.proofs().select("doc_id", "root", manifest.fold(F.col("other")).alias("f")).collect()
+    assert len(got) == 20 and all(r["f"] != r["root"] for r in got)
+    empty = manifest.build(frame(spark, [], SCHEMA))
+    assert empty.proofs().collect() == [] and empty.root().collect() == []
+
+
+def test_groups_of_one_row_and_hot_group_spread(spark):
+    rows = [(i, "s", f"l{i}", i, "t") for i in range(30)] + [(i, "s", "hot", i, "t") for i in range(300)]
+    m = manifest.build(frame(spark, rows, SCHEMA), levels=4)
+    got = {(r["doc_id"], r["subroot"], r["root"]) for r in m.proofs().collect()}
+    assert got == {(e[0], e[3], e[4]) for e in expected(rows)}
+    assert m.tiers[0].selectExpr("max(size(members))").first()[0] == 16
