@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard, manifest, quality, secrets, suffixes, topk, toxicity, urls
+from . import bpe, chat, decontaminate, html_text, jaccard, manifest, quality, ranked, secrets, suffixes, topk, toxicity, urls
 from .common import fit_sample, held_out, read_table, small_batches
 
 TOXIC_CUT = 0.5
@@ -184,6 +184,65 @@ LEFT JOIN paths USING (k) JOIN ends USING (k)
 OP11_SQL = _op11_sql()
 
 
+RANKED_K = 50
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), RANKED_K)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents
+), s AS (SELECT count(*) AS docs, sum(len(w)) AS words FROM d WHERE len(w) > 0
+), post AS MATERIALIZED (
+  SELECT k, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT k, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY k, doc_id, term
+), wt AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM post, s GROUP BY term
+), q AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS w FROM benchmark
+), asked AS (SELECT i, item_id, unnest(w) AS term FROM q
+), scored AS (
+  SELECT i, any_value(item_id) AS item_id, k, any_value(doc_id) AS doc_id,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * n * docs) // words AS BIGINT))))) AS BIGINT) AS score
+  FROM asked JOIN post USING (term) JOIN wt USING (term), s GROUP BY i, k
+), ranks AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranks WHERE rank <= {RANKED_K}
+"""
+
+
+CONTROL_CASE = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL_CASE), (-1, 1, "assistant", CONTROL_CASE)], turns.schema)
+    made = chat.format_conversations(turns.unionByName(more), chat.text_parts("text"))
+    return chat.digests(chat.read_back(made))
+
+
+def _op13_sql() -> str:
+    t = chat.Template()
+    escaped = "{0}"
+    for first, rest in t.patterns():
+        escaped = f"regexp_replace({escaped}, '\\{first}(\\\\*)({rest})', '{first}\\1\\\\\\2', 'g')"
+    marks = len(t.turn) + len(t.body) + len(t.end)
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_CASE}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_CASE}'
+), e AS (SELECT *, {marks} + length({escaped.format('role')}) + length({escaped.format('text')}) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -196,6 +255,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_topk_search": op10_topk_search,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_chat_format": op13_chat_format,
 }
 
 
@@ -209,4 +270,5 @@ def _bounded(fn):
 
 
 QUERIES = {name: _bounded(fn) for name, fn in QUERIES.items()}
-ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op12_ranked_search": OP12_SQL,
+              "op13_chat_format": OP13_SQL}
