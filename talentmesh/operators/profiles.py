@@ -29,6 +29,7 @@ from ..config import (
     UNKNOWN,
 )
 from ..functions.normalize import normalize_row_values
+from .ordered import in_runs
 
 
 EDUCATION, EXPERIENCE, OTHER_SKILLS = "Education", "Experience", "OtherSkills"
@@ -81,16 +82,24 @@ CHILD_LISTS = (
 )
 
 
-def aggregate_lists(long_form: DataFrame, categories=CATEGORIES, children=CHILD_LISTS) -> DataFrame:
+def aggregate_lists(long_form: DataFrame, categories=CATEGORIES, children=CHILD_LISTS, spread: bool = False) -> DataFrame:
     """One row per member with every list column.
 
-    Elements are gathered and sorted per (member, category) - so a member
+    With ``spread``, for whole tables, elements are sorted as rows by range
+    and joined where they lie (see :mod:`.ordered`), so that a member with any
+    share of the rows is spread over the partitions they fill.  Without it, for
+    few members (a filter on the member then reaches the scans), elements are gathered and sorted per (member, category) - so a member
     with many rows is spread over as many tasks as there are lists, and a
     buffer holds one list, not all - joined to their strings there, and only
     the strings meet per member.  Nulls are skipped; a member whose elements
     are all null gets NULL (the caller turns it into 'Unknown').  No
     DISTINCT: duplicates stay."""
     others = [cat for cat, delim, _ in children if delim != LIST_DELIMITER]
+    wanted = [(cat, "v1", n) for cat, *_r, n, _ in categories] + [(cat, "v2", d) for cat, *_r, d in categories]
+    wanted += [(cat, "v1", out) for cat, _, out in children]
+    order = [c for cat in categories for c in cat[-2:]] + [c[2] for c in children]
+    if spread:
+        return _spread_lists(long_form, wanted, others).select("MemberId", *order)
     per = long_form.groupBy("MemberId", "cat").agg(F.array_sort(F.collect_list(F.struct("k", "v1", "v2"))).alias("_e"))
 
     def text(field):
@@ -99,14 +108,25 @@ def aggregate_lists(long_form: DataFrame, categories=CATEGORIES, children=CHILD_
         return F.when(F.size(vals) > 0, text)
 
     per = per.select("MemberId", "cat", text("v1").alias("v1"), text("v2").alias("v2"))
-    wanted = [(cat, "v1", n) for cat, *_r, n, _ in categories] + [(cat, "v2", d) for cat, *_r, d in categories]
-    wanted += [(cat, "v1", out) for cat, _, out in children]
     # one string for each member and category, so a maximum picks it
     aggs = [F.max(F.when(F.col("cat") == cat, F.col(v))).alias(out) for cat, v, out in wanted]
-    order = [c for cat in categories for c in cat[-2:]] + [c[2] for c in children]
     return per.groupBy("MemberId").agg(*aggs).select("MemberId", *order)
 
 
+def _spread_lists(long_form: DataFrame, wanted: list, others: list[str]) -> DataFrame:
+    """A member's runs of all lists meet in one aggregate; each output picks
+    and joins its own."""
+    delimiter = F.when(F.col("cat").isin(others), OTHER_SKILLS_DELIMITER).otherwise(LIST_DELIMITER)
+    runs = in_runs(long_form, ["MemberId", "cat"], ["k", "v1", "v2"], ["v1", "v2"], delimiter)
+    per = runs.groupBy("MemberId").agg(F.array_sort(F.collect_list(F.struct("run", "cat", "v1", "v2"))).alias("_e"))
+
+    def text(cat, field):
+        vals = F.transform(F.filter("_e", lambda e: (e["cat"] == cat) & e[field].isNotNull()), lambda e: e[field])
+        return F.when(F.size(vals) > 0, F.array_join(vals, OTHER_SKILLS_DELIMITER if cat in others else LIST_DELIMITER))
+
+    return per.select("MemberId", *[text(cat, v).alias(out) for cat, v, out in wanted])
+
+
 def _lookup(df: DataFrame, dim: DataFrame | None, fk: str, name_col: str, alias: str) -> DataFrame:
     """Left lookup of one name column by id (absent table -> nulls)."""
     if dim is None:
@@ -117,8 +137,9 @@ def _lookup(df: DataFrame, dim: DataFrame | None, fk: str, name_col: str, alias:
 
 def member_profiles(member: DataFrame, long_form: DataFrame | None, age: DataFrame | None = None,
                     city: DataFrame | None = None, ethnicity: DataFrame | None = None,
-                    categories=CATEGORIES, normalize: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+                    categories=CATEGORIES, normalize: bool = True, extra: tuple[str, ...] = (), spread: bool = False) -> DataFrame:
     """S3: one 38-column row per member (and ``extra`` columns of ``member``).
+    ``spread``: see :func:`aggregate_lists`.
 
     ``long_form`` is the union of :func:`bridge_long_form`,
     :func:`education_long_form`, :func:`experience_long_form` and
@@ -137,7 +158,7 @@ def member_profiles(member: DataFrame, long_form: DataFrame | None, age: DataFra
         wanted = [c[0] for c in categories] + [c[0] for c in CHILD_LISTS]
         if len(categories) < len(CATEGORIES):   # drop elements no output needs
             long_form = long_form.where(F.col("cat").isin(wanted))
-        m = m.join(aggregate_lists(long_form, categories), "MemberId", "left")
+        m = m.join(aggregate_lists(long_form, categories, spread=spread), "MemberId", "left")
     else:
         for c in list_cols:
             m = m.withColumn(c, F.lit(None).cast("string"))

@@ -44,7 +44,7 @@ def q_job_extract_by_id(spark, d):
 
 
 def q_member_extract_all(spark, d):
-    return S.members(_t(spark, d))
+    return S.members(_t(spark, d), spread=True)
 
 
 def q_member_extract_by_id(spark, d):
@@ -67,7 +67,7 @@ def q_bridge_listagg(spark, d):
                            F.col("p_type").alias("TechnicalSkillsDescription"))
     lf = P.bridge_long_form(bridge, dim, "TechnicalSkills", "TechnicalSkillId",
                             "TechnicalSkillsName", "TechnicalSkillsDescription")
-    return P.aggregate_lists(lf, _tech_cat(), children=())
+    return P.aggregate_lists(lf, _tech_cat(), children=(), spread=True)
 
 
 def _child(spark, d, which):
@@ -78,15 +78,15 @@ def _child(spark, d, which):
                        F.col("o_orderpriority").alias("ExperienceJobTitle"),
                        F.col("o_orderstatus").alias("ExperienceCompany"),
                        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("ExperienceDescription"))
-        return P.aggregate_lists(P.experience_long_form(exp), (), children=[P.CHILD_LISTS[1]])
+        return P.aggregate_lists(P.experience_long_form(exp), (), children=[P.CHILD_LISTS[1]], spread=True)
     b = S.bridge_lines(t)
     if which == "Education":
         edu = b.select(F.col("o_custkey").alias("MemberId"), F.col("p_brand").alias("EducationDegree"),
                        F.nullif(F.col("p_type"), F.lit("PROMO")).alias("EducationFieldStudy"),
                        F.col("p_name").alias("EducationDescription"))
-        return P.aggregate_lists(P.education_long_form(edu), (), children=[P.CHILD_LISTS[0]])
+        return P.aggregate_lists(P.education_long_form(edu), (), children=[P.CHILD_LISTS[0]], spread=True)
     oth = b.select(F.col("o_custkey").alias("MemberId"), F.col("p_type").alias("OtherSkillName"))
-    return P.aggregate_lists(P.other_skills_long_form(oth), (), children=[P.CHILD_LISTS[2]])
+    return P.aggregate_lists(P.other_skills_long_form(oth), (), children=[P.CHILD_LISTS[2]], spread=True)
 
 
 def q_education_agg(spark, d):
@@ -102,7 +102,7 @@ def q_other_skills_agg(spark, d):
 
 
 def q_multi_category_profile(spark, d):
-    return P.aggregate_lists(S.member_long_form(_t(spark, d)))
+    return P.aggregate_lists(S.member_long_form(_t(spark, d)), spread=True)
 
 
 def q_normalize_values(spark, d):
@@ -321,7 +321,7 @@ def q_extract_round_trip(spark, d):
     """S6 + K1 + G8: the extract bundle is written, counted while it is
     written, and read back; one row for each table."""
     t = _t(spark, d)
-    frames = extract_for_job(S.jobs(t, only_ids=[JOB_ID]), S.members(t), JOB_ID)
+    frames = extract_for_job(S.jobs(t, only_ids=[JOB_ID]), S.members(t, spread=True), JOB_ID)
     path = f"{(spark.conf.get('spark.checkpoint.dir', None) or ensure_checkpoint_dir(spark)).rstrip('/')}/extract-{uuid.uuid4().hex}"
     counts = write_extract(frames, path)
     out = None

@@ -126,10 +126,10 @@ def member_long_form(t: Tables) -> DataFrame:
     return lines.unionByName(exp)
 
 
-def members(t: Tables, normalize: bool = True) -> DataFrame:
+def members(t: Tables, normalize: bool = True, spread: bool = False) -> DataFrame:
     return member_profiles(
         member_table(t), member_long_form(t), age=age_table(t), city=city_table(t),
-        ethnicity=region_dim(t, "EthnicityName"), normalize=normalize,
+        ethnicity=region_dim(t, "EthnicityName"), normalize=normalize, spread=spread,
     )
 
 
