@@ -36,6 +36,11 @@ def whitespace_tokens(text) -> Column:
     return F.filter(F.split(_col(text), _WS_CLASS), lambda t: t != F.lit(""))
 
 
+def distinct_tokens(text) -> Column:
+    """The tokens that occur, each once: all that matching asks for."""
+    return F.array_distinct(whitespace_tokens(text))
+
+
 def job_fragments(job_skills) -> Column:
     """X1+X2: lower-case then split on ',' with no trim; empties are kept."""
     return F.split(F.lower(_col(job_skills)), JOB_SKILL_SEPARATOR, -1)
@@ -61,6 +66,20 @@ def skill_points(member_lower, member_tokens, fragments, job_skills, required: b
     return F.when(js.isNull() | (js == F.lit("")), F.lit(0)).otherwise(total)
 
 
+def skill_points_inside(member_lower, member_tokens, fragments, job_skills, required: bool) -> Column:
+    """M0 on fragments that carry the known tokens inside them, as (k, inside)
+    (see :mod:`..operators.vocabulary`): a lookup takes the place of testing
+    each token against each fragment."""
+    hit, fuzzy = REQUIRED_POINTS if required else OPTIONAL_POINTS
+    m, toks = _col(member_lower), _col(member_tokens)
+
+    def per_fragment(acc, f):
+        return acc + F.when(F.contains(m, f["k"]), F.lit(hit)).when(F.arrays_overlap(toks, f["inside"]), F.lit(fuzzy)).otherwise(F.lit(0))
+
+    total = F.aggregate(_col(fragments), F.lit(0), per_fragment)
+    return F.when(_col(job_skills) == F.lit(""), F.lit(0)).otherwise(total)
+
+
 def match_skills(member_skills, job_skills, required: bool = False) -> Column:
     """M0 in one call, for ad-hoc use on any two string columns."""
     m = F.lower(blank_if_null(member_skills))

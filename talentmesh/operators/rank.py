@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import MatchOptions
 from ..session import ensure_checkpoint_dir
 from .score import (
+    CHEAP,
     Side,
     attach_job_vectors,
     attach_member_vectors,
@@ -90,6 +91,14 @@ def score_pairs(pairs: DataFrame, embedder, opts: MatchOptions = MatchOptions(th
     return score_full(df, ms, js, opts, keep_components=keep_components)
 
 
+def cheap_pairs(pairs: DataFrame) -> DataFrame:
+    """The components that need no vectors, of prepared pairs."""
+    df = score_cheap(pairs, Side("m"), Side("j"), MatchOptions(threshold=None)).drop("_cheap")
+    for n in CHEAP:
+        df = df.drop(n).withColumnRenamed(f"_s_{n}", n)
+    return df
+
+
 def global_rank(df: DataFrame, order_cols=None, partitions: int | None = None,
                 rank_col: str = "rank") -> DataFrame:
     """Exact 1-based position in ``order_cols`` order, computed without a

@@ -22,8 +22,10 @@ from ..config import SCORE_CAP, MatchOptions
 from ..functions import scoring as S
 from ..functions.matching import industry_grade, location_grade, role_grade
 from ..functions.once import computed_once
-from ..functions.skills import blank_if_null, job_fragments, skill_points, whitespace_tokens
+from ..functions.skills import blank_if_null, distinct_tokens, job_fragments, skill_points, skill_points_inside
 from ..functions.vectors import cosine, norm
+from .vocabulary import attach_inside
+from .vocabulary import distinct_tokens as vocabulary_tokens
 
 
 @dataclass(frozen=True)
@@ -59,8 +61,8 @@ def prepare_members(df: DataFrame, prefix: str = "m") -> DataFrame:
     """Adds ``m_*`` inputs; tokens are derived from the lower-cased text once."""
     out = computed_once(df, {f"{prefix}_{n}": c for n, c in member_fields(df).items()})
     return computed_once(out, {
-        f"{prefix}_ts_tok": whitespace_tokens(F.col(f"{prefix}_ts_lc")),
-        f"{prefix}_os_tok": whitespace_tokens(F.col(f"{prefix}_os_lc")),
+        f"{prefix}_ts_tok": distinct_tokens(F.col(f"{prefix}_ts_lc")),
+        f"{prefix}_os_tok": distinct_tokens(F.col(f"{prefix}_os_lc")),
     })
 
 
@@ -99,12 +101,23 @@ def _with_norms(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({f"{n}_norm": norm(f"{n}_vec") for n in names})
 
 
-def cheap_components(m: Side, j: Side) -> dict[str, Column]:
+FRAGMENT_LISTS = ("req_frag", "pref_frag", "fused_frag")
+
+
+def attach_vocabulary(jobs: DataFrame, members: DataFrame, key: str = "Id", m: str = "m", j: str = "j") -> DataFrame:
+    """Prepared ``jobs`` whose fragments carry the tokens of the prepared
+    ``members`` that lie inside them: matched once for each distinct fragment
+    and token, before any pairing."""
+    return attach_inside(jobs, vocabulary_tokens(members, [f"{m}_ts_tok", f"{m}_os_tok"]), [f"{j}_{c}" for c in FRAGMENT_LISTS], key)
+
+
+def cheap_components(m: Side, j: Side, vocabulary: bool = False) -> dict[str, Column]:
     """Everything except the two cosines (M1-M3, M6-M8)."""
+    points, frag = (skill_points_inside, "{}_frag_in") if vocabulary else (skill_points, "{}_frag")
     return {
-        "required_skills": skill_points(m("ts_lc"), m("ts_tok"), j("req_frag"), j("req"), True),
-        "preferred_skills": skill_points(m("ts_lc"), m("ts_tok"), j("pref_frag"), j("pref"), False),
-        "other_skills": skill_points(m("os_lc"), m("os_tok"), j("fused_frag"), j("fused"), False),
+        "required_skills": points(m("ts_lc"), m("ts_tok"), j(frag.format("req")), j("req"), True),
+        "preferred_skills": points(m("ts_lc"), m("ts_tok"), j(frag.format("pref")), j("pref"), False),
+        "other_skills": points(m("os_lc"), m("os_tok"), j(frag.format("fused")), j("fused"), False),
         "industry": industry_grade(m("ind_lc"), j("ind_lc")),
         "role": role_grade(m("head_lc"), j("role_lc")),
         "location": location_grade(m("city_lc"), j("loc_lc")),
@@ -130,7 +143,7 @@ CHEAP = ("required_skills", "preferred_skills", "other_skills", "industry", "rol
 def score_cheap(df: DataFrame, m: Side, j: Side, opts: MatchOptions) -> DataFrame:
     """Adds the cheap components and ``_cheap`` (their weighted part), and
     drops pairs that cannot reach the threshold whatever the cosines are."""
-    comps = cheap_components(m, j)
+    comps = cheap_components(m, j, vocabulary=f"{j.prefix}_req_frag_in" in df.columns)
     df = computed_once(df, {_c(n): c for n, c in comps.items()})
     df = df.withColumn("_cheap", S.cheap_part({n: F.col(_c(n)) for n in CHEAP}, opts.weights))
     if opts.prune and opts.threshold is not None and S.pruning_enabled(opts.weights):

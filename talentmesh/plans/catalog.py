@@ -15,8 +15,8 @@ from ..functions.text import preprocess_text
 from ..functions.vectors import cosine
 from ..operators import profiles as P
 from ..operators.embed import CharProfileEmbedder, ModelEmbedder
-from ..operators.rank import global_rank, group_rank, rank_members_for_job, score_jobs_for_member, score_pairs
-from ..operators.score import attach_job_vectors, attach_member_vectors, prepare_jobs, prepare_members
+from ..operators.rank import cheap_pairs, global_rank, group_rank, rank_members_for_job, score_jobs_for_member, score_pairs
+from ..operators.score import attach_job_vectors, attach_vocabulary, attach_member_vectors, prepare_jobs, prepare_members
 from ..operators.sinks import match_list, nested_ranking, score_map, write_extract
 from ..session import ensure_checkpoint_dir
 from ..sources.payload import RANK, SCORE, parse_payloads, payload_schema, split_valid
@@ -119,7 +119,7 @@ def q_normalize_bytes(spark, d):
 
 # ---------------------------------------------------------------- pair components
 
-def _pairs(spark, d) -> DataFrame:
+def _pairs(spark, d, vectors: bool = True) -> DataFrame:
     """Member/job pairs that share an order line (linear in lineitem)."""
     t = _t(spark, d)
     li = t("lineitem").select("l_orderkey", "l_partkey")
@@ -127,8 +127,10 @@ def _pairs(spark, d) -> DataFrame:
     pairs = li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("MemberId"), F.col("l_partkey").alias("JobId")).distinct()
     # inputs and vectors once per member / per job, before pairing
-    m = attach_member_vectors(prepare_members(S.scoring_members(t)), EMBEDDER)
-    j = attach_job_vectors(prepare_jobs(S.jobs(t)), EMBEDDER)
+    m = prepare_members(S.scoring_members(t))
+    j = attach_vocabulary(prepare_jobs(S.jobs(t)), m)
+    if vectors:
+        m, j = attach_member_vectors(m, EMBEDDER), attach_job_vectors(j, EMBEDDER)
     mcols = ["MemberId", "MemberFirstName", "MemberLastName", "MemberEmail", "CityName"] + [
         c for c in m.columns if c.startswith("m_")]
     jcols = [F.col("Id").alias("JobId")] + [c for c in j.columns if c.startswith("j_")]
@@ -144,12 +146,12 @@ def q_pair_scores(spark, d):
 
 
 def q_skill_points(spark, d):
-    return q_pair_scores(spark, d).select("MemberId", "JobId", "required_skills", "preferred_skills",
+    return cheap_pairs(_pairs(spark, d, vectors=False)).select("MemberId", "JobId", "required_skills", "preferred_skills",
                                           "other_skills")
 
 
 def q_categorical_points(spark, d):
-    return q_pair_scores(spark, d).select("MemberId", "JobId", "industry", "role", "location")
+    return cheap_pairs(_pairs(spark, d, vectors=False)).select("MemberId", "JobId", "industry", "role", "location")
 
 
 def q_cosine_pairs(spark, d):
