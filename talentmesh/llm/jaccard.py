@@ -12,10 +12,13 @@ can meet sets above it.
 
 Scanning a list tests size, prefix position and a 512-bit parity signature
 (|A xor B| is at least the number of differing bits), all of which only
-exclude pairs that cannot link.  What is left is verified exactly.  Large
-groups of near copies need no pair of each two: neighbours by size are
-verified first, and in lists that hold more, later only pairs of sets that
-are not yet connected.  No list is cut off.
+exclude pairs that cannot link.  A pair is brought up in the list of its first
+common shingle, as far as the sets' first shingles tell.  What is left is
+verified exactly.  Large groups of near copies need no pair of each two:
+neighbours by size are verified first, and in lists that hold more, later
+only pairs of sets that are not yet connected, first near, then far ones.  No
+list is cut off: long lists are cut into blocks, and pairs of blocks are
+scanned by tasks of their own.
 """
 
 from __future__ import annotations
@@ -31,8 +34,13 @@ from .common import SPACES, mix64, scan_words, shingle_hashes, text_chunks, writ
 from .graph import components
 
 SHINGLE = 5
-#: Partners to which a set is compared in a list before the first components.
-FIRST_PARTNERS = 2
+#: Offsets in a list at which sets are compared, round by round; from the
+#: second round on only sets that are not yet connected.
+SPANS = ((1, 5), (5, 65), (65, 1 << 62))
+#: Sets of a list that one task scans at a time; longer lists are cut.
+LIST_BLOCK = 4096
+#: First prefix shingles by which a pair's first common list is told.
+HEADS = 4
 SIG_BITS = 512
 #: Longs of the bitmap that tells tasks which sets are worth sending (4 MiB).
 BITMAP_WORDS = 1 << 19
@@ -190,72 +198,93 @@ def _runs(batches, keys: int):
 
 
 def _shared(batches):
-    """Keeps the (token, kind) lists of two sets or more, each set once."""
-    for t in _runs(batches, 1):
+    """Keeps the (token, kind) lists of two sets or more, each set once.  Rows
+    stream by; only the last one waits for its successor."""
+    held, held_shared = None, False
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t]).combine_chunks()
         tok, cls, kind = (t.column(c).to_numpy() for c in ("token", "cls", "kind"))
-        first = np.ones(len(tok), bool)
-        first[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1]) | (kind[1:] != kind[:-1])
-        t = t.filter(pa.array(first))
-        tok, kind = t.column("token").to_numpy(), t.column("kind").to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (kind[1:] != kind[:-1]), [True])))
-        keep = np.repeat(np.diff(edge) > 1, np.diff(edge))
-        if keep.any():
-            yield from t.filter(pa.array(keep)).to_batches(max_chunksize=20_000)
+        same = (tok[1:] == tok[:-1]) & (kind[1:] == kind[:-1])
+        first = np.concatenate(([True], ~(same & (cls[1:] == cls[:-1]))))
+        keep = np.flatnonzero(first)
+        if not len(keep):
+            continue
+        tok, kind = tok[keep], kind[keep]
+        same = (tok[1:] == tok[:-1]) & (kind[1:] == kind[:-1])
+        shared = np.concatenate(([held_shared], same)) | np.concatenate((same, [False]))
+        held, held_shared = t.slice(int(keep[-1]), 1), bool(shared[-1])
+        out = t.take(pa.array(keep[:-1][shared[:-1]]))
+        yield from out.combine_chunks().to_batches(max_chunksize=20_000)
+    if held is not None and held_shared:
+        yield from held.combine_chunks().to_batches()
 
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
-def _partners(i: int, n, pos, sig, light: int, kind: int):
-    """Members behind ``i`` (lists are sorted by size) that it may link to."""
-    stop = int(np.searchsorted(n, 5 * n[i] // 4, side="right"))
-    j = np.arange(i + 1, stop)
-    if kind == 1:
-        j = j[n[j] > light] if n[i] <= light else j
-    need = -(-4 * (n[i] + n[j]) // 9)
-    j = j[kind + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need]
-    if len(j):
-        differ = _POP[sig[j] ^ sig[i]].sum(1)
-        j = j[9 * differ.astype(np.int64) <= n[i] + n[j]]
-    return j
+def _elsewhere(heads: np.ndarray, i: np.ndarray, j: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Pairs that are met in an earlier list: what precedes a common head is
+    among the heads, too, so the first common head is the first common
+    shingle of all.  A missing head is 0."""
+    first = np.zeros(len(i), heads.dtype)
+    for k in range(heads.shape[1] - 1, -1, -1):
+        h = heads[i, k]
+        both = (h != 0) & (heads[j] == h[:, None]).any(1)
+        first[both] = h[both]
+    return (first != 0) & (first != token)
 
 
-def _candidates(light: int, first_round: bool):
-    """Scans lists.  First round: each set with its next partners, and whether
-    the list has more; second: all pairs of differently labelled sets."""
+def _candidates(light: int, round_: int):
+    """Scans cells (lists, or pairs of blocks of long lists), sorted by size.
+    Pairs that may link and, from the second round on, bear different labels;
+    and which lists hold sets further apart than this round looks."""
+    lo, hi = SPANS[round_]
 
     def run(batches):
-        for t in _runs(batches, 2):
-            tok, kinds = t.column("token").to_numpy(), t.column("kind").to_numpy()
-            n, pos, cls = (t.column(c).to_numpy() for c in ("n", "pos", "cls"))
+        for t in _runs(batches, 4):
+            tok, kind, a, b, n, pos, cls, block = (t.column(c).to_numpy() for c in ("token", "kind", "a", "b", "n", "pos", "cls", "block"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIG_BITS // 8)
-            label = None if first_round else t.column("label").to_numpy()
-            edge = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (kinds[1:] != kinds[:-1]), [True])))
-            a, b, more = [], [], []
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if hi - lo < 2 or label is not None and (label[lo:hi] == label[lo]).all():
-                    continue
-                beyond = False
-                for i in range(hi - lo - 1):
-                    j = _partners(i, n[lo:hi], pos[lo:hi], sig[lo:hi], light, int(kinds[lo])) + lo
-                    if first_round:
-                        beyond |= len(j) > FIRST_PARTNERS
-                        j = j[:FIRST_PARTNERS]
-                    else:
-                        j = j[label[j] != label[lo + i]]
-                    if len(j):
-                        a.append(np.full(len(j), cls[lo + i]))
-                        b.append(cls[j])
-                if beyond:
-                    more.append((int(tok[lo]), int(kinds[lo])))
-                if len(a) > 20_000:
-                    yield _pair_batch(a, b)
-                    a, b = [], []
-            if a:
-                yield _pair_batch(a, b)
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in more], pa.int64()), pa.array([m[1] for m in more], pa.int64()),
-                                                  pa.array([True] * len(more))], names=["a", "b", "more"])
+            heads = np.zeros((len(tok), HEADS), np.int64)
+            for k in range(HEADS):
+                heads[:, k] = t.column(f"h{k}").to_numpy()
+            label = None if round_ == 0 else t.column("label").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], (tok[1:] != tok[:-1]) | (kind[1:] != kind[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True])))
+            behind = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(tok)) - 1
+            live = np.arange(len(tok))
+            # pairs of different blocks were not looked at in the first round
+            off = 1 if round_ == 1 and (a != b).any() else lo
+            x, y, held = [], [], 0
+            while off < hi and len(live):
+                live = live[behind[live] >= off]
+                live = live[4 * n[live + off].astype(np.int64) <= 5 * n[live].astype(np.int64)]
+                i, j = live, live + off
+                ok = np.where(a[i] == b[i], off >= lo, block[i] != block[j])
+                if label is not None:
+                    ok &= label[i] != label[j]
+                i, j = i[ok], j[ok]
+                ok = (kind[i] == 2) | (n[j] > light)
+                need = -(-4 * (n[i] + n[j]) // 9)
+                ok &= kind[i] + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need
+                i, j = i[ok], j[ok]
+                ok = 9 * _POP[sig[j] ^ sig[i]].sum(1).astype(np.int64) <= n[i] + n[j]
+                i, j = i[ok], j[ok]
+                ok = (kind[i] == 2) | ~_elsewhere(heads, i, j, tok[i])
+                x.append(cls[i[ok]])
+                y.append(cls[j[ok]])
+                held += len(x[-1])
+                if held > 50_000:
+                    yield _pair_batch(x, y)
+                    x, y, held = [], [], 0
+                off += 1
+            if held:
+                yield _pair_batch(x, y)
+            live = live[behind[live] >= off] if off == hi else live[:0]
+            live = live[4 * n[live + off].astype(np.int64) <= 5 * n[live].astype(np.int64)]
+            if len(live):
+                more = np.unique(np.stack((tok[live], kind[live]), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(more[:, 0]), pa.array(more[:, 1]), pa.array(np.ones(len(more), bool))], names=["a", "b", "more"])
 
     return run
 
@@ -266,6 +295,26 @@ def _pair_batch(a, b):
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(np.zeros(len(ab), bool))], names=["a", "b", "more"])
 
 
+def _cells(lists: DataFrame, every: bool) -> DataFrame:
+    """Rows of lists with the cell (a, b) that is scanned together.  A long
+    list is cut into blocks by a hash of the set; ``every`` pairs each block
+    with each other one, else a block meets itself only."""
+    block = F.pmod(F.xxhash64("cls"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
+    rows = lists.withColumn("block", block)
+    if not every:
+        return rows.withColumn("a", F.col("block")).withColumn("b", F.col("block"))
+    others = F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)).cast("int") - 1)
+    return (rows.select("*", F.explode(others).alias("_o")).withColumn("a", F.least("block", "_o")).withColumn("b", F.greatest("block", "_o")).drop("_o"))
+
+
+def _scan(cells: DataFrame, light: int, round_: int) -> DataFrame:
+    columns = ["token", "kind", "a", "b", "n", "pos", "cls", "block", "sig", *(f"h{k}" for k in range(HEADS))]
+    if round_:
+        columns.append("label")
+    cells = cells.repartition("token", "kind", "a", "b").sortWithinPartitions("token", "kind", "a", "b", "n", "cls").select(*columns)
+    return written(cells.mapInArrow(_candidates(light, round_), "a long, b long, more boolean"), "jaccard-candidates")
+
+
 def _shorten(batches):
     """Signatures of ``SIG_BITS`` for the rows of lists."""
     for b in batches:
@@ -388,25 +437,33 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entry = "token long, cls long, n int, pos int, kind int"
     lists = base.mapInArrow(rows, entry).repartition("token").sortWithinPartitions("token", "kind", "n", "cls").mapInArrow(_shared, entry)
     lists = written(lists, "jaccard-lists")
-    short = classes.mapInArrow(_shorten, "cls long, sig binary")
-    signed = lists.join(short, "cls")
-    scan = (signed.repartition("token").sortWithinPartitions("token", "kind", "n", "cls")
-            .select("token", "kind", "n", "pos", "cls", "sig").mapInArrow(_candidates(plan.light, True), "a long, b long, more boolean"))
-    scan = written(scan, "jaccard-candidates")
-    pairs = scan.where("not more").select("a", "b").distinct()
-    more = scan.where("more").select(F.col("a").alias("token"), F.col("b").cast("int").alias("kind")).distinct()
-    # every set of a list with further partners may be compared again
-    again = written(lists.join(more, ["token", "kind"], "left_semi"), "jaccard-long-lists")
-    pairs = written(_sifted(pairs, classes), "jaccard-pairs")
-    links = written(_verified(pairs, base), "jaccard-links")
-    labels = components(links)
-    rest = (again.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            .join(short, "cls").repartition("token").sortWithinPartitions("token", "kind", "n", "cls")
-            .select("token", "kind", "n", "pos", "cls", "sig", "label").mapInArrow(_candidates(plan.light, False), "a long, b long, more boolean"))
-    rest = written(_sifted(rest.select("a", "b").distinct(), classes), "jaccard-pairs")
-    new = written(_verified(rest, base), "jaccard-links") if rest.take(1) else rest
-    if new.take(1):
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
+    long_lists = (lists.groupBy("token", "kind").count().where(F.col("count") > LIST_BLOCK)
+                  .select("token", "kind", F.ceil(F.col("count") / LIST_BLOCK).alias("blocks")))
+    lists = lists.join(written(long_lists, "jaccard-long-lists"), ["token", "kind"], "left")
+    heads = lists.where((F.col("kind") == 1) & (F.col("pos") < HEADS)).groupBy("cls").agg(
+        *[F.max(F.when(F.col("pos") == k, F.col("token"))).alias(f"h{k}") for k in range(HEADS)])
+    marked = written(classes.mapInArrow(_shorten, "cls long, sig binary").join(heads, "cls", "left").na.fill(0, [f"h{k}" for k in range(HEADS)]), "jaccard-marks")
+    labels = None
+    for k in range(len(SPANS)):
+        rest = lists
+        if k:
+            named = lists.join(more, ["token", "kind"], "left_semi").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+            named = written(named.withColumn("label", F.coalesce("label", "cls")), "jaccard-labelled")
+            mixed = named.groupBy("token", "kind").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+            rest = named.join(mixed.select("token", "kind"), ["token", "kind"], "left_semi")
+        found = _scan(_cells(rest.join(marked, "cls"), k > 0), plan.light, k)
+        more = found.where("more").select(F.col("a").alias("token"), F.col("b").cast("int").alias("kind"))
+        if k == 0:
+            more = more.union(lists.where("blocks IS NOT NULL").select("token", "kind"))
+        more = written(more.distinct(), "jaccard-more")
+        pairs = written(_sifted(found.where("not more").select("a", "b").distinct(), classes), "jaccard-pairs")
+        links = written(_verified(pairs, base), "jaccard-links") if k == 0 or pairs.take(1) else pairs
+        if labels is None:
+            labels = components(links)
+        elif links.take(1):
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+        if not more.take(1):
+            break
     grouped = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "n_copies", "rep", F.coalesce("label", "cls").alias("label"))
     least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))

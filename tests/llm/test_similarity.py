@@ -44,6 +44,47 @@ def test_light_boundary_and_frequent_order_do_not_change_links(spark, monkeypatc
         assert jaccard_rows(frame(spark, rows)) == want
 
 
+@pytest.mark.parametrize("spans,block", [(((1, 2), (2, 4), (4, 1 << 62)), 6), (((1, 3), (3, 1 << 62)), 1 << 20)])
+def test_rounds_and_cut_lists_lose_no_link(spark, monkeypatch, spans, block):
+    """Copies around the threshold: most pairs of one group are no links."""
+    monkeypatch.setattr(jaccard, "SPANS", spans)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+    r = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = prose(r, 70 + 30 * g).split()
+        for _ in range(45):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"y{r.randrange(9)}"
+            rows.append((len(rows), " ".join(w)))
+    assert jaccard_rows(frame(spark, rows, parts=4)) == link_components(rows)
+
+
+def scan_table(n, groups):
+    """Sets of one size that share 40 lists, as the scan gets them."""
+    import numpy as np
+    import pyarrow as pa
+
+    cls = np.arange(1, n + 1)
+    rows = [(t, c, t % 7) for t in range(1, 41) for c in cls.tolist()]
+    k = len(rows)
+    table = {"token": [x[0] for x in rows], "kind": [1] * k, "a": [0] * k, "b": [0] * k, "n": [200] * k, "pos": [0] * k, "cls": [x[1] for x in rows],
+             "block": [0] * k, "sig": [bytes(64)] * k, "h0": [1] * k, "h1": [2] * k, "h2": [3] * k, "h3": [4] * k, "label": [x[1] % groups for x in rows]}
+    return pa.RecordBatch.from_pydict(table)
+
+
+def test_pairs_are_brought_up_once_and_rows_grow_with_the_sets():
+    made = {}
+    for n in (100, 500):
+        out = [b for b in jaccard._candidates(19, 0)(iter([scan_table(n, 1)]))]
+        made[n] = sum(b.num_rows for b in out if not b.column("more")[0].as_py())
+        assert sum(b.num_rows for b in out if b.column("more")[0].as_py()) == 40
+    assert made == {100: 4 * 100 - 10, 500: 4 * 500 - 10}
+    same = [b for b in jaccard._candidates(19, 1)(iter([scan_table(200, 1)])) if not b.column("more")[0].as_py()]
+    assert same == []
+
+
 def test_jaccard_empty_table_null_ids_and_repeated_rows(spark):
     assert jaccard.link_components(frame(spark, [])).collect() == []
     text = "a b c d e f g h"
