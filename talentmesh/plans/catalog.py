@@ -14,6 +14,7 @@ from ..functions.scoring import rescale
 from ..functions.text import preprocess_text
 from ..functions.vectors import cosine
 from ..operators import profiles as P
+from ..operators.batch_topk import top_members
 from ..operators.embed import CharProfileEmbedder, ModelEmbedder
 from ..operators.rank import cheap_pairs, global_rank, group_rank, rank_members_for_job, score_jobs_for_member, score_pairs
 from ..operators.score import attach_job_vectors, attach_vocabulary, attach_member_vectors, prepare_jobs, prepare_members
@@ -179,6 +180,15 @@ def q_ranked_members(spark, d):
     return global_rank(q_rank_members_for_job(spark, d))
 
 
+TOP_K = 10
+
+
+def q_top_members_per_job(spark, d):
+    """M10 and O2 for all jobs at once: the best members of each job."""
+    t = _t(spark, d)
+    return top_members(S.scoring_members(t), S.jobs(t), EMBEDDER, TOP_K)
+
+
 def q_score_jobs_for_member(spark, d):
     t = _t(spark, d)
     return score_jobs_for_member(S.scoring_members(t, only_ids=[MEMBER_ID]), S.jobs(t), MEMBER_ID, EMBEDDER)
@@ -359,6 +369,7 @@ QUERIES = {
     "rescale": q_rescale,
     "rank_members_for_job": q_rank_members_for_job,
     "ranked_members": q_ranked_members,
+    "top_members_per_job": q_top_members_per_job,
     "score_jobs_for_member": q_score_jobs_for_member,
     "match_list": q_match_list,
     "nested_ranking": q_nested_ranking,
@@ -467,6 +478,9 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
         "rank_members_for_job": _with(mem, job, prep, rank_sc) + " " + ranked,
         "ranked_members": _with(mem, job, prep, rank_sc) + f"""
  SELECT *, row_number() OVER (ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked})""",
+        "top_members_per_job": _with(mem, job, prep, O.scored_pairs_cte("mp2 m CROSS JOIN jp j")) + f"""
+ SELECT JobId, CAST(rank AS INTEGER) AS rank, MemberId, MemberFirstName, MemberLastName, MemberEmail, City, Similarity
+ FROM (SELECT *, row_number() OVER (PARTITION BY JobId ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked})) WHERE rank <= {TOP_K}""",
         "score_jobs_for_member": _with(mem, job, prep, score_sc)
         + " SELECT MemberId, JobId, Similarity AS score FROM sc",
         "match_list": _with(mem, job, prep, score_sc) + """
