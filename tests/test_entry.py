@@ -64,3 +64,17 @@ def test_stand_in_reaches_every_score_branch(con):
     assert len(values("preferred_skills")) > 2
     top, n = con.execute("SELECT count(*) FILTER (WHERE Similarity = 100), count(*) FROM ps").fetchall()[0]
     assert top < n / 2
+
+
+def test_entry_works_without_a_library_of_the_corpus_operators():
+    """A missing dependency costs the corpus queries, not the others."""
+    import subprocess
+    import sys
+
+    code = ("import sys; sys.modules['ahocorasick'] = None\n"
+            "import __spark_entry__ as E; q = E.queries()\n"
+            "assert 'pair_scores' in q and not any(n.startswith('op') or n == 'pipeline' for n in q), sorted(q)\n"
+            "assert set(E.oracle_sql()) <= set(q)")
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-800:]
