@@ -20,7 +20,7 @@ from ..operators.rank import cheap_pairs, global_rank, group_rank, rank_members_
 from ..operators.score import attach_job_vectors, attach_vocabulary, attach_member_vectors, prepare_jobs, prepare_members
 from ..operators.sinks import match_list, nested_ranking, score_map, write_extract
 from ..session import ensure_checkpoint_dir
-from ..sources.payload import RANK, SCORE, parse_payloads, payload_schema, split_valid
+from ..sources.payload import RANK, SCORE, parse_payloads, payload_schema, rejected, split_valid
 from . import oracle as O
 from . import standin as S
 from .flows import extract_for_job, rank_payload_documents, rank_payloads, score_payloads
@@ -252,28 +252,23 @@ def q_score_map_flat(spark, d):
 
 # ---------------------------------------------------------------- payloads
 
-def _split_payloads(spark, d, direction, with_request_id=True):
+def _parsed_payloads(spark, d, with_request_id=True):
     t = _t(spark, d)
     m = S.scoring_members(t).select(*S.PAYLOAD_MEMBER_FIELDS)
     j = S.jobs(t).select(*S.PAYLOAD_JOB_FIELDS)
     schema = payload_schema(j.schema, m.schema)
     texts = S.payload_json(t, m, j, with_request_id)
-    return split_valid(parse_payloads(texts, "payload", schema, "order_key"), direction)
+    return parse_payloads(texts, "payload", schema, "order_key")
 
 
 def _valid_payloads(spark, d, direction, with_request_id=True):
-    return _split_payloads(spark, d, direction, with_request_id)[0]
+    return split_valid(_parsed_payloads(spark, d, with_request_id), direction)[0]
 
 
 def q_payload_quarantine(spark, d):
     """Requests rejected by the payload check in either direction, with
     the reason, and whether the raw text was kept."""
-    out = None
-    for direction in (RANK, SCORE):
-        bad = _split_payloads(spark, d, direction)[1].select(
-            F.lit(direction).alias("direction"), "request_key", "error", F.length("payload").alias("kept_text"))
-        out = bad if out is None else out.unionByName(bad)
-    return out
+    return rejected(_parsed_payloads(spark, d)).select("direction", "request_key", "error", F.length("payload").alias("kept_text"))
 
 
 def q_payload_rank(spark, d):
@@ -308,7 +303,8 @@ def q_payload_score_ranked(spark, d):
 
 def q_payload_score_map_flat(spark, d):
     """E3 to the end: a score map for each request."""
-    maps = score_map(q_payload_score(spark, d), chunk_size=50, keys=("request_key", "MemberId"))
+    scores = score_payloads(_valid_payloads(spark, d, SCORE), EMBEDDER, positions=True)
+    maps = score_map(scores, chunk_size=50, keys=("request_key", "MemberId"), pos_col="pos")
     return maps.select("request_key", "MemberId", "chunk", F.explode("scores").alias("JobKey", "score"))
 
 
@@ -406,7 +402,7 @@ pairs AS (SELECT DISTINCT o.o_custkey AS MemberId, l.l_partkey AS JobId
     rank_sc = O.scored_pairs_cte(f"mp2 m JOIN jp j ON j.Id = {JOB_ID}")
     ranked = f"SELECT JobId, MemberId, MemberFirstName, MemberLastName, MemberEmail, City, Similarity FROM sc WHERE Similarity >= {O.THRESHOLD}"
     score_sc = O.scored_pairs_cte(f"mp2 m JOIN jp j ON m.MemberId = {MEMBER_ID}")
-    usable = "o.o_orderkey % 100 NOT IN (11, 12)"
+    usable = "o.o_orderkey % 100 NOT IN (11, 12, 15, 16)"
     first_job = f"""
 fl AS (SELECT l_orderkey, l_partkey FROM lineitem
        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1),
@@ -428,6 +424,7 @@ sp2 AS (SELECT DISTINCT CAST(o.o_orderkey AS VARCHAR) AS request_key, o.o_custke
     pay_scores = """(SELECT sp2.request_key, sc.MemberId, sc.JobId, sc.Similarity AS score
  FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId)"""
     details = ", ".join(f"jobs.{src} AS d_{disp.replace(' ', '')}" for disp, src in JOB_DETAIL_FIELDS)
+    asked = details.replace("jobs.Salary_Range_", "CASE WHEN rq.k % 100 <> 17 THEN jobs.Salary_Range_").replace(" AS d_Salary", " END AS d_Salary")
     matched = ", ".join([f"rk.{'City' if src == 'CityName' else src} AS m_{disp.replace(' ', '')}" for disp, src in MATCHED_MEMBER_FIELDS]
                         + ["rk.Similarity AS m_Similarity"])
     ws = O.WS
@@ -494,7 +491,7 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
         "payload_nested_flat": _with(mem, job, prep, first_job, pay_rank_sc) + f""",
 rk AS (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY Similarity DESC, MemberId) AS rank FROM {pay_ranked})
  SELECT rq.request_key, CAST(NULL AS VARCHAR) AS request_id, rq.JobId, coalesce(CAST((rk.rank - 1) // 100 AS BIGINT), 0) AS chunk,
-        CAST((rk.rank - 1) % 100 AS INTEGER) AS pos, {details}, {matched}
+        CAST((rk.rank - 1) % 100 AS INTEGER) AS pos, {asked}, {matched}
  FROM rq JOIN jobs ON rq.JobId = jobs.Id LEFT JOIN rk ON rq.request_key = rk.request_key""",
         "payload_score": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
  SELECT request_key, request_key AS request_id, MemberId, JobId, score FROM {pay_scores}""",
@@ -512,6 +509,7 @@ r AS (SELECT d.direction, k, CASE
         WHEN k % 100 = 11 THEN 'malformed' WHEN k % 100 = 12 THEN 'missing data'
         WHEN k % 100 = 13 THEN CASE WHEN d.direction = 'rank' THEN 'empty list' END
         WHEN NOT has_lines THEN 'missing jobpost'
+        WHEN k % 100 = 15 THEN 'missing member' WHEN k % 100 = 16 THEN 'member is not a list'
         WHEN k % 100 = 14 AND d.direction = 'score' THEN 'empty list' END AS error
       FROM o, (VALUES ('rank'), ('score')) d(direction))
 SELECT direction, CAST(k AS VARCHAR) AS request_key, error, CASE WHEN error = 'malformed' THEN 40 END AS kept_text

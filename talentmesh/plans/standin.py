@@ -201,7 +201,8 @@ def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFr
     jobs of its line items (in line order) and its customer as the only
     member.  Orders without line items give requests without a ``jobpost``
     key; of orders whose number ends in 11 the payload is cut short, in 12 it
-    has no data, in 13 the job list, in 14 the member list is empty.  Columns
+    has no data, in 13 the job list, in 14 the member list is empty; in 15 there
+    is no member list, in 16 it is a text, in 17 the salaries are texts.  Columns
     ``order_key`` (unique) and ``payload`` (JSON text).  A request's size is
     bounded by its line count."""
     m = (members_df if members_df is not None else scoring_members(t)).select(*PAYLOAD_MEMBER_FIELDS)
@@ -222,11 +223,13 @@ def payload_json(t: Tables, members_df: DataFrame | None = None, jobs_df: DataFr
     member_list = F.array("member")
     none_j, none_m = F.array().cast(T.ArrayType(j.schema)), F.array().cast(T.ArrayType(m.schema))
     data = F.struct(F.when(last == 13, none_j).otherwise(job_list).alias("jobpost"),
-                    F.when(last == 14, none_m).otherwise(member_list).alias("member"))
+                    F.when(last == 14, none_m).when(last != 15, member_list).alias("member"))
     fields = [F.when(last != 12, data).alias("data")]
     if with_request_id:
         fields.insert(0, F.col("o_orderkey").cast("string").alias("request_id"))
     text = F.to_json(F.struct(*fields))
+    no_list = F.to_json(F.struct(*fields[:-1], F.struct(job_list.alias("jobpost"), F.lit("nobody").alias("member")).alias("data")))
+    text = F.when(last == 16, no_list).when(last == 17, F.regexp_replace(text, '"(Salary_Range_Start|Salary_Range_End)":[0-9.]+', '"$1":"on request"')).otherwise(text)
     return req.select(F.col("o_orderkey").alias("order_key"),
                       F.when(last == 11, F.substring(text, 1, 40)).otherwise(text).alias("payload"))
 

@@ -10,7 +10,7 @@ from talentmesh.operators.embed import CharProfileEmbedder
 from talentmesh.operators.rank import global_rank, rank_members_for_job, score_jobs_for_member, top_matches
 from talentmesh.operators.sinks import last_wins, nested_ranking, score_map
 from talentmesh.plans.flows import rank_payload_documents, rank_payloads, score_payloads
-from talentmesh.sources.payload import parse_payloads, payload_schema, read_payloads, split_valid
+from talentmesh.sources.payload import parse_payloads, payload_schema, rejected, read_payloads, split_valid
 
 E = CharProfileEmbedder()
 
@@ -225,6 +225,51 @@ def test_later_duplicate_job_counts(spark, data):
     assert len(got) == 4 and got["0"] == got["2"] and got["1"] == got["3"]
 
 
+def test_later_entry_wins_in_the_map_and_is_asked_for(spark, data):
+    members, jobs = data
+    m, j = [r.asDict() for r in members.collect()], [r.asDict() for r in jobs.collect()]
+    other = {**j[1], "Id": j[0]["Id"]}
+    df = _parsed(spark, data, [json.dumps({"data": {"jobpost": [j[0], other], "member": m[:1]}}), json.dumps({"data": {"jobpost": [other, j[0]], "member": m[:1]}})])
+    valid = split_valid(df, "score")[0]
+    every = score_payloads(valid, E, positions=True)
+    assert sorted((r.request_key, r.pos) for r in every.collect()) == [("0", 0), ("0", 1), ("1", 0), ("1", 1)]
+    maps = score_map(every, 1000, ("request_key", "MemberId"), pos_col="pos").collect()
+    want = {r.request_key: r.score for r in score_payloads(valid, E).collect()}
+    assert {r.request_key: r.scores for r in maps} == {k: {"10": v} for k, v in want.items()} and want["0"] != want["1"]
+    with pytest.raises(Exception, match="scored twice"):
+        score_map(every, 1000, ("request_key", "MemberId")).collect()
+
+
+def test_wrongly_typed_fields_cost_the_field(spark, data):
+    members, jobs = data
+    m, j = [r.asDict() for r in members.collect()], [r.asDict() for r in jobs.collect()]
+    odd = {**j[0], "Salary_Range_Start": "on request", "JobTitle": 5, "Unknown_Field": {"a": [1]}}
+    texts = [json.dumps({"request_id": 12, "data": {"jobpost": [odd], "member": [{**m[0], "MemberId": str(m[0]["MemberId"])}]}}),
+             json.dumps({"data": {"jobpost": [j[0]], "member": "nobody"}}), json.dumps({"data": {"jobpost": {"Id": 1}, "member": m}}),
+             json.dumps({"data": [1]}), json.dumps([1]), json.dumps({"data": {"jobpost": [j[0]], "member": None}}),
+             json.dumps({"data": {"jobpost": [7, j[0]], "member": m[:1]}}), '{"data": {"jobpost": [], "jobpost": [{"Id": "x"}], "member": [{"MemberId": "3"}]}}']
+    df = _parsed(spark, data, texts)
+    valid = {r.request_key: r for r in split_valid(df, "rank")[0].collect()}
+    assert set(valid) >= {"0", "6"}
+    first = valid["0"].data.jobpost[0]
+    assert (first.Id, first.JobTitle, first.Salary_Range_Start, valid["0"].request_id) == (j[0]["Id"], "5", None, "12")
+    assert valid["0"].data.member[0].MemberId == m[0]["MemberId"]
+    assert [x.Id for x in valid["6"].data.jobpost] == [None, j[0]["Id"]]
+    bad = {(r.direction, r.request_key): (r.error, r.payload) for r in rejected(df).collect()}
+    assert {k: v for (d, k), v in bad.items() if d == "rank" and k != "7"} == {
+        "1": ("member is not a list", None), "2": ("jobpost is not a list", None), "3": ("data is not an object", None), "4": ("malformed", "[1]"),
+        "5": ("missing member", None)}
+    for d in ("rank", "score"):
+        assert {(r.request_key, r.error) for r in split_valid(df, d)[1].collect()} == {(k, v[0]) for (x, k), v in bad.items() if x == d}
+
+
+def test_both_directions_come_from_one_parse(spark):
+    from talentmesh.plans import catalog
+
+    plan = catalog.q_payload_quarantine(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_chunks_are_exact_beyond_doubles(spark):
     big = 2**53
     s = spark.createDataFrame([(1, big + 1, 1.0), (1, big + 2, 2.0), (1, -1, 3.0)], "MemberId long, JobId long, score double")
