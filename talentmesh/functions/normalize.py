@@ -15,12 +15,23 @@ def timestamp_text(c) -> Column:
     return F.date_format(_col(c), TIMESTAMP_FORMAT)
 
 
+# Private-use marks that stand in for U+FFFD while invalid bytes are removed.
+_MARK, _REPLACEMENT = "\ue000", "\ufffd"
+
+
 def bytes_text(c) -> Column:
     """P5: bytes -> UTF-8 text, invalid sequences dropped (decode 'ignore').
 
-    ``make_valid_utf8`` swaps each invalid sequence for U+FFFD, which is then
-    removed.  A genuine U+FFFD in the input is removed too."""
-    return F.regexp_replace(F.make_valid_utf8(_col(c).cast("string")), "�", "")
+    Valid bytes are the text as it is.  Otherwise ``make_valid_utf8`` swaps
+    each invalid sequence for U+FFFD, which is then removed; a genuine U+FFFD
+    is told apart by a mark set before (``replace`` compares bytes, and a lead
+    byte is never part of another sequence), and marks that were there before
+    are escaped."""
+    text = _col(c).cast("string")
+    marked = F.replace(F.replace(text, F.lit(_MARK), F.lit(_MARK + "0")), F.lit(_REPLACEMENT), F.lit(_MARK + "1"))
+    kept = F.replace(F.make_valid_utf8(marked), F.lit(_REPLACEMENT), F.lit(""))
+    back = F.replace(F.replace(kept, F.lit(_MARK + "1"), F.lit(_REPLACEMENT)), F.lit(_MARK + "0"), F.lit(_MARK))
+    return F.when(F.is_valid_utf8(text), text).otherwise(back)
 
 
 def decimal_double(c) -> Column:

@@ -51,9 +51,9 @@ def bridge_long_form(bridge: DataFrame, dim: DataFrame, category: str, fk: str,
 
     Bridge rows whose dimension row is missing are dropped (inner join);
     dimension rows with a null name stay and are skipped by the aggregate."""
-    d = dim.select(F.col("Id").alias("_did"), F.col(name_col).alias("_n"), F.col(desc_col).alias("_d"))
+    d = _checked(dim, {name_col: "_name", desc_col: "_desc"}, category).withColumnRenamed("Id", "_did")
     j = bridge.join(d, bridge[fk] == d["_did"], "inner")
-    return j.select(*_long(F.col("MemberId"), category, F.col(fk), F.col("_n"), F.col("_d")))
+    return j.select(*_long(F.col("MemberId"), category, F.col(fk), F.col("_name"), F.col("_desc")))
 
 
 def education_long_form(edu: DataFrame) -> DataFrame:
@@ -127,11 +127,21 @@ def _spread_lists(long_form: DataFrame, wanted: list, others: list[str]) -> Data
     return per.select("MemberId", *[text(cat, v).alias(out) for cat, v, out in wanted])
 
 
+def _checked(dim: DataFrame, columns: dict[str, str], what: str) -> DataFrame:
+    """A dimension (Id and the renamed ``columns``), one row an id.  A
+    repeated id would repeat its members: it is refused inside the same job,
+    when the row is looked up, without a pass of its own."""
+    again = F.raise_error(F.concat(F.lit(f"{what}: id "), F.col("Id").cast("string"), F.lit(" occurs more than once")))
+    one = dim.groupBy("Id").agg(F.count("*").alias("_n"), *[F.first(c).alias(a) for c, a in columns.items()])
+    checked = F.when(F.col("_n") > 1, again.cast(dim.schema["Id"].dataType)).otherwise(F.col("Id"))
+    return one.where("Id IS NOT NULL").withColumn("Id", checked).drop("_n")
+
+
 def _lookup(df: DataFrame, dim: DataFrame | None, fk: str, name_col: str, alias: str) -> DataFrame:
     """Left lookup of one name column by id (absent table -> nulls)."""
     if dim is None:
         return df.withColumn(alias, F.lit(None).cast("string"))
-    d = dim.select(F.col("Id").alias(f"_{alias}_id"), F.col(name_col).alias(alias))
+    d = _checked(dim, {name_col: alias}, name_col).withColumnRenamed("Id", f"_{alias}_id")
     return df.join(d, df[fk] == d[f"_{alias}_id"], "left").drop(f"_{alias}_id")
 
 

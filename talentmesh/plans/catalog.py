@@ -457,7 +457,7 @@ GROUP BY o.o_custkey""",
         "normalize_values": """
 SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
        CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS o_totalprice FROM orders""",
-        "normalize_bytes": "SELECT doc_id, replace(text, chr(65533), '') AS text_utf8 FROM documents",
+        "normalize_bytes": "SELECT doc_id, text AS text_utf8 FROM documents",
         "skill_points": _with(mem, job, prep, pairs, pair_sc)
         + " SELECT MemberId, JobId, required_skills, preferred_skills, other_skills FROM sc",
         "categorical_points": _with(mem, job, prep, pairs, pair_sc)

@@ -145,3 +145,22 @@ def test_member_filter_reaches_bridge_scan(spark, tmp_path):
     r = q.collect()
     want = "; ".join(f"s{k}" for k in sorted(i % 7 for i in range(500) if i % 50 == 3))
     assert len(r) == 1 and r[0].TechnicalSkillNames == want
+
+
+def test_a_repeated_dimension_id_is_refused_where_it_is_used(spark):
+    jobs = spark.createDataFrame([(1, 5)], "Id long, CityId int")
+    twice = spark.createDataFrame([(5, "Rome"), (5, "Roma"), (None, "x"), (None, "y")], "Id int, CityName string")
+    with pytest.raises(Exception, match="CityName: id 5 occurs more than once"):
+        P._lookup(jobs, twice, "CityId", "CityName", "c").collect()
+    bridge = spark.createDataFrame([(1, 5)], "MemberId long, fk int")
+    dim = spark.createDataFrame([(5, "a", "b"), (5, "a", "b")], "Id int, n string, d string")
+    with pytest.raises(Exception, match="Leadership: id 5 occurs more than once"):
+        P.bridge_long_form(bridge, dim, "Leadership", "fk", "n", "d").collect()
+
+
+def test_checked_lookups_scan_a_dimension_once(spark, tmp_path):
+    spark.createDataFrame([(i, f"c{i}") for i in range(9)], "Id int, CityName string").write.parquet(str(tmp_path / "city"))
+    jobs = spark.createDataFrame([(1, 5), (2, None), (3, 77)], "Id long, CityId int")
+    got = P._lookup(jobs, spark.read.parquet(str(tmp_path / "city")), "CityId", "CityName", "c")
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 5, "c5"), (2, None, None), (3, 77, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1

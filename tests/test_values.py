@@ -34,6 +34,23 @@ def test_normalize(spark):
     assert (r.s, r.n) == ("x", None)
 
 
+def test_bytes_decode_like_python_ignore(spark):
+    """Random bytes, truncated and overlong forms, surrogates, genuine and
+    escaped marks."""
+    from talentmesh.functions.normalize import bytes_text
+
+    r = np.random.default_rng(0)
+    bits = [b"\xef\xbf\xbd", b"\xee\x80\x80", b"0", b"1", b"\xe2\x82\xac", b"\xe2\x82", b"\xf0\x9f\x98\x80", b"\xf0\x9f\x98", b"\xc0\x80", b"\xed\xa0\x80",
+            b"\xf4\x90\x80\x80", b"\xf8\x88\x80\x80\x80", b"\xff", b"\x80", b"a", b"\xc3\xa9", b"\xc3", b"\xef", b"\xef\xbf", b"\xe0\x80\xaf", b"\xfc"]
+    rows = [b"".join(bits[i] for i in r.integers(0, len(bits), r.integers(0, 9))) for _ in range(1500)]
+    rows += [r.integers(0, 256, r.integers(0, 12), dtype=np.uint8).tobytes() for _ in range(1500)] + [b"", b"\xef\xbf\xbd", b"\xef\xbf\xbd\xff"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(rows)] + [(-1, None)], "i int, b binary")
+    got = {x.i: x.t for x in df.select("i", bytes_text("b").alias("t")).collect()}
+    assert got[-1] is None
+    wrong = [(b, got[i]) for i, b in enumerate(rows) if got[i] != b.decode("utf-8", errors="ignore")]
+    assert wrong == []
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 2.0], [2.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]),
                                 (None, [1.0, 1.0])], "a array<double>, b array<double>")
