@@ -41,6 +41,11 @@ class Windows:
     first: np.ndarray | None = None
 
 
+#: Stands for the id of items that have none: their words count as hit, but
+#: no id is listed.
+NO_ID = -(1 << 63)
+
+
 def cut_windows(item_ids: list[int], texts: list[str | None], size: int = WINDOW) -> Windows:
     """Runs of ``size`` words of each item; a shorter item, if not empty, is
     one window.  Equal windows are kept once with all their items."""
@@ -152,8 +157,7 @@ def find_near(ids: np.ndarray, doc: np.ndarray, w: Windows, slop: int):
 def _blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
     """Test items in blocks of bounded text; an item longer than a block is
     one block of its own."""
-    sized = items.where("item_id IS NOT NULL").select(
-        "item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    sized = items.select(F.coalesce("item_id", F.lit(NO_ID)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     return [sized.where(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(n)) == i) for i in range(n)]
@@ -185,8 +189,9 @@ def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None
     ``spans`` are the maximal runs of hit words (first word, length), ``items``
     the sorted ids of items with an occurring window, ``near`` - only with
     ``slop`` - the items matched by proximity alone.  Null and empty texts have
-    no words; items without words match nothing; repeated rows and rows without
-    an id each give a row, whatever the number of blocks.
+    no words; items without words match nothing; the windows of an item without
+    an id count, but it is in no list; repeated rows and rows without an id each
+    give a row, whatever the number of blocks.
     """
     base = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     blocks = _blocks(items, block_bytes)
@@ -298,14 +303,11 @@ def _scan_block(base: DataFrame, windows: Windows, slop: int | None) -> DataFram
                 spans = [[] for _ in range(hi - lo)]
                 items = [set() for _ in range(hi - lo)]
                 near = [set() for _ in range(hi - lo)]
-                edge = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | (doc[1:] != doc[:-1]))) if len(hit) else hit)
-                for a in edge.tolist():
-                    e = a
-                    d = doc[a]
-                    end = before[d + 1]
-                    stop = np.flatnonzero(~hit[a:end])
-                    e = a + int(stop[0]) if len(stop) else int(end)
-                    spans[d].append({"first": int(a - before[d]), "n": int(e - a)})
+                border = doc[1:] != doc[:-1]
+                begin = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | border))) if len(hit) else hit
+                end = np.flatnonzero(hit & np.concatenate((~hit[1:] | border, [True]))) if len(hit) else hit
+                for a, e in zip(begin.tolist(), end.tolist()):
+                    spans[doc[a]].append({"first": int(a - before[doc[a]]), "n": e - a + 1})
                 for r, s in zip(which.tolist(), start.tolist()):
                     items[doc[s]].update(w.items[r].tolist())
                 if slop is not None:
@@ -313,8 +315,8 @@ def _scan_block(base: DataFrame, windows: Windows, slop: int | None) -> DataFram
                         near[doc[a]].update(w.items[r].tolist())
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(i).slice(lo, hi - lo) for i in range(len(carried))), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
-                     pa.array(spans, SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                     pa.array([sorted(x - y) for x, y in zip(near, items)], pa.list_(pa.int64()))],
+                     pa.array(spans, SPANS), pa.array([sorted(x - {NO_ID}) for x in items], pa.list_(pa.int64())),
+                     pa.array([sorted(x - y - {NO_ID}) for x, y in zip(near, items)], pa.list_(pa.int64()))],
                     names=[*carried, "n_words", "n_hit", "spans", "items", "near"])
 
     kinds = "".join(f"`{c}` {base.schema[c].dataType.simpleString()}, " for c in carried)

@@ -239,3 +239,27 @@ def test_search_over_empty_tables(spark):
     asked = frame(spark, [(1, "one")], "query_id long, text string")
     assert topk.search(frame(spark, []), asked, 3).collect() == []
     assert topk.search(frame(spark, [(1, "one")]), asked.limit(0), 3).collect() == []
+
+
+def test_items_without_an_id_count_but_are_not_listed(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, text), (2, "other " * 30), (3, text + " tail" * 3)]
+    items = [(None, text), (None, text), (5, " ".join(text.split()[:13]))]
+    for block in (decontaminate.BLOCK_BYTES, 10):
+        got = {r["doc_id"]: r for r in decontaminate.scan(frame(spark, docs), frame(spark, items, "item_id long, text string"), block_bytes=block).collect()}
+        assert (got[1]["n_hit"], got[1]["items"]) == (20, [5]) and got[2]["n_hit"] == 0 and got[3]["n_hit"] == 20
+        kept = decontaminate.keep_clean(frame(spark, docs), frame(spark, items, "item_id long, text string"), block_bytes=block).collect()
+        assert [r["doc_id"] for r in kept] == [2]
+
+
+def test_very_long_text_with_many_runs(spark):
+    """A document of 200,000 words with 5,000 separate runs takes no time of
+    the square of its length."""
+    import time
+
+    window = " ".join(f"w{i}" for i in range(13))
+    text = " ".join(f"{window} {'x ' * 27}" for _ in range(5000))
+    began = time.time()
+    got = decontaminate.scan(frame(spark, [(1, text)]), frame(spark, [(1, window)], "item_id long, text string")).first()
+    assert (got["n_hit"], len(got["spans"])) == (65_000, 5000) and got["spans"][1] == (40, 13)
+    assert time.time() - began < 60
