@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import keyed
+
 #: Longs in all levels together that may ride in a plan (1 MiB).
 MAX_WORDS = 131_072
 HASHES = 3
@@ -101,8 +103,8 @@ def _words(keys: DataFrame, level: int, n_words: int) -> list[int]:
 
 def build_cascade(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> Cascade | None:
     """``universe`` and ``listed`` have a column ``key`` (repeats and nulls do
-    no harm).  Null if the filters would outgrow ``MAX_WORDS``; the caller
-    then joins."""
+    no harm).  Null if the filters would outgrow ``MAX_WORDS``, which a plan
+    can carry; the caller then joins."""
     listed = listed.where("key IS NOT NULL").distinct()
     n_listed = listed.count()
     if not n_listed:
@@ -147,12 +149,23 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", url_col:
     listed = _key_frame(spark, [r.key for r in rules])
     cascade = build_cascade(universe, listed)
     if cascade is None:
-        raise ValueError(f"the rules need more than {MAX_WORDS} longs of filters; list them in parts")
+        return _judge_by_join(d, keys, rules, id_col, default)
     hit = F.array_sort(F.filter(keys, cascade.contains), lambda a, b: F.length(b) - F.length(a))
     verdicts = F.create_map(*[F.lit(x) for r in reversed(rules) for x in (r.key, r.verdict)])
     d = d.withColumn("rule", F.get(hit, F.lit(0)))
     return d.select(id_col, "host", "path", "rule", F.coalesce(F.element_at(verdicts, F.col("rule")), F.lit(default)).alias("verdict"))
 
 
+def _judge_by_join(d: DataFrame, keys: Column, rules: list[Rule], id_col: str, default: str) -> DataFrame:
+    """The same for rule lists whose filters are too large for a plan: the
+    candidate keys meet the rules as rows."""
+    d, row = keyed(d.withColumn("_keys", keys))
+    listed = d.sparkSession.range(1).select(F.explode(F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.verdict)])).alias("_key", "_verdict"))
+    found = d.select(row, F.posexplode("_keys").alias("_at", "_key")).join(listed, "_key")
+    best = found.groupBy(row).agg(F.max(F.struct(F.length("_key").alias("size"), (-F.col("_at")).alias("first"), "_key", "_verdict")).alias("_best"))
+    return d.join(best, row, "left").select(id_col, "host", "path", F.col("_best._key").alias("rule"),
+                                            F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+
+
 def _key_frame(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.lit(keys)).alias("key"))

@@ -60,3 +60,10 @@ def test_no_python_in_the_plan(spark):
     df = frame(spark, [(1, "http://a.net/x")], "page_id long, url string")
     plan = urls.judge(df, URL_RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+
+
+def test_rules_whose_filters_outgrow_a_plan_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_WORDS", 0)
+    check(spark, URL_RULES, URLS)
+    rules = [urls.Rule(f"h{i}.net", f"/{'abc'[i % 3]}/" if i % 2 else "", "block" if i % 5 else "allow") for i in range(60)]
+    check(spark, rules, [f"http://{'w.' * (i % 3)}h{i % 200}.net/{'abcd'[i % 4]}/{i}" for i in range(300)])
