@@ -269,10 +269,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, seed: int = 3, rounds: int = 30, r
     return w
 
 
-def fit(pages: DataFrame | None = None, max_pages: int = 1500, html_col: str = "html", id_col: str = "page_id") -> np.ndarray:
+def fit(pages: DataFrame | None = None, max_pages: int = 1500, html_col: str = "html", id_col: str = "page_id",
+        max_blocks: int = 200_000) -> np.ndarray:
     """Weights from the made-up labelled blocks and, where ``pages`` are given,
     from weakly labelled blocks (400 of a page at most) of about ``max_pages``
-    of them, picked by a hash.  This bounds the fit alone; extraction reads
+    of them, picked by a hash, and of their blocks' distinct figures at most
+    ``max_blocks``, likewise.  This bounds the fit alone; extraction reads
     every block of every page."""
     made = example_pages()
     x, y = [b for b, _ in made], [v for _, v in made]
@@ -284,12 +286,13 @@ def fit(pages: DataFrame | None = None, max_pages: int = 1500, html_col: str = "
 
         def run(batches):
             for b in batches:
-                rows = [(bl.x, v) for t in b.column(0).to_pylist() for bl in parse_blocks(t)[:400] if (v := weak_label(bl.x)) is not None]
+                rows = [(bl.x, v) for t in b.column(0).to_pylist() for bl in parse_blocks(t) if (v := weak_label(bl.x)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())),
                                                   pa.array([r[1] for r in rows], pa.int32())], names=["x", "y"])
 
         got = (some.select(html_col).mapInArrow(run, "x array<double>, y int").groupBy("x", "y")
-               .agg(F.count("*").alias("n")).orderBy("x", "y").collect())
+               .agg(F.count("*").alias("n")).orderBy(F.xxhash64("x", "y"), "x", "y").limit(max_blocks).collect())
+        got.sort(key=lambda r: (r["x"], r["y"]))
         x += [list(r["x"]) for r in got]
         y += [r["y"] for r in got]
     return fit_weights(np.array(x), np.array(y, float))

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import ALNUM_SEPARATORS, CHUNK_BYTES, SPACES, scan_words, text_chunks
+from .common import ALNUM_SEPARATORS, CHUNK_BYTES, SPACES, scan_words, text_chunks, written
 
 PASSAGE_WORDS = 64
 HASHED = 16
@@ -159,22 +160,25 @@ def _encode(batches):
         for lo, hi, buf, offs in text_chunks(b.column(0), CHUNK_BYTES):
             x, first = passage_features(buf, offs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()), b.column(1).slice(lo, hi - lo)],
-                names=["x", "y"])
+                [pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()), pa.array(np.diff(first), pa.int64()),
+                 b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)], names=["x", "n", "y", "doc_id"])
 
 
 def fit(sample: DataFrame, max_passages: int = 120_000, **how) -> MILModel | None:
     """``sample`` (doc_id, text, y) is a bounded table of labelled texts.
-    Passages are encoded in Spark; only their figures reach the driver, texts
-    taken in order of id until ``max_passages``.  Null where a class lacks."""
-    got = sample.orderBy("doc_id").select("text", "y").mapInArrow(_encode, "x binary, y int").collect()
-    xs, ys, n = [], [], 0
-    for r in got:
-        x = np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES)
-        if n + len(x) > max_passages:
-            continue
-        n += len(x)
-        xs.append(x)
+    Passages are encoded in Spark and written; their numbers alone tell which
+    texts, in order of id, keep within ``max_passages``, and only the figures
+    of those reach the driver.  Null where a class lacks."""
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    coded = written(sample.select("text", "y", "doc_id").mapInArrow(_encode, f"x binary, n long, y int, doc_id {kind}"), "quality-passages")
+    taken, n = [], 0
+    for r in coded.select("doc_id", "n").orderBy("doc_id").toLocalIterator():
+        if n + r["n"] <= max_passages:
+            n += r["n"]
+            taken.append(r["doc_id"])
+    xs, ys = [], []
+    for r in coded.where(F.col("doc_id").isin(taken)).orderBy("doc_id").select("x", "y").collect():
+        xs.append(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES))
         ys.append(r["y"])
     y = np.array(ys, np.float64)
     if not len(y) or y.min() == y.max():

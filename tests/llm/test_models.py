@@ -286,3 +286,28 @@ def test_odd_pages(spark):
     assert got[(6, "u")].count("\n") == 3999 and "deep" in got[(7, "u")]
     assert html_text.extract(df.limit(0), WEIGHTS).collect() == []
     assert len(html_text.fit(df.limit(0).drop("text"))) == html_text.N_FEATURES
+
+
+def test_quality_fit_takes_texts_in_order_until_the_bound(spark):
+    rows = [(i, ("good words here " if i % 2 else "zz qq xx ") * 200, i % 2) for i in range(20)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    seen = []
+    plain = quality.train
+    try:
+        quality.train = lambda x, first, y, **how: seen.append((len(x), len(y)))
+        quality.fit(sample, max_passages=60)
+        quality.fit(sample)
+    finally:
+        quality.train = plain
+    assert seen[0][0] <= 60 < seen[1][0] and seen[0][1] < 20 == seen[1][1]
+
+
+def test_html_fit_reads_every_block_of_a_page(spark, monkeypatch):
+    page = "<html><body>" + "".join(f"<p>{'text ' * (k % 60 + 1)}</p>" for k in range(900)) + "</body></html>"
+    sizes = []
+    plain = html_text.fit_weights
+    monkeypatch.setattr(html_text, "fit_weights", lambda x, y, **how: sizes.append(len(x)) or plain(x, y, **how))
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    html_text.fit(pages)
+    html_text.fit(pages, max_blocks=5)
+    assert sizes[1] <= sizes[0]
