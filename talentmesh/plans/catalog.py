@@ -16,6 +16,7 @@ from ..functions.vectors import cosine
 from ..operators import profiles as P
 from ..operators.batch_topk import top_members
 from ..operators.embed import CharProfileEmbedder, ModelEmbedder
+from ..operators.encode import TokenEncoder, seeded_token_vectors
 from ..operators.rank import cheap_pairs, global_rank, group_rank, rank_members_for_job, score_jobs_for_member, score_pairs
 from ..operators.score import attach_job_vectors, attach_vocabulary, attach_member_vectors, prepare_jobs, prepare_members
 from ..operators.sinks import match_list, nested_ranking, score_map, write_extract
@@ -48,6 +49,15 @@ def q_member_extract_all(spark, d):
     return S.members(_t(spark, d), spread=True)
 
 
+BUCKETS = 16
+
+
+def q_member_extract_copartitioned(spark, d):
+    """S3 over tables written bucketed by member: no shuffle of members or
+    list elements."""
+    return S.copartitioned_members(_t(spark, d), BUCKETS)
+
+
 def q_member_extract_by_id(spark, d):
     return P.member_by_id(S.members(_t(spark, d)), MEMBER_ID)
 
@@ -325,6 +335,16 @@ def q_embed_distinct_text(spark, d):
     return v.select("key", *[F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(4)])
 
 
+def q_embed_token_mean(spark, d):
+    """V1: the distinct texts of the four scored columns and of the documents,
+    in one pass: cut at 512 tokens, mean over the tokens."""
+    t = _t(spark, d)
+    m, j = S.scoring_members(t), S.jobs(t)
+    coder = TokenEncoder(seeded_token_vectors(4), 4, "seeded-token-vectors")
+    v = coder.encode_distinct([(m, "Education"), (m, "Experience"), (j, "Qualifications"), (j, "Key_Responsibilities"), (t("documents"), "text")])
+    return v.select("key", "n_tokens", *[F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(4)])
+
+
 def q_extract_round_trip(spark, d):
     """S6 + K1 + G8: the extract bundle is written, counted while it is
     written, and read back; one row for each table."""
@@ -350,6 +370,7 @@ QUERIES = {
     "job_extract_all": q_job_extract_all,
     "job_extract_by_id": q_job_extract_by_id,
     "member_extract_all": q_member_extract_all,
+    "member_extract_copartitioned": q_member_extract_copartitioned,
     "member_extract_by_id": q_member_extract_by_id,
     "bridge_listagg": q_bridge_listagg,
     "education_agg": q_education_agg,
@@ -381,6 +402,7 @@ QUERIES = {
     "payload_score_map_flat": q_payload_score_map_flat,
     "payload_score_ranked": q_payload_score_ranked,
     "embed_distinct_text": q_embed_distinct_text,
+    "embed_token_mean": q_embed_token_mean,
     "extract_round_trip": q_extract_round_trip,
     "preprocess_text": q_preprocess_text,
 }
@@ -432,6 +454,7 @@ sp2 AS (SELECT DISTINCT CAST(o.o_orderkey AS VARCHAR) AS request_key, o.o_custke
         "job_extract_all": _with(job) + " SELECT * FROM jobs",
         "job_extract_by_id": _with(job) + f" SELECT * FROM jobs WHERE Id = {JOB_ID}",
         "member_extract_all": _with(mem) + " SELECT * FROM members",
+        "member_extract_copartitioned": _with(mem) + " SELECT * FROM members",
         "member_extract_by_id": _with(mem) + f" SELECT * FROM members WHERE MemberId = {MEMBER_ID}",
         "bridge_listagg": """
 SELECT o.o_custkey AS MemberId,
@@ -535,6 +558,13 @@ SELECT DISTINCT sha256(coalesce(text, '')) AS key, CAST(length(coalesce(text, ''
        CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS DOUBLE) AS v1,
        CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'a', '')) AS DOUBLE) AS v2,
        CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 't', '')) AS DOUBLE) AS v3 FROM documents""",
+        "embed_token_mean": _with(mem, job) + f""",
+tx AS (SELECT DISTINCT coalesce(t, '') AS t FROM (SELECT Education AS t FROM members UNION ALL SELECT Experience FROM members
+       UNION ALL SELECT Qualifications FROM jobs UNION ALL SELECT Key_Responsibilities FROM jobs UNION ALL SELECT text FROM documents)),
+tk AS (SELECT t, list_slice({O.tokens("lower(t)")}, 1, 512) AS w FROM tx)
+ SELECT sha256(t) AS key, CAST(len(w) AS INTEGER) AS n_tokens, """ + ", ".join(
+            f"round(coalesce(list_avg(list_transform(w, lambda x: CAST(CAST('0x' || substr(md5(x), {4 * i + 1}, 4) AS INTEGER) AS DOUBLE) / 65535.0)), 0.0), 6) AS v{i}"
+            for i in range(4)) + " FROM tk",
         "extract_round_trip": f"""
 SELECT 'jobpost' AS name, count(*) AS written, count(*) AS rows_read, sum(p_partkey) AS key_sum FROM part WHERE p_partkey = {JOB_ID}
 UNION ALL SELECT 'member', count(*), count(*), sum(c_custkey) FROM customer""",

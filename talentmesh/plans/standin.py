@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CATEGORIES
+from ..operators.copartition import write_copartitioned
 from ..operators.profiles import (
     EDUCATION,
     EXPERIENCE,
@@ -133,6 +134,12 @@ def members(t: Tables, normalize: bool = True, spread: bool = False) -> DataFram
     )
 
 
+def copartitioned_members(t: Tables, buckets: int) -> DataFrame:
+    """The same rows from bucketed tables written first."""
+    member, elements = write_copartitioned(member_table(t), member_long_form(t), buckets)
+    return member_profiles(member, elements, age=age_table(t), city=city_table(t), ethnicity=region_dim(t, "EthnicityName"))
+
+
 def scoring_members(t: Tables, normalize: bool = True, only_ids=None) -> DataFrame:
     """Members with only the columns scoring reads (see
     :func:`..operators.profiles.scoring_profiles`)."""
