@@ -133,7 +133,7 @@ def _builder(levels: int):
     return run
 
 
-def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+def placed_in_order(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``at``, the place of a row in its tree, and ``n``, the tree's
     rows.  ``order`` begins with ``tree``; a row key ends it, so that equal
     rows, too, are spread by the range sort."""
@@ -304,9 +304,9 @@ def build(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "lang
     tree = F.coalesce(F.concat(F.lit("="), group), F.lit("-"))
     rows = docs.select(tree.alias("tree"), F.col(id_col).alias("id"), leaf.alias("digest"),
                        *[c.alias(f"c_{name}") for name, c in carry.items()])
-    tiers = _tiers(_placed(rows, ["tree", "id", "digest"]).drop("id"), levels)
+    tiers = _tiers(placed_in_order(rows, ["tree", "id", "digest"]).drop("id"), levels)
     tops = _roots(tiers, levels).select(F.lit("").alias("tree"), F.col("tree").alias("group"), "digest")
-    top = _tiers(_placed(tops, ["tree", "group"]), levels)
+    top = _tiers(placed_in_order(tops, ["tree", "group"]), levels)
     return Manifest(tiers, top, [F.col(f"c_{name}").alias(name) for name in carry], levels)
 
 

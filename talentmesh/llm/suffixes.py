@@ -22,6 +22,7 @@ are.  So a passage in a third of all documents makes no hot row group.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_chunks
+from .common import mix64, text_chunks, written
+from .manifest import placed_in_order
 
 LENGTH = 50
 GRAM = 24
@@ -174,8 +176,8 @@ class _Sender:
     """Collects rows of a task, settles equal ones, sends the rest by bucket.
     Rows (bucket, settled, data); settled rows only pass through."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, buckets: int, shift: int):
+        self.buckets, self.shift = buckets, shift
         self.clear()
 
     def clear(self):
@@ -200,7 +202,7 @@ class _Sender:
         head = np.ones(len(name), bool)
         head[1:] = (name[1:] != name[:-1]) | (rank[1:] != rank[:-1])
         least = np.repeat(doc[head], np.diff(np.append(np.flatnonzero(head), len(doc))))
-        settled = doc > least
+        settled = (doc >> self.shift) > (least >> self.shift)
         bucket = (name % _U(self.buckets)).astype(np.int64)
         out_b, out_s, out_d = [], [], []
         for which, keys in ((settled, doc % self.buckets), (~settled, bucket)):
@@ -216,7 +218,7 @@ class _Sender:
                                               pa.array(out_d[lo:lo + 128], pa.binary())], names=["bucket", "settled", "data"])
 
 
-def _receive(batches):
+def _receive(batches, shift: int):
     """Sorts each bucket by rank.  Rows (doc_id, code): code = 2 * position,
     plus 1 for a cell that is still open (equal names, other bytes)."""
 
@@ -231,7 +233,7 @@ def _receive(batches):
         head = np.ones(len(name), bool)
         head[1:] = (name[1:] != name[:-1]) | (rank[1:] != rank[:-1])
         least = np.repeat(doc[head], np.diff(np.append(np.flatnonzero(head), len(doc))))
-        done = doc > least
+        done = (doc >> shift) > (least >> shift)
         # cells under a name that has several ranks
         start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         several = np.add.reduceat(head, start) > 1
@@ -262,7 +264,7 @@ def _pressed(batches):
     press = zstandard.ZstdCompressor(level=3)
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((t or "").encode("utf-8", "surrogatepass"))
-                                                                 for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "pressed"])
+                                                                 for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["doc_id", "pressed", "id"])
 
 
 def _texts(column) -> pa.Array:
@@ -270,8 +272,8 @@ def _texts(column) -> pa.Array:
     return pa.array([press.decompress(x) for x in column.to_pylist()], pa.large_binary())
 
 
-def _settled(packed: DataFrame) -> DataFrame:
-    return (packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive, "doc_id long, code long")
+def _settled(packed: DataFrame, shift: int) -> DataFrame:
+    return (packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_receive, shift=shift), "doc_id long, code long")
             .groupBy("doc_id").agg(F.collect_list("code").alias("codes")))
 
 
@@ -292,6 +294,19 @@ def _member(at: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[k] == at
 
 
+def _row_keys(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (id, text) with a key ``doc_id`` for each row, and the number
+    of its low bits that tell rows of one id apart: keys that differ above
+    them are in the order of the ids.  Ids that are unique are their own keys."""
+    again = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").agg(F.max("n")).first()[0]
+    if again is None:
+        return rows.withColumn("doc_id", F.col("id")), 0
+    placed = written(placed_in_order(rows.withColumn("tree", F.lit("")), ["tree", "id"]).select("id", "text", "at"), "suffix-rows")
+    first = placed.groupBy("id").agg(F.min("at").alias("first"))
+    shift = int(again).bit_length()
+    return placed.join(first, "id").select("id", "text", (F.shiftleft("first", shift) + F.col("at") - F.col("first")).alias("doc_id")), shift
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Takes out every byte that a 50-byte string covers which also starts in
     a document with a smaller id.  One row per document row: (id, n_bytes,
@@ -299,14 +314,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs (first byte, length), ``kept`` the bytes that stay.
 
     Texts are UTF-8 bytes; null and shorter texts lose nothing; matches never
-    cross documents, repeats within one document stay.  Rows without an id are
-    left out; rows of one id must have one text, and each gets the same row."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    cross documents, repeats within one document stay.  Rows of one id are
+    documents of their own that take nothing from each other.  A row without
+    an id has no smaller one: it loses nothing and takes nothing."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base, shift = _row_keys(rows.where("id IS NOT NULL"))
+    base = base.select("doc_id", "text", "id")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
     def send_cells(batches):
-        sender = _Sender(buckets)
+        sender = _Sender(buckets, shift)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, buf, offs in text_chunks(b.column(1)):
@@ -316,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from sender.flush()
 
     def send_windows(batches):
-        sender = _Sender(buckets)
+        sender = _Sender(buckets, shift)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi, buf, offs in text_chunks(_texts(b.column(1))):
@@ -356,7 +374,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     else:
                         spans.append([])
                     kept.append(t.tobytes())
-                cols = [b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept])),
+                cols = [b.column(4).slice(lo, hi - lo), pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept])),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))),
                         pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 names = [id_col, "n_bytes", "n_removed", "spans", "kept_sha256"]
@@ -365,10 +383,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    cell_codes = _settled(base.mapInArrow(send_cells, _PACKED))
+    pressed = "doc_id long, pressed binary, id long"
+    cell_codes = _settled(base.select("doc_id", "text").mapInArrow(send_cells, _PACKED), shift)
     # texts and codes are shuffled by document once and used twice
-    met = base.mapInArrow(_pressed, "doc_id long, pressed binary").join(cell_codes, "doc_id", "left")
-    window_codes = _settled(met.select("doc_id", "pressed", "codes").mapInArrow(send_windows, _PACKED)).withColumnRenamed("codes", "windows")
-    return met.join(window_codes, "doc_id", "left").select("doc_id", "pressed", "codes", "windows").mapInArrow(
+    met = base.mapInArrow(_pressed, pressed).join(cell_codes, "doc_id", "left")
+    window_codes = _settled(met.select("doc_id", "pressed", "codes").mapInArrow(send_windows, _PACKED), shift).withColumnRenamed("codes", "windows")
+    none = F.lit(None).cast("array<bigint>")
+    nameless = rows.where("id IS NULL").select(F.col("id").alias("doc_id"), "text", "id").mapInArrow(_pressed, pressed)
+    every = met.join(window_codes, "doc_id", "left").select("doc_id", "pressed", "codes", "windows", "id").unionByName(
+        nameless.select("doc_id", "pressed", none.alias("codes"), none.alias("windows"), "id"))
+    return every.mapInArrow(
         take_out, f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<first:bigint,n:bigint>>, kept_sha256 string"
         + ", kept binary" * keep_text)

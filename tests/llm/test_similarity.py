@@ -130,10 +130,19 @@ def test_suffix_empty_table_and_repeated_rows(spark):
     assert suffixes.remove_repeats(frame(spark, [])).collect() == []
     t = "z" * 30 + "y" * 30
     got = suffixes.remove_repeats(frame(spark, [(1, t), (1, t), (2, t), (None, t)])).collect()
-    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 60)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 60)]
     assert got[0]["kept_sha256"] in {hashlib.sha256(t.encode()).hexdigest(), hashlib.sha256(b"").hexdigest()}
 
 
+def test_rows_of_one_id_are_judged_each_for_itself(spark):
+    r = random.Random(5)
+    first, other, more = prose(r, 30)[:80], "p" * 90, prose(r, 40)[:120]
+    rows = [(1, first), (2, "ab" + first[:68]), (2, other), (2, other), (3, other + "x"), (-4, more), (None, more), (9, more), (9, "!" + more), (9, None)]
+    got = sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"]) for x in suffixes.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted([("1", 80, 0), ("2", 70, 68), ("2", 90, 0), ("2", 90, 0), ("3", 91, 90), ("-4", 120, 0), ("None", 120, 0), ("9", 120, 120),
+                          ("9", 121, 120), ("9", 0, 0)])
+
+
 def planted(seed=3):
     r = random.Random(seed)
     items = [(i, prose(r, n)) for i, n in enumerate([30, 20, 13, 12, 5, 1, 40])] + [(7, ""), (8, None), (9, "!!")]
