@@ -264,7 +264,7 @@ def _pressed(batches):
     press = zstandard.ZstdCompressor(level=3)
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((t or "").encode("utf-8", "surrogatepass"))
-                                                                 for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=["doc_id", "pressed", "id"])
+                                                                 for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "pressed"])
 
 
 def _texts(column) -> pa.Array:
@@ -319,7 +319,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an id has no smaller one: it loses nothing and takes nothing."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base, shift = _row_keys(rows.where("id IS NOT NULL"))
-    base = base.select("doc_id", "text", "id")
+    ids = base.select(F.col("doc_id").alias("row"), "id")
+    base = base.select("doc_id", "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
@@ -374,24 +375,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     else:
                         spans.append([])
                     kept.append(t.tobytes())
-                cols = [b.column(4).slice(lo, hi - lo), pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept])),
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept])),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))),
                         pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-                names = [id_col, "n_bytes", "n_removed", "spans", "kept_sha256"]
+                names = ["row", "n_bytes", "n_removed", "spans", "kept_sha256"]
                 if keep_text:
                     cols.append(pa.array(kept, pa.binary()))
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    pressed = "doc_id long, pressed binary, id long"
-    cell_codes = _settled(base.select("doc_id", "text").mapInArrow(send_cells, _PACKED), shift)
+    pressed = "doc_id long, pressed binary"
+    cell_codes = _settled(base.mapInArrow(send_cells, _PACKED), shift)
     # texts and codes are shuffled by document once and used twice
     met = base.mapInArrow(_pressed, pressed).join(cell_codes, "doc_id", "left")
     window_codes = _settled(met.select("doc_id", "pressed", "codes").mapInArrow(send_windows, _PACKED), shift).withColumnRenamed("codes", "windows")
     none = F.lit(None).cast("array<bigint>")
-    nameless = rows.where("id IS NULL").select(F.col("id").alias("doc_id"), "text", "id").mapInArrow(_pressed, pressed)
-    every = met.join(window_codes, "doc_id", "left").select("doc_id", "pressed", "codes", "windows", "id").unionByName(
-        nameless.select("doc_id", "pressed", none.alias("codes"), none.alias("windows"), "id"))
-    return every.mapInArrow(
-        take_out, f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<first:bigint,n:bigint>>, kept_sha256 string"
-        + ", kept binary" * keep_text)
+    columns = "row long, n_bytes long, n_removed long, spans array<struct<first:bigint,n:bigint>>, kept_sha256 string" + ", kept binary" * keep_text
+    got = met.join(window_codes, "doc_id", "left").select("doc_id", "pressed", "codes", "windows").mapInArrow(take_out, columns)
+    if shift:
+        got = got.join(ids, "row").withColumn("row", F.col("id")).drop("id")
+    nameless = rows.where("id IS NULL").select(F.col("id").alias("doc_id"), "text").mapInArrow(_pressed, pressed)
+    whole = nameless.select("doc_id", "pressed", none.alias("codes"), none.alias("windows")).mapInArrow(take_out, columns)
+    return got.unionByName(whole).withColumnRenamed("row", id_col)
