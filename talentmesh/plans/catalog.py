@@ -138,7 +138,9 @@ def _pairs(spark, d, vectors: bool = True) -> DataFrame:
     pairs = li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("MemberId"), F.col("l_partkey").alias("JobId")).distinct()
     # inputs and vectors once per member / per job, before pairing
-    m = prepare_members(S.scoring_members(t))
+    # read twice: for the vocabulary and for the pairs
+    ensure_checkpoint_dir(spark)
+    m = prepare_members(S.scoring_members(t)).checkpoint()
     j = attach_vocabulary(prepare_jobs(S.jobs(t)), m)
     if vectors:
         m, j = attach_member_vectors(m, EMBEDDER), attach_job_vectors(j, EMBEDDER)
