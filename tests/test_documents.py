@@ -1,0 +1,137 @@
+"""One JSON document in many splits, against Python's json on whole texts."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talentmesh.config import MatchOptions
+from talentmesh.operators.embed import CharProfileEmbedder
+from talentmesh.plans.flows import rank_payloads, score_payloads
+from talentmesh.sources.documents import read_documents, read_pieces, score_documents, whole_requests
+from talentmesh.sources.payload import parse_payloads, payload_schema, split_valid
+
+JOB = T.StructType([T.StructField("Id", T.LongType()), T.StructField("Required_Skills", T.StringType()), T.StructField("Industry", T.StringType())])
+MEMBER = T.StructType([T.StructField("MemberId", T.LongType())] + [T.StructField(n, T.StringType()) for n in (
+    "MemberFirstName", "MemberLastName", "MemberEmail", "CityName", "TechnicalSkillNames", "Education")])
+SCHEMA = payload_schema(JOB, MEMBER)
+ODD = ['a } b', '{"data":{"member":[{', '\\', '"', '}}]]', 'é\n\U0001f600', '', '"member":[', '\\"}']
+
+
+@pytest.fixture()
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def member(i, rng):
+    return {"MemberId": i, "MemberFirstName": rng.choice(ODD), "MemberLastName": None, "CityName": rng.choice(ODD),
+            "TechnicalSkillNames": "x y " + rng.choice(ODD), "Education": "e" * rng.randrange(40)}
+
+
+def job(i, rng):
+    return {"Id": i, "Required_Skills": "x," + rng.choice(ODD), "Industry": rng.choice(ODD)}
+
+
+def request(rng, n_jobs, n_members, **more):
+    return {**more, "data": {"jobpost": [job(i, rng) for i in range(n_jobs)], "note": {"a}b": [1, {"c": [{}]}]},
+                             "member": [member(i, rng) for i in range(n_members)]}, "end": {"z": [[{"q": {}}]]}}
+
+
+def write(path, texts):
+    path.mkdir()
+    for i, t in enumerate(texts):
+        (path / f"{i}.json").write_text(t, encoding="utf-8")
+    return str(path)
+
+
+def lists_of(df, name):
+    rows = df.select("request_key", "place", F.col(f"data.{name}").alias("l")).collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.request_key, r.place)):
+        out.setdefault(r.request_key, []).extend(x and x.asDict() for x in r.l or [])
+    return out
+
+
+@pytest.mark.parametrize("seed,piece_chars", [(1, 1), (2, 300), (3, 5000)])
+def test_pieces_hold_what_the_documents_hold(spark, small_splits, tmp_path, seed, piece_chars):
+    rng = random.Random(seed)
+    docs = [request(rng, 3, 60, request_id="r}0"), request(rng, 40, 0), request(rng, 0, 1)]
+    texts = [json.dumps(docs[0], ensure_ascii=False), json.dumps(docs[1], indent=3) + "\n", " \n" + json.dumps(docs[2]) + "\n\n"]
+    path = write(tmp_path / "d", texts)
+    got = read_documents(spark, path, SCHEMA, piece_chars).cache()
+    assert got.where("payload IS NOT NULL OR size(misfits) > 0").count() == 0
+    for name, fields in (("jobpost", JOB.names), ("member", MEMBER.names)):
+        lists = lists_of(got, name)
+        for i, d in enumerate(docs):
+            want = [{f: e.get(f) for f in fields} for e in d["data"][name]]
+            assert [v for k, v in lists.items() if k.endswith(f"/{i}.json#0")] == [want]
+    ids = got.groupBy("request_key").agg(F.max("request_id").alias("r")).collect()
+    assert sorted(str(r.r) for r in ids) == ["None", "None", "r}0"]
+
+
+def test_many_tasks_read_one_document(spark, small_splits, tmp_path):
+    rng = random.Random(5)
+    path = write(tmp_path / "d", [json.dumps(request(rng, 1, 300))])
+    assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() >= 8
+    pieces = read_pieces(spark, path, 500)
+    assert pieces.count() > 40
+    assert pieces.agg(F.max(F.length("text"))).first()[0] < 3000
+
+
+def test_documents_one_after_another_and_an_entry_over_many_splits(spark, small_splits, tmp_path):
+    rng = random.Random(6)
+    docs = [request(rng, 1, 5) for _ in range(7)]
+    docs[3]["data"]["member"][2]["Education"] = "long } " * 2000
+    path = write(tmp_path / "d", ["\n".join(json.dumps(d) for d in docs)])
+    got = lists_of(read_documents(spark, path, SCHEMA, 400), "member")
+    assert len(got) == 7
+    for k, v in got.items():
+        d = docs[int(k.rsplit("#", 1)[1])]
+        assert v == [{f: e.get(f) for f in MEMBER.names} for e in d["data"]["member"]]
+
+
+def test_odd_documents(spark, small_splits, tmp_path):
+    """Empty and blank files give nothing; what is no request is quarantined
+    once a document, with the same reason as a whole text has."""
+    texts = ["", " \n", "{}", '{"data":{"jobpost":[],"member":[]}}', '{"data":{"jobpost":[{"Id":1}]}}', '{"data":{"jobpost":[{"Id":1}],"member":[{"MemberId":1}]}',
+             "no json", '{"data":[{"jobpost":[{"Id":1}]}]}', '{"data":{"jobpost":{"a":{}},"member":[]}}',
+             '{"data":{"jobpost":[{"Id":"x"}],"member":[{"MemberId":"7"},null,{"MemberId":8}]}}']
+    path = write(tmp_path / "d", texts)
+    got = read_documents(spark, path, SCHEMA, 1).cache()
+    whole = parse_payloads(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts) if t.strip()], "k string, t string"), "t", SCHEMA, "k")
+    for direction in ("rank", "score"):
+        valid, bad = whole_requests(got, direction)
+        want_valid, want_bad = split_valid(whole, direction)
+        name = F.regexp_extract("request_key", r"/(\d+)\.json#0$", 1)
+        assert sorted((r.k, r.error) for r in bad.select(name.alias("k"), "error").collect()) == \
+            sorted((r.request_key, r.error) for r in want_bad.select("request_key", "error").collect())
+        assert {r.k for r in valid.select(name.alias("k")).collect()} == {r.request_key for r in want_valid.collect()}
+    members = {k.rsplit("/", 1)[1]: [m and m["MemberId"] for m in v] for k, v in lists_of(got, "member").items()}
+    assert members["9.json#0"] == [7, None, 8]
+
+
+def test_flows_over_pieces_equal_flows_over_whole_texts(spark, small_splits, tmp_path):
+    rng = random.Random(8)
+    d = request(rng, 30, 50, request_id="q")
+    d["data"]["jobpost"].append({**d["data"]["jobpost"][0], "Required_Skills": "nothing of it", "Industry": "i"})
+    path = write(tmp_path / "d", [json.dumps(d)])
+    pieces = read_documents(spark, path, SCHEMA, 300).cache()
+    whole = parse_payloads(spark.createDataFrame([("k", json.dumps(d))], "k string, t string"), "t", SCHEMA, "k")
+    emb, low = CharProfileEmbedder(), MatchOptions(threshold=10.0)
+
+    got = rank_payloads(whole_requests(pieces, "rank")[0], emb, low).drop("request_key").collect()
+    want = rank_payloads(split_valid(whole, "rank")[0], emb, low).drop("request_key").collect()
+    assert len(want) > 10 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+    valid = whole_requests(pieces, "score")[0]
+    got = score_documents(valid, lambda rows: score_payloads(rows, emb, positions=True)).select("MemberId", "JobId", "score").collect()
+    want = score_payloads(split_valid(whole, "score")[0], emb).select("MemberId", "JobId", "score").collect()
+    assert len(want) == 30 and sorted(map(repr, got)) == sorted(map(repr, want))
