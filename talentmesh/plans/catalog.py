@@ -21,6 +21,7 @@ from ..operators.rank import cheap_pairs, global_rank, group_rank, rank_members_
 from ..operators.score import attach_job_vectors, attach_vocabulary, attach_member_vectors, prepare_jobs, prepare_members
 from ..operators.sinks import match_list, nested_ranking, score_map, write_extract
 from ..session import ensure_checkpoint_dir
+from ..sources.documents import read_documents, score_documents, whole_requests
 from ..sources.payload import RANK, SCORE, parse_payloads, payload_schema, rejected, split_valid
 from . import oracle as O
 from . import standin as S
@@ -320,6 +321,42 @@ def q_payload_score_map_flat(spark, d):
     return maps.select("request_key", "MemberId", "chunk", F.explode("scores").alias("JobKey", "score"))
 
 
+# ---------------------------------------------------------------- large documents
+
+DOCUMENT_PIECE = 2_000
+
+
+def _document_pieces(spark, d):
+    """The requests as files of JSON documents, read in pieces; those cut
+    short are left to ``payload_quarantine``, as brackets must balance here."""
+    t = _t(spark, d)
+    m = S.scoring_members(t).select(*S.PAYLOAD_MEMBER_FIELDS)
+    j = S.jobs(t).select(*S.PAYLOAD_JOB_FIELDS)
+    path = _shared_path(spark, "documents")
+    S.payload_json(t, m, j).where(F.col("order_key") % 100 != 11).select("payload").write.text(path)
+    return read_documents(spark, path, payload_schema(j.schema, m.schema), DOCUMENT_PIECE)
+
+
+def q_document_rank(spark, d):
+    """E2 over documents read in pieces: the first job of each against its
+    members, piece by piece."""
+    return rank_payloads(whole_requests(_document_pieces(spark, d), RANK)[0], EMBEDDER).drop("request_key")
+
+
+def q_document_scores(spark, d):
+    """E3 over documents read in pieces: the first member of each against its
+    jobs; of a job listed twice the later entry counts."""
+    valid = whole_requests(_document_pieces(spark, d), SCORE)[0]
+    return score_documents(valid, lambda rows: score_payloads(rows, EMBEDDER, positions=True)).drop("request_key")
+
+
+def q_document_quarantine(spark, d):
+    """S8 over documents read in pieces, both directions: a row a document."""
+    pieces = _document_pieces(spark, d)
+    bad = [whole_requests(pieces, x)[1].select(F.lit(x).alias("direction"), "error") for x in (RANK, SCORE)]
+    return bad[0].unionByName(bad[1]).groupBy("direction", "error").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- text / vectors
 
 def letter_counts():
@@ -347,12 +384,16 @@ def q_embed_token_mean(spark, d):
     return v.select("key", "n_tokens", *[F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in range(4)])
 
 
+def _shared_path(spark, name):
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or ensure_checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def q_extract_round_trip(spark, d):
     """S6 + K1 + G8: the extract bundle is written, counted while it is
     written, and read back; one row for each table."""
     t = _t(spark, d)
     frames = extract_for_job(S.jobs(t, only_ids=[JOB_ID]), S.members(t, spread=True), JOB_ID)
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or ensure_checkpoint_dir(spark)).rstrip('/')}/extract-{uuid.uuid4().hex}"
+    path = _shared_path(spark, "extract")
     counts = write_extract(frames, path)
     out = None
     for name, key in (("jobpost", "Id"), ("member", "MemberId")):
@@ -403,6 +444,9 @@ QUERIES = {
     "payload_no_request_id": q_payload_no_request_id,
     "payload_score_map_flat": q_payload_score_map_flat,
     "payload_score_ranked": q_payload_score_ranked,
+    "document_rank": q_document_rank,
+    "document_scores": q_document_scores,
+    "document_quarantine": q_document_quarantine,
     "embed_distinct_text": q_embed_distinct_text,
     "embed_token_mean": q_embed_token_mean,
     "extract_round_trip": q_extract_round_trip,
@@ -447,6 +491,16 @@ sp2 AS (SELECT DISTINCT CAST(o.o_orderkey AS VARCHAR) AS request_key, o.o_custke
  FROM sc JOIN rp ON sc.MemberId = rp.MemberId AND sc.JobId = rp.JobId WHERE sc.Similarity >= 85.0)"""
     pay_scores = """(SELECT sp2.request_key, sc.MemberId, sc.JobId, sc.Similarity AS score
  FROM sc JOIN sp2 ON sc.MemberId = sp2.MemberId AND sc.JobId = sp2.JobId)"""
+    rejected_rows = """
+WITH o AS (SELECT o.o_orderkey AS k, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS has_lines
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+r AS (SELECT d.direction, k, CASE
+        WHEN k % 100 = 11 THEN 'malformed' WHEN k % 100 = 12 THEN 'missing data'
+        WHEN k % 100 = 13 THEN CASE WHEN d.direction = 'rank' THEN 'empty list' END
+        WHEN NOT has_lines THEN 'missing jobpost'
+        WHEN k % 100 = 15 THEN 'missing member' WHEN k % 100 = 16 THEN 'member is not a list'
+        WHEN k % 100 = 14 AND d.direction = 'score' THEN 'empty list' END AS error
+      FROM o, (VALUES ('rank'), ('score')) d(direction))"""
     details = ", ".join(f"jobs.{src} AS d_{disp.replace(' ', '')}" for disp, src in JOB_DETAIL_FIELDS)
     asked = details.replace("jobs.Salary_Range_", "CASE WHEN rq.k % 100 <> 17 THEN jobs.Salary_Range_").replace(" AS d_Salary", " END AS d_Salary")
     matched = ", ".join([f"rk.{'City' if src == 'CityName' else src} AS m_{disp.replace(' ', '')}" for disp, src in MATCHED_MEMBER_FIELDS]
@@ -522,23 +576,19 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY Similarity
  SELECT request_key, request_key AS request_id, MemberId, JobId, score FROM {pay_scores}""",
         "payload_no_request_id": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
  SELECT request_key, CAST(NULL AS VARCHAR) AS request_id, MemberId, JobId, score FROM {pay_scores}""",
+        "document_rank": _with(mem, job, prep, first_job, pay_rank_sc) + f" SELECT * EXCLUDE (request_key) FROM {pay_ranked}",
+        "document_scores": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
+ SELECT request_key AS request_id, MemberId, JobId, score FROM {pay_scores}""",
         "payload_score_ranked": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
  SELECT request_key, request_key AS request_id, MemberId, JobId, score,
         row_number() OVER (PARTITION BY request_key ORDER BY score DESC, JobId) AS rank FROM {pay_scores}""",
         "payload_score_map_flat": _with(mem, job, prep, all_jobs, pay_score_sc) + f"""
  SELECT request_key, MemberId, CAST(floor(JobId / 50) AS BIGINT) AS chunk, CAST(JobId AS VARCHAR) AS JobKey, score FROM {pay_scores}""",
-        "payload_quarantine": """
-WITH o AS (SELECT o.o_orderkey AS k, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS has_lines
-           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
-r AS (SELECT d.direction, k, CASE
-        WHEN k % 100 = 11 THEN 'malformed' WHEN k % 100 = 12 THEN 'missing data'
-        WHEN k % 100 = 13 THEN CASE WHEN d.direction = 'rank' THEN 'empty list' END
-        WHEN NOT has_lines THEN 'missing jobpost'
-        WHEN k % 100 = 15 THEN 'missing member' WHEN k % 100 = 16 THEN 'member is not a list'
-        WHEN k % 100 = 14 AND d.direction = 'score' THEN 'empty list' END AS error
-      FROM o, (VALUES ('rank'), ('score')) d(direction))
+        "payload_quarantine": rejected_rows + """
 SELECT direction, CAST(k AS VARCHAR) AS request_key, error, CASE WHEN error = 'malformed' THEN 40 END AS kept_text
 FROM r WHERE error IS NOT NULL""",
+        "document_quarantine": rejected_rows + """
+SELECT direction, error, count(*) AS n FROM r WHERE error IS NOT NULL AND error <> 'malformed' GROUP BY ALL""",
         "nested_ranking_flat": _with(mem, job, prep, rank_sc) + f""",
 rk AS (SELECT *, row_number() OVER (ORDER BY Similarity DESC, MemberId) AS rank FROM ({ranked}))
  SELECT jobs.Id AS JobId, coalesce(CAST((rk.rank - 1) // 100 AS BIGINT), 0) AS chunk, CAST((rk.rank - 1) % 100 AS INTEGER) AS pos,
