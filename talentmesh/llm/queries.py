@@ -243,6 +243,63 @@ FROM e GROUP BY conv_id
 OP13_SQL = _op13_sql()
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT k, array_to_string(list_slice(w, p, p + 4), ' ') AS x
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k
+), c AS (SELECT a.k AS i, b.k AS j, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.k < b.k GROUP BY ALL
+), l AS (SELECT i, j FROM c JOIN n ni ON ni.k = i JOIN n nj ON nj.k = j WHERE 100 * shared >= 80 * (ni.n + nj.n - shared)
+), e AS MATERIALIZED (SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l
+), r AS (SELECT k, doc_id FROM d UNION SELECT e.b, r.doc_id FROM r JOIN e ON e.a = r.k
+), m AS (SELECT k, min(doc_id) AS component_id FROM r GROUP BY k)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (k) JOIN m USING (k)
+"""
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP9_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents
+), b AS MATERIALIZED (SELECT item_id, w, least(len(w), 13) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), win AS MATERIALIZED (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS x
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM b)
+), seen AS (
+  SELECT k, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS x
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), found AS MATERIALIZED (SELECT k, seen.n, p, item_id FROM seen JOIN win USING (n, x)
+), hit AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT k, n, p FROM found)) GROUP BY k
+), items AS (
+  SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS i FROM found WHERE item_id IS NOT NULL) GROUP BY k
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN items USING (k)
+"""
+
+
+OP7_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), win AS (SELECT k, doc_id, p, b[p:p + 49] AS x FROM (SELECT k, doc_id, b, unnest(range(1, n - 48)) AS p FROM d WHERE n >= 50)
+), bad AS (SELECT k, p FROM win QUALIFY min(doc_id) OVER (PARTITION BY x) < doc_id
+), runs AS (
+  SELECT k, min(p) AS first, max(p) + 49 AS last FROM (
+    SELECT k, p, sum(new) OVER (PARTITION BY k ORDER BY p) AS run FROM (
+      SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM bad)) GROUP BY k, run
+), cut AS MATERIALIZED (SELECT k, first, last, coalesce(lag(last) OVER (PARTITION BY k ORDER BY first), 0) AS before FROM runs
+), kept AS (
+  SELECT k, count(*) AS n_spans, sum(last - first + 1) AS n_removed, max(last) AS last,
+         string_agg(CASE WHEN first > before + 1 THEN hex(b[before + 1:first - 1]) ELSE '' END, '' ORDER BY first) AS h FROM cut JOIN d USING (k) GROUP BY k
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(h || CASE WHEN last < n THEN hex(b[last + 1:n]) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -270,5 +327,6 @@ def _bounded(fn):
 
 
 QUERIES = {name: _bounded(fn) for name, fn in QUERIES.items()}
-ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op12_ranked_search": OP12_SQL,
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_decontamination": OP9_SQL,
+              "op11_merkle_manifest": OP11_SQL, "op12_ranked_search": OP12_SQL,
               "op13_chat_format": OP13_SQL}
