@@ -279,20 +279,24 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, stats: CorpusS
 
 
 def mask(docs: DataFrame, model: RandomForestClassificationModel, stats: CorpusStats, mark: str = "[SECRET]", cut: float = 0.5,
-         text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with every found secret replaced by ``mark``.
+         text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with every found secret replaced by ``mark``; with
+    the same ``path_col``, just those that :func:`scan` confirms.  Each row is
+    masked by itself, also repeated ones.
 
     The forest is small (trees of bounded depth) and is walked in the task, so
     texts need no shuffle to meet their findings.  Null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast((stats, flatten(model)))
     at = docs.columns.index(text_col)
+    path_at = docs.columns.index(path_col) if path_col else None
 
     def run(batches):
         st, forest = shared.value
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, t in enumerate(texts):
-                found = find_candidates(t, st)
+            paths = [""] * len(texts) if path_at is None else b.column(path_at).cast(pa.string()).to_pylist()
+            for i, (t, p) in enumerate(zip(texts, paths)):
+                found = find_candidates(t, st, p)
                 if found:
                     keep = forest_scores(forest, np.array([f.x for f in found])) >= cut
                     for f, k in reversed(list(zip(found, keep.tolist()))):

@@ -311,3 +311,27 @@ def test_html_fit_reads_every_block_of_a_page(spark, monkeypatch):
     html_text.fit(pages)
     html_text.fit(pages, max_blocks=5)
     assert sizes[1] <= sizes[0]
+
+
+def test_mask_and_scan_agree_with_paths(spark):
+    """One text under several paths (null, empty, long) is masked where the
+    scan confirms a finding, row by row."""
+    found = secrets.labelled_findings()[:120]
+    paths = [None, "", "tests/fixtures/data.txt", "src/config/prod.env", "x/" * 500]
+    rows = [(i, t, paths[i % 5]) for i, (t, _) in enumerate(found)] + [(0, found[0][0], paths[0]), (500, None, "a"), (501, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stats = secrets.corpus_stats(df)
+    model = secrets.fit(spark, stats)
+    want = {(r["doc_id"], r["value"]) for r in secrets.scan(df, model, stats, path_col="source").collect()}
+    masked = secrets.mask(df, model, stats, path_col="source").collect()
+    texts = {i: t for i, t, _ in rows}
+    assert len(masked) == len(rows) and len(want) > 20
+    for r in masked:
+        t = texts[r["doc_id"]]
+        if t is None:
+            assert r["text"] is None
+            continue
+        for i, v in want:
+            if i == r["doc_id"]:
+                t = t.replace(v, "[SECRET]", 1)
+        assert r["text"] == t
