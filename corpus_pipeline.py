@@ -8,8 +8,10 @@ Stages, each working on all that its predecessor kept:
    without an id only if none has one, any one of equal ids;
 3. ``decontamination`` drops documents of whose words a twentieth or more lie
    in benchmark windows;
-4. ``secrets`` masks found secrets in the texts (and renews ``n_chars``);
-5. ``tokens`` encodes the texts by byte-level BPE and checks the way back.
+4. ``secrets`` masks found secrets in the texts (and renews ``n_chars``), by
+   the same features as ``op4_secret_scans``, ``source`` as path included;
+5. ``tokens`` encodes the texts by byte-level BPE and checks the way back; it
+   returns its own columns only, so extra columns end here.
 
 Every stage judges each row by itself or by its text's group, so ids may be
 null or repeated; empty and null texts pass all stages.
@@ -62,7 +64,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stats = secrets.corpus_stats(docs)
-    masked = secrets.mask(docs, secrets.fit(spark, stats), stats)
+    masked = secrets.mask(docs, secrets.fit(spark, stats), stats, path_col="source")
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
