@@ -1,0 +1,35 @@
+"""What a Python worker holds does not grow with the texts of a batch."""
+
+import tracemalloc
+
+import numpy as np
+import pandas as pd
+
+from talentmesh.functions.vectors import PROFILE_ALPHABET
+from talentmesh.operators import embed as V
+from talentmesh.operators.embed import CharProfileEmbedder
+from talentmesh.operators.score import attach_member_vectors
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_are_counted_in_runs_of_bounded_size():
+    texts = ["aA1", None, "", "é" * 7 + "b", "ab9" * V.PROFILE_BYTES, "z", *["xy" * 5000] * 200]
+    tracemalloc.start()
+    got = V.char_profile_batch(pd.Series(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [[(t or "").lower().count(c) for c in PROFILE_ALPHABET] for t in texts]
+    assert np.array_equal(got, np.array(want, float))
+    assert most < 40 * V.PROFILE_BYTES
+
+
+def test_both_vectors_of_a_side_come_from_one_pass(spark):
+    df = spark.createDataFrame([("ab", "b"), ("", "a1")], "m_edu string, m_exp string")
+    out = attach_member_vectors(df, CharProfileEmbedder())
+    assert plan_of(out).count("ArrowEvalPython") == 1
+    assert out.columns == ["m_edu", "m_exp", "m_edu_vec", "m_exp_vec", "m_edu_norm", "m_exp_norm"]
+    r = out.where("m_edu = 'ab'").first()
+    assert r.m_edu_vec[:3] == [1, 1, 0] and r.m_exp_vec[:3] == [0, 1, 0] and r.m_exp_norm == 1
