@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import UNKNOWN
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, small_batches
 from .embed import text_key
 
 MAX_TOKENS = 512
@@ -67,11 +67,15 @@ class TokenEncoder:
 
     def distinct_texts(self, columns: list[tuple[DataFrame, str]]) -> DataFrame:
         """(key, text) of the distinct texts of all columns."""
-        out = None
+        frames: dict[int, tuple[DataFrame, list[str]]] = {}
         for df, c in columns:
-            one = df.select(text_key(c).alias("key"), F.coalesce(F.col(c), F.lit("")).alias("text")).dropDuplicates(["key"])
+            frames.setdefault(id(df), (df, []))[1].append(c)
+        out = None
+        for df, names in frames.values():
+            # a frame is evaluated once, whatever the number of its columns
+            one = df.select(F.explode(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in names])).alias("text"))
             out = one if out is None else out.unionByName(one)
-        return out.dropDuplicates(["key"])
+        return out.select(text_key("text").alias("key"), "text").dropDuplicates(["key"])
 
     def encode_distinct(self, columns: list[tuple[DataFrame, str]]) -> DataFrame:
         """(key, n_tokens, vector): one pass over the texts of all columns.
@@ -91,6 +95,7 @@ class TokenEncoder:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array([v.tolist() for v in vectors], pa.list_(pa.float64()))],
                                                  names=["key", "n_tokens", "vector"])
 
+        small_batches(columns[0][0].sparkSession)
         texts = self.distinct_texts(columns)
         ordered = texts.withColumn("_size", F.length("text")).sortWithinPartitions("_size").select("key", "text")
         return ordered.mapInArrow(run, "key string, n_tokens int, vector array<double>")
@@ -124,25 +129,25 @@ class TokenEncoder:
 def seeded_token_vectors(dim: int = 4):
     """A model that SQL can repeat: the hidden state of a token is read from
     the MD5 of the token, four hex digits a dimension, scaled to 0..1.  Tokens
-    are the lower-cased runs of non-whitespace."""
+    are the lower-cased runs of non-whitespace.  A token's id is the first 64
+    bits of its MD5, which hold the state of four dimensions: no vocabulary
+    grows with the texts."""
+    if not 1 <= dim <= 4:
+        raise ValueError("an id of 64 bits holds one to four dimensions")
+    from functools import lru_cache
     from hashlib import md5
 
     def factory():
-        number: dict[str, int] = {}
-        rows: list[list[float]] = []
+        @lru_cache(maxsize=1 << 16)
+        def number(token):
+            return int.from_bytes(md5(token.encode()).digest()[:8], "big", signed=True)
 
         def tokenize(text):
-            out = []
-            for t in text.lower().split():
-                if t not in number:
-                    number[t] = len(rows)
-                    h = md5(t.encode()).hexdigest()
-                    rows.append([int(h[4 * d:4 * d + 4], 16) / 65535.0 for d in range(dim)])
-                out.append(number[t])
-            return out
+            return [number(t) for t in text.lower().split()]
 
         def encode(ids, mask):
-            return np.array(rows)[ids]
+            bits = ids.view(np.uint64)[..., None] >> np.array([48, 32, 16, 0][:dim], np.uint64)
+            return (bits & np.uint64(0xFFFF)) / 65535.0
 
         return tokenize, encode
 
