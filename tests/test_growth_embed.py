@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from talentmesh.functions.vectors import PROFILE_ALPHABET
 from talentmesh.operators import embed as V
@@ -26,6 +27,16 @@ def test_profiles_are_counted_in_runs_of_bounded_size():
     assert most < 40 * V.PROFILE_BYTES
 
 
+def test_a_repeated_text_of_a_batch_is_counted_once(monkeypatch):
+    seen = []
+    keep = V.char_profile_batch
+    monkeypatch.setattr(V, "char_profile_batch", lambda texts: seen.extend(texts) or keep(texts))
+    got = V.char_profile_vectors(pa.array(["ab", None, "B", "ab", "", "ab", "é9"])).to_pylist()
+    want = [[float((t or "").lower().count(c)) for c in PROFILE_ALPHABET] for t in ["ab", None, "B", "ab", "", "ab", "é9"]]
+    assert got == want and sorted(seen) == ["", "B", "ab", "é9"]
+    assert V.char_profile_vectors(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_both_vectors_of_a_side_come_from_one_pass(spark):
     df = spark.createDataFrame([("ab", "b"), ("", "a1")], "m_edu string, m_exp string")
     out = attach_member_vectors(df, CharProfileEmbedder())
